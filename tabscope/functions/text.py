@@ -19,7 +19,9 @@ def byte_size(c: Column) -> Column:
     """Bytes in the largest unit that keeps the number below 1024, two decimals."""
     out = None
     for power, unit in reversed(list(enumerate(BYTE_UNITS))):
-        text = F.format_string("%.2f " + unit, c.cast("double") / F.lit(float(1024**power)))
+        # Ties go to the even digit, as powers of two meet them exactly.
+        size = F.bround(c.cast("double") / F.lit(float(1024**power)), 2)
+        text = F.format_string("%.2f " + unit, size)
         if out is None:
             out = text
         else:

@@ -37,9 +37,8 @@ def histograms(
     edges: list[tuple] = []
     for name, (ordinal, low, high) in ranges.items():
         v = finite(col(name), types[name])
-        slot = F.least(
-            F.floor((v - F.lit(low)) * bins / (F.lit(high) - F.lit(low))), F.lit(bins - 1)
-        )
+        place = F.floor((v - F.lit(low)) * bins / (F.lit(high) - F.lit(low)))
+        slot = F.when(v.isNotNull(), F.least(place, F.lit(bins - 1)))
         cells.append(F.struct(F.lit(ordinal).alias("ord"), slot.cast("int").alias("bin")))
         step = (high - low) / bins
         edges += [

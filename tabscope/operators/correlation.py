@@ -145,7 +145,8 @@ def correlations(
         F.col("b").alias("ord_b"),
         F.get(names, F.col("a")).alias("feature_a"),
         F.get(names, F.col("b")).alias("feature_b"),
-        F.least(F.greatest("r", F.lit(-1.0)), F.lit(1.0)).alias("r"),
+        # greatest() and least() pass over NULL, so an unknown r is set apart.
+        F.when(F.col("r").isNotNull(), F.least(F.greatest("r", F.lit(-1.0)), F.lit(1.0))).alias("r"),
     )
 
 
