@@ -70,3 +70,30 @@ def min_max_scaled(c: Column, low: Column, high: Column) -> Column:
 
 def null_if_nan(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
+
+
+# The same expressions as SQL text. A wide table needs hundreds of them, and
+# one parsed text per column costs the driver far less than a tree of calls.
+
+
+def sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_number(value: float) -> str:
+    """A double literal that keeps every digit."""
+    if value != value or abs(value) == INF:
+        return f"double('{value}')"
+    return f"{float(value)!r}D"
+
+
+def known_sql(name: str, dtype: T.DataType) -> str:
+    c = quoted(name)
+    return f"CASE WHEN NOT isnan({c}) THEN {c} END" if is_floating(dtype) else c
+
+
+def finite_sql(name: str, dtype: T.DataType) -> str:
+    value = f"CAST({quoted(name)} AS DOUBLE)"
+    if is_floating(dtype):
+        return f"CASE WHEN abs({value}) < double('Infinity') THEN {value} END"
+    return value

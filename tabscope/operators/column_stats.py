@@ -4,11 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabscope.functions.numeric import INF, col, finite, is_numeric, known, pct
+from tabscope.functions.numeric import (
+    INF,
+    col,
+    finite_sql,
+    is_numeric,
+    known_sql,
+    pct,
+    quoted,
+    sql_text,
+)
 
 # Fixed thresholds of the column rules.
 LOW_VARIANCE = 0.01
@@ -50,39 +59,37 @@ def chunked(items: list, size: int) -> list[list]:
     return [items[i : i + size] for i in range(0, len(items), size)]
 
 
-def _measures(ordinal: int, field: T.StructField) -> Column:
+def _measures(ordinal: int, field: T.StructField) -> str:
     """The aggregates of one column as a struct of a type all columns share."""
-    c, dtype = col(field.name), field.dataType
-    value = known(c, dtype)
-    null = F.lit(None).cast("double")
+    dtype = field.dataType
+    value = known_sql(field.name, dtype)
     if is_numeric(dtype):
-        fin = finite(c, dtype)
-        n_finite, plus = F.count(fin), F.count_if(c.cast("double") == F.lit(INF))
-        low, high, mean, var = F.min(fin), F.max(fin), F.avg(fin), F.var_samp(fin)
-        one_value = low.eqNullSafe(high)
-        octets = F.count(F.lit(1)) * 8
+        fin = finite_sql(field.name, dtype)
+        n_finite = f"count({fin})"
+        plus = f"count_if(CAST({quoted(field.name)} AS DOUBLE) = double('Infinity'))"
+        low, high, mean, var = f"min({fin})", f"max({fin})", f"avg({fin})", f"var_samp({fin})"
+        one_value, octets = f"{low} <=> {high}", "count(1) * 8"
     else:
-        n_finite, plus = F.lit(0), F.lit(0)
-        low, high, mean, var = null, null, null, null
-        text = value.cast("string")
-        one_value = F.min(text).eqNullSafe(F.max(text))
-        octets = F.coalesce(F.sum(F.octet_length(text)), F.lit(0))
-    return F.struct(
-        F.lit(ordinal).alias("ord"),
-        F.lit(field.name).alias("column"),
-        F.lit(dtype.simpleString()).alias("dtype"),
-        F.lit(is_numeric(dtype)).alias("numeric"),
-        F.count(F.lit(1)).cast("long").alias("n_rows"),
-        F.count(value).cast("long").alias("n_known"),
-        n_finite.cast("long").alias("n_finite"),
-        plus.cast("long").alias("n_plus_inf"),
-        low.cast("double").alias("fin_min"),
-        high.cast("double").alias("fin_max"),
-        mean.cast("double").alias("fin_mean"),
-        var.cast("double").alias("fin_var"),
-        one_value.alias("one_value"),
-        octets.cast("long").alias("octets"),
-    )
+        text = f"CAST({value} AS STRING)"
+        n_finite, plus = "0", "0"
+        low = high = mean = var = "NULL"
+        one_value = f"min({text}) <=> max({text})"
+        octets = f"coalesce(sum(octet_length({text})), 0)"
+    return f"""named_struct(
+        'ord', {ordinal},
+        'column', {sql_text(field.name)},
+        'dtype', {sql_text(dtype.simpleString())},
+        'numeric', {str(is_numeric(dtype)).lower()},
+        'n_rows', count(1),
+        'n_known', count({value}),
+        'n_finite', CAST({n_finite} AS LONG),
+        'n_plus_inf', CAST({plus} AS LONG),
+        'fin_min', CAST({low} AS DOUBLE),
+        'fin_max', CAST({high} AS DOUBLE),
+        'fin_mean', CAST({mean} AS DOUBLE),
+        'fin_var', CAST({var} AS DOUBLE),
+        'one_value', {one_value},
+        'octets', CAST({octets} AS LONG)) AS s{ordinal}"""
 
 
 def column_profile(
@@ -101,8 +108,8 @@ def column_profile(
         raise ValueError("no columns to profile")
     parts = []
     for group in chunked(fields, chunk):
-        wide = df.agg(*[_measures(i, f).alias(f"s{i}") for i, f in group])
-        parts.append(wide.select(F.inline(F.array(*[f"s{i}" for i, _ in group]))))
+        wide = df.agg(*[F.expr(_measures(i, f)) for i, f in group])
+        parts.append(wide.selectExpr(f"inline(array({', '.join(f's{i}' for i, _ in group)}))"))
     long = reduce(DataFrame.union, parts)
 
     infinite = F.when(F.col("numeric"), F.col("n_known") - F.col("n_finite")).otherwise(F.lit(0))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.functions.numeric import col, finite
+from tabscope.functions.numeric import finite_sql
 from tabscope.operators.column_stats import CORRELATION, chunked, column_profile, numeric_columns
 
 # Up to this many pairs Spark's own aggregates are quicker; each pair adds
@@ -24,25 +24,27 @@ BLOCK_ROWS = 8192
 _PRODUCTS = "a int, b int, n double, xy double, x double, y double, xx double, yy double"
 
 
-def _pair_expressions(df: DataFrame, columns: list[str], pairs) -> DataFrame:
+def _clean(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as v0, v1, ... with only finite values present."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    clean = df.select(*[finite(col(c), types[c]).alias(f"v{i}") for i, c in enumerate(columns)])
+    return df.selectExpr(*[f"{finite_sql(c, types[c])} AS v{i}" for i, c in enumerate(columns)])
+
+
+def _pair(a: int, b: int) -> str:
+    """r of one pair. Division by a zero spread gives NULL, where corr() would raise."""
+    x, y = f"v{a}", f"v{b}"
+    spread_x = f"stddev_pop(CASE WHEN {y} IS NOT NULL THEN {x} END)"
+    spread_y = f"stddev_pop(CASE WHEN {x} IS NOT NULL THEN {y} END)"
+    r = f"try_divide(covar_pop({x}, {y}), {spread_x} * {spread_y})"
+    return f"named_struct('a', {a}, 'b', {b}, 'r', {r}) AS p{a}_{b}"
+
+
+def _pair_expressions(df: DataFrame, columns: list[str], pairs) -> DataFrame:
+    clean = _clean(df, columns)
     parts = []
     for group in chunked(pairs, PAIR_CHUNK):
-        cells = []
-        for a, b in group:
-            x, y = F.col(f"v{a}"), F.col(f"v{b}")
-            spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-            cells.append(
-                F.struct(
-                    F.lit(a).alias("a"),
-                    F.lit(b).alias("b"),
-                    # Division by a zero spread gives NULL, where corr() would raise.
-                    F.try_divide(F.covar_pop(x, y), spread).alias("r"),
-                ).alias(f"p{a}_{b}")
-            )
-        wide = clean.agg(*cells)
-        parts.append(wide.select(F.inline(F.array(*[f"p{a}_{b}" for a, b in group]))))
+        wide = clean.agg(*[F.expr(_pair(a, b)) for a, b in group])
+        parts.append(wide.selectExpr(f"inline(array({', '.join(f'p{a}_{b}' for a, b in group)}))"))
     return reduce(DataFrame.union, parts)
 
 
@@ -88,8 +90,7 @@ def _block_sums(names: list[str], centre: list[float]):
 
 
 def _pair_products(df: DataFrame, columns: list[str], centre: dict[str, float]) -> DataFrame:
-    types = {f.name: f.dataType for f in df.schema.fields}
-    clean = df.select(*[finite(col(c), types[c]).alias(f"v{i}") for i, c in enumerate(columns)])
+    clean = _clean(df, columns)
     # Every task hands on one row per pair, whatever it has read. Values are
     # centred first: products of raw values would cancel badly.
     sums = clean.mapInArrow(_block_sums(columns, [centre[c] for c in columns]), _PRODUCTS)

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.functions.numeric import col, finite
+from tabscope.functions.numeric import col, finite_sql, quoted, sql_number
 from tabscope.operators.classes import join_classes, label_codes
 from tabscope.operators.column_stats import LOW_VARIANCE, column_profile, numeric_columns
 from tabscope.operators.quantiles import exact_quantiles
@@ -73,10 +73,10 @@ class FittedPreprocessing:
             raise ValueError(f"the table lacks fitted features: {missing}")
         types = {f.name: f.dataType for f in df.schema.fields}
         return [
-            (
-                (F.coalesce(finite(col(f.name), types[f.name]), F.lit(f.median)) - F.lit(f.mean))
-                / F.lit(f.scale)
-            ).alias(f.name)
+            F.expr(
+                f"(coalesce({finite_sql(f.name, types[f.name])}, {sql_number(f.median)})"
+                f" - {sql_number(f.mean)}) / {sql_number(f.scale)} AS {quoted(f.name)}"
+            )
             for f in self.features
         ]
 

@@ -12,11 +12,12 @@ never a wrong result.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.functions.numeric import col, finite, known
+from tabscope.functions.numeric import finite_sql, known_sql, sql_number, sql_text
 from tabscope.operators.column_stats import chunked
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -45,107 +46,85 @@ class _Target:
     inside: int = field(default=0)
     value: float | None = None
 
-    def keeps(self, v: Column) -> Column:
-        inside = v.isNotNull()
+    def inside_sql(self, value: str) -> str:
+        """The value where it lies strictly within the interval, else NULL."""
+        tests = [f"({value}) IS NOT NULL"]
         if self.low is not None:
-            inside = inside & (v > F.lit(self.low))
+            tests.append(f"({value}) > {sql_number(self.low)}")
         if self.high is not None:
-            inside = inside & (v < F.lit(self.high))
-        return inside
+            tests.append(f"({value}) < {sql_number(self.high)}")
+        return f"CASE WHEN {' AND '.join(tests)} THEN {value} END"
 
 
-def _values(df: DataFrame, columns: list[str], finite_only: bool) -> dict[str, Column]:
+def _values(df: DataFrame, columns: list[str], finite_only: bool) -> dict[str, str]:
     types = {f.name: f.dataType for f in df.schema.fields}
-    pick = finite if finite_only else known
-    return {c: pick(col(c), types[c]).cast("double") for c in columns}
+    pick = finite_sql if finite_only else known_sql
+    return {c: f"CAST({pick(c, types[c])} AS DOUBLE)" for c in columns}
 
 
-def _direct(df, columns, probs, values) -> DataFrame:
+def _direct(df: DataFrame, columns: list[str], probs, values: dict[str, str]) -> DataFrame:
     """All quantiles by the built-in exact aggregate, as rows."""
+    wanted = f"array({', '.join(sql_number(p) for p in probs)})"
+    unknown = f"transform({wanted}, p -> CAST(NULL AS DOUBLE))"
     parts = []
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
     for group in chunked(list(enumerate(columns)), CHUNK):
         wide = df.agg(
             *[
-                F.struct(
-                    F.lit(i).alias("ord"),
-                    F.lit(c).alias("column"),
-                    F.percentile(values[c], wanted).alias("q"),
-                ).alias(f"s{i}")
+                F.expr(
+                    f"named_struct('ord', {i}, 'column', {sql_text(c)}, "
+                    f"'q', coalesce(percentile({values[c]}, {wanted}), {unknown})) AS s{i}"
+                )
                 for i, c in group
             ]
         )
-        parts.append(wide.select(F.inline(F.array(*[f"s{i}" for i, _ in group]))))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out.select(
-        "ord",
-        "column",
-        F.inline(
-            F.coalesce(
-                F.arrays_zip(wanted.alias("prob"), F.col("q").alias("value")),
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(float(p)).alias("prob"), F.lit(None).cast("double").alias("value")
-                        )
-                        for p in probs
-                    ]
-                ),
-            )
-        ),
+        parts.append(wide.selectExpr(f"inline(array({', '.join(f's{i}' for i, _ in group)}))"))
+    return reduce(DataFrame.union, parts).selectExpr(
+        "ord", "column", f"inline(arrays_zip({wanted}, q)) AS (prob, value)"
     )
 
 
-def _first_row(df: DataFrame, exprs: list[Column], size: int = 24) -> list:
+def _first_row(df: DataFrame, texts: list[str], size: int = 24) -> list:
     """The aggregates as one list; a bounded number of scalars per job."""
     out: list = []
-    for group in chunked(exprs, size):
-        out.extend(df.agg(*[e.alias(f"e{i}") for i, e in enumerate(group)]).first())
+    for group in chunked(texts, size):
+        out.extend(df.agg(*[F.expr(e).alias(f"e{i}") for i, e in enumerate(group)]).first())
     return out
 
 
-def _narrow(df: DataFrame, targets: list[_Target], values: dict[str, Column]) -> None:
+def _counts(t: _Target, low: float, high: float, value: str) -> str:
+    inside = t.inside_sql(value)
+    tests = {
+        "lt_low": f"< {sql_number(low)}",
+        "le_low": f"<= {sql_number(low)}",
+        "lt_high": f"< {sql_number(high)}",
+        "le_high": f"<= {sql_number(high)}",
+    }
+    cells = [f"'{n}', count_if(({inside}) {test})" for n, test in tests.items()]
+    return f"named_struct({', '.join(cells)})"
+
+
+def _narrow(df: DataFrame, targets: list[_Target], values: dict[str, str]) -> None:
     """One refinement: approximate bounds, then the exact counts around them."""
     slack = 2.0 / ACCURACY
     # Targets of one column that still share an interval share one sketch.
     sharing: dict[tuple, list[_Target]] = {}
     for t in targets:
         sharing.setdefault((t.column, t.low, t.high), []).append(t)
-    sketches = _first_row(
-        df,
-        [
-            F.percentile_approx(
-                F.when(group[0].keeps(values[group[0].column]), values[group[0].column]),
-                [
-                    min(max((t.rank - t.below) / t.inside + side, 0.0), 1.0)
-                    for t in group
-                    for side in (-slack, slack)
-                ],
-                ACCURACY,
-            )
-            for group in sharing.values()
-        ],
-    )
+    sketches = []
+    for group in sharing.values():
+        fractions = [
+            min(max((t.rank - t.below) / t.inside + side, 0.0), 1.0)
+            for t in group
+            for side in (-slack, slack)
+        ]
+        inside = group[0].inside_sql(values[group[0].column])
+        sketches.append(
+            f"percentile_approx({inside}, array({', '.join(map(sql_number, fractions))}), {ACCURACY})"
+        )
     targets = [t for group in sharing.values() for t in group]
-    bounds = [pair for sketch in sketches for pair in chunked(list(sketch), 2)]
+    bounds = [pair for cut in _first_row(df, sketches) for pair in chunked(list(cut), 2)]
     counts = _first_row(
-        df,
-        [
-            F.struct(
-                *[
-                    F.count_if(t.keeps(values[t.column]) & test).alias(name)
-                    for name, test in (
-                        ("lt_low", values[t.column] < F.lit(low)),
-                        ("le_low", values[t.column] <= F.lit(low)),
-                        ("lt_high", values[t.column] < F.lit(high)),
-                        ("le_high", values[t.column] <= F.lit(high)),
-                    )
-                ]
-            )
-            for t, (low, high) in zip(targets, bounds)
-        ],
+        df, [_counts(t, low, high, values[t.column]) for t, (low, high) in zip(targets, bounds)]
     )
     for t, (low, high), n in zip(targets, bounds, counts):
         seek = t.rank - t.below
@@ -162,24 +141,17 @@ def _narrow(df: DataFrame, targets: list[_Target], values: dict[str, Column]) ->
             t.below, t.inside = t.below + n.le_low, n.lt_high - n.le_low
 
 
-def _sort_inside(df: DataFrame, targets: list[_Target], values: dict[str, Column]) -> None:
+def _sort_inside(df: DataFrame, targets: list[_Target], values: dict[str, str]) -> None:
     """Read the wanted ranks off the sorted values of the last intervals."""
-    hits = F.filter(
-        F.array(
-            *[
-                F.when(
-                    t.keeps(values[t.column]),
-                    F.struct(F.lit(i).alias("target"), values[t.column].alias("v")),
-                )
-                for i, t in enumerate(targets)
-            ]
-        ),
-        lambda s: s.isNotNull(),
+    cells = ", ".join(
+        f"named_struct('target', {i}, 'v', {t.inside_sql(values[t.column])})"
+        for i, t in enumerate(targets)
     )
     seeks = df.sparkSession.createDataFrame(
         [(i, t.rank - t.below) for i, t in enumerate(targets)], "target int, seek long"
     )
-    tied = df.select(F.inline(hits)).groupBy("target", "v").count()
+    inside = df.selectExpr(f"inline(filter(array({cells}), s -> s.v IS NOT NULL))")
+    tied = inside.groupBy("target", "v").count()
     # Each target owns at most SORT_ROWS values here, as counted before.
     running = tied.selectExpr(
         "target", "v", "count", "sum(count) over (partition by target order by v) as upto"
@@ -194,7 +166,7 @@ def _sort_inside(df: DataFrame, targets: list[_Target], values: dict[str, Column
 
 
 def _selected(df, columns, probs, values, sort_rows) -> list[tuple]:
-    counts = dict(zip(columns, _first_row(df, [F.count(values[c]) for c in columns])))
+    counts = dict(zip(columns, _first_row(df, [f"count({values[c]})" for c in columns])))
     targets: dict[tuple[str, int], _Target] = {}
     for c in columns:
         for p in probs:
@@ -254,20 +226,17 @@ def approximate_quantiles(
 ) -> DataFrame:
     """The same rows from one pass of ``percentile_approx``; off by up to n / accuracy ranks."""
     values = _values(df, columns, False)
-    wanted = [float(p) for p in probs]
+    wanted = f"array({', '.join(sql_number(p) for p in probs)})"
     cells = df.agg(
-        *[F.percentile_approx(values[c], wanted, accuracy).alias(f"q{i}") for i, c in enumerate(columns)]
-    )
-    rows = F.array(
         *[
-            F.struct(
-                F.lit(i).alias("ord"),
-                F.lit(c).alias("column"),
-                F.lit(p).alias("prob"),
-                F.get(f"q{i}", F.lit(k)).alias("value"),
-            )
+            F.expr(f"percentile_approx({values[c]}, {wanted}, {accuracy}) AS q{i}")
             for i, c in enumerate(columns)
-            for k, p in enumerate(wanted)
         ]
     )
-    return cells.select(F.inline(rows))
+    rows = ", ".join(
+        f"named_struct('ord', {i}, 'column', {sql_text(c)}, 'prob', {sql_number(p)}, "
+        f"'value', get(q{i}, {k}))"
+        for i, c in enumerate(columns)
+        for k, p in enumerate(probs)
+    )
+    return cells.selectExpr(f"inline(array({rows}))")

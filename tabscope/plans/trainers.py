@@ -47,14 +47,20 @@ class TreeScorer:
     model: Model
 
     def probabilities(self, df: DataFrame) -> DataFrame:
-        if isinstance(self.model, OneVsRestModel):
-            # One-vs-rest yields margins only, one per class.
-            out = self.model.setRawPredictionCol("#raw").transform(df)
-            p = margin_probabilities(vector_to_array("#raw"))
-        else:
+        kept = [F.col(f"`{c}`") for c in df.columns]
+        if not isinstance(self.model, OneVsRestModel):
             out = self.model.transform(df)
             p = vector_to_array(self.model.getProbabilityCol())
-        return out.select(*[F.col(f"`{c}`") for c in df.columns], p.alias(PROBABILITY))
+            return out.select(*kept, p.alias(PROBABILITY))
+        # The binary models run one after the other inside the JVM; the
+        # one-vs-rest model itself would call Python for every row.
+        out, margins = df, []
+        for i, binary in enumerate(self.model.models):
+            raw = f"#raw{i}"
+            binary.setRawPredictionCol(raw).setProbabilityCol("").setPredictionCol("")
+            out = binary.transform(out)
+            margins.append(F.get(vector_to_array(raw), F.lit(1)))
+        return out.select(*kept, margin_probabilities(F.array(*margins)).alias(PROBABILITY))
 
     def importances(self) -> list[float]:
         """One value per feature; one-vs-rest models are averaged over their classes."""
