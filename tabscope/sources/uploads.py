@@ -34,11 +34,15 @@ def scan_upload(spark: SparkSession, path: str) -> Upload:
     raw = spark.read.schema(schema).csv(
         path, header=True, columnNameOfCorruptRecord=CORRUPT, enforceSchema=True
     )
+    # A line is only found short or long while all of its cells are parsed, so
+    # the count refers to every column and none can be pruned from under it.
+    whole = F.length(F.concat_ws("", *[col(c) for c in columns])) >= 0
+    fields = F.when(
+        col(CORRUPT).isNotNull(), F.size(F.split(col(CORRUPT), COMMA_OUTSIDE_QUOTES))
+    ).when(whole, F.lit(len(columns)))
     placed = raw.select(
         *[col(c) for c in columns],
-        F.coalesce(
-            F.size(F.split(col(CORRUPT), COMMA_OUTSIDE_QUOTES)), F.lit(len(columns))
-        ).alias("#fields"),
+        fields.alias("#fields"),
         F.col("_metadata.file_path").alias("#file"),
         F.col("_metadata.file_block_start").alias("#block"),
         F.monotonically_increasing_id().alias("#id"),
