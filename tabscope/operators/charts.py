@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabscope.functions.numeric import col, finite, is_missing
 from tabscope.functions.ordering import row_text, seeded_hash
-from tabscope.operators.column_stats import top_variance
+from tabscope.operators.column_stats import most_varying
 
 BINS = 50
 TOP_COLUMNS = 9
@@ -23,10 +23,9 @@ def histograms(
     Equal bins from minimum to maximum, numbered from 0, the last one closed;
     empty bins are listed. Only the chosen columns are read.
     """
-    chosen = top_variance(profile, n).select("column")
     ranges = {
         r["column"]: (r["ord"], r["fin_min"], r["fin_max"])
-        for r in profile.join(F.broadcast(chosen), "column", "left_semi").collect()
+        for r in most_varying(profile, n).select("ord", "column", "fin_min", "fin_max").collect()
     }
     if not ranges:
         return df.sparkSession.createDataFrame(

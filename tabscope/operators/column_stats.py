@@ -12,10 +12,10 @@ from tabscope.functions.numeric import (
     INF,
     col,
     finite_sql,
+    is_floating,
     is_numeric,
     known_sql,
     pct,
-    quoted,
     sql_text,
 )
 
@@ -48,7 +48,7 @@ def replace_infinite(df: DataFrame, columns: list[str] | None = None) -> DataFra
     return df.select(
         *[
             F.when(F.abs(col(c)) < F.lit(INF), col(c)).alias(c)
-            if c in wanted and isinstance(t, (T.FloatType, T.DoubleType))
+            if c in wanted and is_floating(t)
             else col(c)
             for c, t in types.items()
         ]
@@ -59,22 +59,36 @@ def chunked(items: list, size: int) -> list[list]:
     return [items[i : i + size] for i in range(0, len(items), size)]
 
 
+def _inputs(ordinal: int, field: T.StructField) -> list[str]:
+    """What the aggregates of one column read: the known value and the finite one.
+
+    Made in a projection below the aggregate, so that each is computed once.
+    """
+    value = known_sql(field.name, field.dataType)
+    if not is_numeric(field.dataType):
+        return [f"CAST({value} AS STRING) AS v{ordinal}"]
+    return [f"{value} AS v{ordinal}", f"{finite_sql(field.name, field.dataType)} AS f{ordinal}"]
+
+
 def _measures(ordinal: int, field: T.StructField) -> str:
     """The aggregates of one column as a struct of a type all columns share."""
-    dtype = field.dataType
-    value = known_sql(field.name, dtype)
+    dtype, value = field.dataType, f"v{ordinal}"
+    n_finite = plus = "0"
+    low = high = mean = var = "NULL"
     if is_numeric(dtype):
-        fin = finite_sql(field.name, dtype)
+        fin = f"f{ordinal}"
         n_finite = f"count({fin})"
-        plus = f"count_if(CAST({quoted(field.name)} AS DOUBLE) = double('Infinity'))"
         low, high, mean, var = f"min({fin})", f"max({fin})", f"avg({fin})", f"var_samp({fin})"
-        one_value, octets = f"{low} <=> {high}", "count(1) * 8"
+        octets = "count(1) * 8"
+        if is_floating(dtype):
+            plus = f"count_if(CAST({value} AS DOUBLE) = double('Infinity'))"
+            one_value = f"{low} <=> {high}"
+        else:
+            # Compared as they are: doubles cannot tell large whole numbers apart.
+            one_value = f"min({value}) <=> max({value})"
     else:
-        text = f"CAST({value} AS STRING)"
-        n_finite, plus = "0", "0"
-        low = high = mean = var = "NULL"
-        one_value = f"min({text}) <=> max({text})"
-        octets = f"coalesce(sum(octet_length({text})), 0)"
+        one_value = f"min({value}) <=> max({value})"
+        octets = f"coalesce(sum(octet_length({value})), 0)"
     return f"""named_struct(
         'ord', {ordinal},
         'column', {sql_text(field.name)},
@@ -108,7 +122,8 @@ def column_profile(
         raise ValueError("no columns to profile")
     parts = []
     for group in chunked(fields, chunk):
-        wide = df.agg(*[F.expr(_measures(i, f)) for i, f in group])
+        ready = df.selectExpr(*[e for i, f in group for e in _inputs(i, f)])
+        wide = ready.agg(*[F.expr(_measures(i, f)) for i, f in group])
         parts.append(wide.selectExpr(f"inline(array({', '.join(f's{i}' for i, _ in group)}))"))
     long = reduce(DataFrame.union, parts)
 
@@ -190,8 +205,14 @@ def worst_missing(profile: DataFrame, n: int = 5) -> DataFrame:
     return missing_values(profile).orderBy(F.desc("count"), "ord").limit(n)
 
 
+def most_varying(profile: DataFrame, n: int = 9) -> DataFrame:
+    """Profile rows of the columns with the largest normalised variance."""
+    varying = profile.filter("numeric and fin_max > fin_min")
+    return varying.orderBy(F.desc("norm_var"), "ord").limit(n)
+
+
 def top_variance(profile: DataFrame, n: int = 9) -> DataFrame:
-    return normalized_variance(profile).orderBy(F.desc("norm_var"), "ord").limit(n)
+    return most_varying(profile, n).select("ord", "column", "norm_var")
 
 
 def table_shape(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabscope.functions.numeric import col, ratio
+from tabscope.functions.numeric import col, ratio, sql_number
 
 # Distinct (class, score) pairs ranked within one task, about.
 BUCKET_ROWS = 500_000
@@ -172,15 +172,14 @@ def classification_report(
     return per_class.union(both.select(F.inline(F.array(*lines))))
 
 
-def _bucket_edges(scores: DataFrame, bucket_rows: int) -> list[float]:
-    """Score edges that cut the distinct pairs into parts of bounded size."""
-    n = scores.count()
-    parts = min(max(-(-n // bucket_rows), 1), MAX_BUCKETS)
-    if parts == 1:
+def _bucket_edges(scores: DataFrame, at_most: int, bucket_rows: int) -> list[float]:
+    """Score edges that cut up to ``at_most`` distinct pairs into parts of bounded size."""
+    parts = min(-(-at_most // bucket_rows), MAX_BUCKETS)
+    if parts <= 1:
         return []
-    wanted = [i / parts for i in range(1, parts)]
-    cuts = scores.agg(F.percentile_approx("score", wanted, 10 * parts)).first()[0]
-    return sorted(set(cuts))
+    wanted = ", ".join(sql_number(i / parts) for i in range(1, parts))
+    text = f"percentile_approx(score, array({wanted}), {max(10 * parts, 10_000)})"
+    return sorted(set(scores.agg(F.expr(text)).first()[0] or []))
 
 
 def roc_auc_by_class(
@@ -206,7 +205,8 @@ def roc_auc_by_class(
     scores = pairs.groupBy("code", "score").agg(
         F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg")
     )
-    edges = _bucket_edges(scores, bucket_rows)
+    # The row count bounds the number of distinct pairs without a shuffle.
+    edges = _bucket_edges(scores, df.count() * len(labels), bucket_rows)
     if edges:
         splits = [-float("inf"), *edges, float("inf")]
         bucketed = Bucketizer(splits=splits, inputCol="score", outputCol="bucket").transform(scores)

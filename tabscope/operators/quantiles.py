@@ -23,7 +23,9 @@ from tabscope.operators.column_stats import chunked
 QUARTILES = (0.25, 0.5, 0.75)
 
 # Largest table whose columns go through the one-task ``percentile``.
-DIRECT_ROWS = 4_000_000
+DIRECT_ROWS = 2_000_000
+# Columns per such aggregate: each has one last task, so fewer run more abreast.
+DIRECT_CHUNK = 4
 # Most values of one interval that are sorted within a task.
 SORT_ROWS = 200_000
 ACCURACY = 10_000
@@ -67,7 +69,7 @@ def _direct(df: DataFrame, columns: list[str], probs, values: dict[str, str]) ->
     wanted = f"array({', '.join(sql_number(p) for p in probs)})"
     unknown = f"transform({wanted}, p -> CAST(NULL AS DOUBLE))"
     parts = []
-    for group in chunked(list(enumerate(columns)), CHUNK):
+    for group in chunked(list(enumerate(columns)), DIRECT_CHUNK):
         wide = df.agg(
             *[
                 F.expr(

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabscope.functions.text import byte_size, thousands
+from tabscope.operators.charts import histograms, missing_matrix
 from tabscope.operators.classes import class_imbalance
 from tabscope.operators.column_stats import worst_missing
-from tabscope.plans.profile import Profile, profile_record, build_profile
-from tabscope.operators.charts import histograms, missing_matrix
 from tabscope.operators.correlation import correlation_matrix, correlations, heatmap_columns
 from tabscope.operators.summary import summary_wide
+from tabscope.plans.profile import Profile, build_profile, profile_record
+from tabscope.session import stage_table
+from tabscope.sources.csv_tables import load_csv, load_day
 from tabscope.sources.tables import write_csv, write_record, write_text
 
 TOP = 5
@@ -214,3 +216,17 @@ def profile_job(
         table.coalesce(1).write.mode("overwrite").parquet(written[chart])
     written["report"] = write_text(spark, report_text(profile, name), f"{output}/report")
     return written
+
+
+def profile_csv(spark: SparkSession, path: str, output: str, **options) -> dict[str, str]:
+    """Profile one CSV. It is parsed into a columnar table first: the passes
+    then read only the columns they need instead of every line."""
+    return profile_job(stage_table(load_csv(spark, path), "profiled"), output, **options)
+
+
+def profile_day(
+    spark: SparkSession, day: str, output: str, *, raw_dir: str, **options
+) -> dict[str, str]:
+    """Profile a catalogued capture day."""
+    table = stage_table(load_day(spark, day, raw_dir=raw_dir), "profiled")
+    return profile_job(table, output, **{"name": day, **options})

@@ -6,11 +6,11 @@ import csv
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabscope.functions.numeric import col
+from tabscope.functions.numeric import col, quoted, sql_text
 
 # Texts that a CSV cell uses for a missing value.
 MISSING_TEXTS = (
@@ -30,6 +30,7 @@ CAPTURE_DAYS = {
 }
 DEFAULT_DAY = "wednesday"
 
+# Patterns decide before any cast: a cast that fails costs an exception per cell.
 NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
 INTEGER = r"^\s*[+-]?\d+\s*$"
 # Kinds of cell text, ordered so that the widest decides a column's type.
@@ -89,15 +90,15 @@ def scan_text(spark: SparkSession, path: str, normalize: bool = True) -> DataFra
     )
 
 
-def _kind(c: Column) -> Column:
+def _kind(name: str) -> str:
     """What a cell could be; a whole number beyond 64 bits is a real one."""
-    return (
-        F.when(c.isNull(), MISSING)
-        .when(c.isin("True", "False", "TRUE", "FALSE", "true", "false"), LOGICAL)
-        .when(c.rlike(INTEGER) & c.try_cast("bigint").isNotNull(), WHOLE)
-        .when(c.rlike(NUMBER), REAL)
-        .otherwise(TEXT)
-    )
+    c = quoted(name)
+    return f"""CASE WHEN {c} IS NULL THEN {MISSING}
+        WHEN {c} RLIKE {sql_text(INTEGER)}
+          THEN CASE WHEN try_cast({c} AS BIGINT) IS NULL THEN {REAL} ELSE {WHOLE} END
+        WHEN {c} RLIKE {sql_text(NUMBER)} THEN {REAL}
+        WHEN {c} IN ('True', 'False', 'TRUE', 'FALSE', 'true', 'false') THEN {LOGICAL}
+        ELSE {TEXT} END"""
 
 
 def infer_types(texts: DataFrame) -> dict[str, str]:
@@ -106,24 +107,25 @@ def infer_types(texts: DataFrame) -> dict[str, str]:
     Per column only the widest kind of cell, whether any is missing, and
     whether logical texts mix with numbers reach the driver.
     """
-    cells = []
-    for i, name in enumerate(texts.columns):
-        kind = _kind(col(name))
-        cells += [
-            F.max(kind).alias(f"k{i}"),
-            F.count_if(kind == MISSING).alias(f"m{i}"),
-            F.count_if(kind == LOGICAL).alias(f"b{i}"),
+    n = range(len(texts.columns))
+    kinds = texts.selectExpr(*[f"{_kind(c)} AS k{i}" for i, c in enumerate(texts.columns)])
+    row = kinds.agg(
+        *[
+            F.expr(
+                f"named_struct('kind', max(k{i}), 'missing', bool_or(k{i} = {MISSING}), "
+                f"'logical', bool_or(k{i} = {LOGICAL})) AS c{i}"
+            )
+            for i in n
         ]
-    row = texts.agg(*cells).first()
+    ).first()
     types = {}
-    for i, name in enumerate(texts.columns):
-        kind, missing, logical = row[f"k{i}"], row[f"m{i}"], row[f"b{i}"]
-        if kind == LOGICAL:
-            types[name] = "string" if missing else "boolean"
-        elif logical or kind == TEXT:
+    for name, cell in zip(texts.columns, row):
+        if cell.kind == LOGICAL:
+            types[name] = "string" if cell.missing else "boolean"
+        elif cell.logical or cell.kind == TEXT:
             types[name] = "string"
-        elif kind == WHOLE:
-            types[name] = "double" if missing else "bigint"
+        elif cell.kind == WHOLE:
+            types[name] = "double" if cell.missing else "bigint"
         else:
             types[name] = "double"
     return types

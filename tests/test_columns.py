@@ -184,3 +184,8 @@ def test_heatmap_keeps_the_most_varying_columns(spark):
     p = column_stats.column_profile(df)
     assert correlation.heatmap_columns(df, p, limit=2) == ["c4", "c3"]
     assert correlation.heatmap_columns(df, p) == df.columns
+
+
+def test_large_whole_numbers_are_told_apart(spark):
+    df = spark.createDataFrame([(2**60,), (2**60 + 1,)], "x long")
+    assert names(column_stats.constant_columns(column_stats.column_profile(df))) == []

@@ -56,6 +56,13 @@ def test_profile_job_writes_everything(spark, flow_table):
     assert spark.read.parquet(written["correlation_matrix"]).count() == 81
 
 
+def test_profile_of_a_capture_day(spark, capture_csv):
+    raw = capture_csv.rsplit("/", 1)[0]
+    written = findings.profile_day(spark, "wednesday", shared_path(spark, "day"), raw_dir=raw)
+    text = spark.read.text(written["report"], wholetext=True).first().value
+    assert text.startswith("# Profile of wednesday")
+
+
 def test_profile_without_label(spark):
     p = profile.build_profile(spark.range(5).selectExpr("id x", "id * 2 y"))
     assert p.classes is None and profile.profile_record(p)["label_column"] is None
