@@ -13,6 +13,7 @@ from tabscope.functions.numeric import col, finite_sql, quoted, sql_number
 from tabscope.operators.classes import join_classes, label_codes
 from tabscope.operators.column_stats import LOW_VARIANCE, column_profile, numeric_columns
 from tabscope.operators.quantiles import exact_quantiles
+from tabscope.session import prefer_small_methods
 
 PARAMETERS = "ord int, feature string, median double, mean double, scale double"
 CLASSES = "code int, label string"
@@ -71,6 +72,7 @@ class FittedPreprocessing:
         missing = sorted(set(self.feature_names) - set(df.columns))
         if missing:
             raise ValueError(f"the table lacks fitted features: {missing}")
+        prefer_small_methods(df.sparkSession)
         types = {f.name: f.dataType for f in df.schema.fields}
         return [
             F.expr(
