@@ -22,8 +22,10 @@ from tabscope.operators.classes import (
 
 SIZES = (0.70, 0.15, 0.15)
 SEED = 42
-# Hex digits compared per counting round; two rounds tell 16**8 groups apart.
-PREFIX = 4
+# Hex digits told apart by the first and by the second counting round. The
+# first keeps 256 counts per class, so that tasks fold nearly all their rows;
+# the second meets one row in 128 and can afford more.
+FIRST, SECOND = 2, 5
 
 
 class InsufficientClassSamplesError(ValueError):
@@ -91,43 +93,33 @@ def split_allocation(
     )
 
 
-def _locate(hashes: DataFrame, seeks: DataFrame, start: int, n_classes: int) -> DataFrame:
-    """One counting round: the prefix in which each sought rank falls.
-
-    ``seeks`` holds ``(label, cut, prefix, seek)`` with the rank counted from
-    the first hash of the prefix; the result has the longer prefix.
-    """
-    if start:
-        inside = join_classes(
-            hashes.withColumn("prefix", F.substring("h", 1, start)),
-            seeks,
-            2 * n_classes,
-            ["label", "prefix"],
-        )
-    else:
-        inside = join_classes(hashes, seeks, 2 * n_classes, "label")
-    counted = inside.groupBy("label", "cut", F.substring("h", 1, start + PREFIX).alias("p")).agg(
-        F.count(F.lit(1)).alias("n"), F.first("seek").alias("seek")
+def _within(counted: DataFrame, order: str) -> DataFrame:
+    """The rows of ``(label, cut, seek, n)`` whose span of ranks holds the sought one."""
+    upto = F.sum("n").over(Window.partitionBy("label", "cut").orderBy(order))
+    return counted.withColumn("upto", upto).filter(
+        (F.col("seek") <= F.col("upto")) & (F.col("seek") > F.col("upto") - F.col("n"))
     )
-    upto = F.sum("n").over(Window.partitionBy("label", "cut").orderBy("p"))
-    return (
-        counted.withColumn("upto", upto)
-        .filter((F.col("seek") <= F.col("upto")) & (F.col("seek") > F.col("upto") - F.col("n")))
-        .select(
-            "label",
-            "cut",
-            F.col("p").alias("prefix"),
-            (F.col("seek") - (F.col("upto") - F.col("n"))).alias("seek"),
-        )
+
+
+def _located(counted: DataFrame) -> DataFrame:
+    """``(label, cut, prefix, seek)`` with the rank counted from the prefix's first hash."""
+    return _within(counted, "prefix").select(
+        "label", "cut", "prefix", (F.col("seek") - (F.col("upto") - F.col("n"))).alias("seek")
     )
 
 
+def _inside(hashes: DataFrame, found: DataFrame, length: int, n_classes: int) -> DataFrame:
+    """The hashes that begin like one of the cuts found so far."""
+    begun = hashes.withColumn("prefix", F.substring("h", 1, length))
+    return join_classes(begun, found, 2 * n_classes, ["label", "prefix"])
+
+
 def split_cuts(hashes: DataFrame, allocation: DataFrame, n_classes: int) -> DataFrame:
     """``(label, test_cut, val_cut)``: the last hash of the test and validation parts.
 
-    ``hashes`` is ``(label, h)``. Each round shuffles counts of at most 65,536
-    prefixes per class and task; only rows that share eight hex digits with a
-    cut are ranked, a few hundred even in a class of 10**12 rows.
+    ``hashes`` is ``(label, h)``. The first round counts two-digit prefixes
+    per class, the second lengthens those that hold a cut. Only rows that share
+    five digits with a cut are ranked, about a millionth of their class.
     """
     seeks = allocation.select(
         "label",
@@ -138,25 +130,19 @@ def split_cuts(hashes: DataFrame, allocation: DataFrame, n_classes: int) -> Data
             )
         ),
     ).filter("seek > 0")
-    found = _locate(hashes, seeks, 0, n_classes)
-    found = _locate(hashes, found, PREFIX, n_classes)
-    last = join_classes(
-        hashes.withColumn("prefix", F.substring("h", 1, 2 * PREFIX)),
-        found,
-        2 * n_classes,
-        ["label", "prefix"],
+    number = F.count(F.lit(1)).alias("n")
+    first = hashes.groupBy("label", F.substring("h", 1, FIRST).alias("prefix")).agg(number)
+    found = _located(join_classes(first, seeks, 2 * n_classes, "label"))
+    second = _inside(hashes, found, FIRST, n_classes).groupBy(
+        "label", "cut", "seek", F.substring("h", 1, SECOND).alias("prefix")
     )
+    found = _located(second.agg(number))
     # Equal hashes count as one row here, and a cut among them would be inexact.
-    tied = last.groupBy("label", "cut", "seek", "h").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("label", "cut").orderBy("h"))
-    exact = F.when(
-        F.col("upto") == F.col("seek"), F.col("h")
-    ).otherwise(F.raise_error(F.lit("the split key is not unique within a class")))
-    cuts = (
-        tied.withColumn("upto", upto)
-        .filter((F.col("seek") <= F.col("upto")) & (F.col("seek") > F.col("upto") - F.col("n")))
-        .select("label", "cut", exact.alias("h"))
+    tied = _inside(hashes, found, SECOND, n_classes).groupBy("label", "cut", "seek", "h").agg(number)
+    exact = F.when(F.col("upto") == F.col("seek"), F.col("h")).otherwise(
+        F.raise_error(F.lit("the split key is not unique within a class"))
     )
+    cuts = _within(tied, "h").select("label", "cut", exact.alias("h"))
     return cuts.groupBy("label").agg(
         F.max(F.when(F.col("cut") == "test", F.col("h"))).alias("test_cut"),
         F.max(F.when(F.col("cut") == "val", F.col("h"))).alias("val_cut"),
