@@ -8,7 +8,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabscope.functions.probability import argmax, softmax
@@ -204,14 +204,15 @@ params as (
 
 def scaled_sql(columns: tuple[str, ...], digits: int = 6) -> str:
     """Scaled and rounded select items by the ``params`` CTE."""
+
+    def fitted(name: str, c: str) -> str:
+        return f"(select {name} from params where feature = '{c}')"
+
     out = []
     for c in columns:
-        def p(name: str, c: str = c) -> str:
-            return f"(select {name} from params where feature = '{c}')"
-
-        value = f"coalesce(case when isinf({c}::double) then null else {c}::double end, "
-        med, mean, scale = p('"median"'), p("mean"), p('"scale"')
-        out.append(f"round(({value}{med}) - {mean}) / {scale}, {digits}) as {c}")
+        value = f"case when isinf({c}::double) then null else {c}::double end"
+        med, mean, scale = (fitted(n, c) for n in ('"median"', "mean", '"scale"'))
+        out.append(f"round((coalesce({value}, {med}) - {mean}) / {scale}, {digits}) as {c}")
     return ", ".join(out)
 
 
@@ -279,15 +280,12 @@ def requests(events: DataFrame) -> DataFrame:
         F.when(e % 15 == 0, F.struct(F.lit("debug").alias("k"), F.lit(1.0).alias("v"))),
     ]
     kept = F.filter(F.array(*entries), lambda s: s.isNotNull())
-    # Events per user and hour act as one batch request each hour.
-    return events.withColumn("features", F.map_from_entries(kept)).withColumn(
-        "batch_id", (e / 40).cast("long")
-    )
+    return events.withColumn("features", F.map_from_entries(kept))
 
 
-def utc(ts) -> "F.Column":
+def utc(ts: str) -> Column:
     """A zone-less time taken as UTC, whatever the session's zone."""
-    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', " + ts + ")")
     return F.timestamp_micros(micros)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscope.functions import text
@@ -192,9 +192,7 @@ def _(spark, sf):
         F.col("c_nationkey").cast("string").alias("code"),
         F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")).alias("label"),
     )
-    # Positions are read off the ordered result: the label codes of at most 25 nations.
-    from pyspark.sql import Window
-
+    # One row per class: at most 25 nations.
     ordered = ordered_labels(mapping)
     place = F.row_number().over(Window.orderBy("code")) - 1
     return ordered.withColumn("position", place.cast("int"))
