@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabscope.llm import pii, quality, sharding, urls
+from tabscope.llm import ann, bpe, jaccard, licenses, packing, pii, quality, sharding, substrings, urls
 from tabscope.llm.common import read_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,16 +26,38 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_columns(spark, sf_dir, "documents", "doc_id", "text")
 
 
+def vocabulary(name: str) -> str:
+    """A vocabulary file of the installed package, which every machine has."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query("op1_pii")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_report(documents(spark, sf_dir))
 
 
+@query("op2_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+@query("op3_substring_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.passage_report(documents(spark, sf_dir))
+
+
 @query("op4_quality_rules")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(documents(spark, sf_dir))
 
 
+@query("op5_permutation_index")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_columns(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 @query("op6_url_filter")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = urls.fit_urls(urls.labelled_urls(spark))
@@ -45,3 +67,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_sharding")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))[0]
+
+
+@query("op8_license_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(documents(spark, sf_dir))
+
+
+@query("op9_bpe")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_report(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
+@query("op10_jaccard_join")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_report(documents(spark, sf_dir))
