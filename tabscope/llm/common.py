@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +32,21 @@ def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
 
 
-def same_key(left: DataFrame, right: DataFrame) -> Column:
-    """Join condition on ``_id`` and ``_th``, where null ids equal each other."""
-    return left["_id"].eqNullSafe(right["_id"]) & (left["_th"] == right["_th"])
+def shielded(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Columns doc_id, text and _rest (all others), and what turns such rows back into rows of ``docs``.
+
+    Whatever further columns are called, they can't meet those of an operator.
+    """
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    rest = F.struct(F.lit(True).alias("_"), *(quoted(c).alias(f"c{k}") for k, c in enumerate(others)))
+    inner = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"), rest.alias("_rest"))
+
+    def restored(rows: DataFrame) -> DataFrame:
+        own = {id_col: "doc_id", text_col: "text"} | {c: f"_rest.c{k}" for k, c in enumerate(others)}
+        return rows.select(*(F.col(own[c]).alias(c) for c in docs.columns))
+
+    return inner, restored
 
 
 def literal_array(values: Iterable[object], kind: str) -> Column:

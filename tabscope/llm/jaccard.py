@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from tabscope.llm.common import bound_arrow_batches, keyed_texts
+from tabscope.llm.common import bound_arrow_batches, keyed_texts, shielded
 from tabscope.llm.components import Forest, components
 from tabscope.llm.shingles import shingle_set
 from tabscope.session import stage_table
@@ -269,19 +269,21 @@ def keep_one(docs: DataFrame, rule: Similarity = Similarity(), id_col: str = "do
 
     Texts without words all stay. A component without ids keeps one of its texts.
     """
-    rows = stage_table(near_duplicates(docs, rule, id_col, text_col), "jaccard-found")
+    inner, restored = shielded(docs, id_col, text_col)
+    rows = stage_table(near_duplicates(inner, rule), "jaccard-found")
     found = rows.distinct()
     # A document stays if it is its component's first; ties of a null or repeated id go to the least text hash.
     ranked = found.filter("n > 0").groupBy("component").agg(
         F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_th")).alias("stay")
     )
     stay = ranked.select("stay._id", "stay._th").unionByName(found.filter("n = 0").select("_id", "_th"))
-    left = docs.withColumn("_jth", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    match = left[id_col].eqNullSafe(stay["_id"]) & (left["_jth"] == stay["_th"])
+    left = inner.withColumn("_jth", F.xxhash64(F.coalesce("text", F.lit(""))))
+    match = left["doc_id"].eqNullSafe(stay["_id"]) & (left["_jth"] == stay["_th"])
     kept = left.join(stay, match, "left_semi")
     if rows.filter("n > 0").groupBy("_id", "_th").count().filter("count > 1").limit(1).count():
-        # The same row more than once: one stays.
-        same = Window.partitionBy(F.col(id_col), "_jth").orderBy(F.lit(1))
-        blank = F.trim(F.translate(F.coalesce(F.col(text_col), F.lit("")), "\t\n\x0b\f\r", "")) == ""
-        kept = kept.withColumn("_jn", F.row_number().over(same)).filter((F.col("_jn") == 1) | blank)
-    return kept.select(*docs.columns)
+        # The same row more than once: one stays, but for texts without words.
+        same = Window.partitionBy("doc_id", "_jth").orderBy(F.lit(1))
+        blank = F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\f\r", "")) == ""
+        repeated = kept.filter(~blank).withColumn("_jn", F.row_number().over(same)).filter("_jn = 1").drop("_jn")
+        kept = repeated.unionByName(kept.filter(blank))
+    return restored(kept)

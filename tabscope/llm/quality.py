@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import literal_array
+from tabscope.llm.common import literal_array, shielded
 from tabscope.session import stage_table
 
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -203,7 +203,8 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
-    judged, _ = judge(stage_table(features(docs, text_col), "quality-rows"))
-    return judged.filter("_kept").select(*docs.columns)
+    inner, restored = shielded(docs, id_col, text_col)
+    judged, _ = judge(stage_table(features(inner), "quality-rows"))
+    return restored(judged.filter("_kept"))

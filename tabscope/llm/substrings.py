@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import bound_arrow_batches, broadcast_if_small, keyed_texts
+from tabscope.llm.common import bound_arrow_batches, broadcast_if_small, keyed_texts, shielded
 from tabscope.llm.shingles import word_numbers, windows, words_of
 from tabscope.session import stage_table
 
@@ -297,11 +297,11 @@ def without_repeats(docs: DataFrame, rule: Passages = Passages(), id_col: str =
     without a repeat stay as they are.
     """
     bound_arrow_batches(docs.sparkSession)
-    later = repeats(keyed_texts(docs, id_col, text_col).withColumn("_id", F.col("_id").cast("long")), rule)
-    left = docs.withColumn("_sth", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    match = left[id_col].cast("long").eqNullSafe(later["_id"]) & (left["_sth"] == later["_th"])
-    both = left.join(later, match, "left").select(*docs.columns, "ats")
-    at = docs.columns.index(text_col)
+    inner, restored = shielded(docs, id_col, text_col)
+    later = repeats(keyed_texts(inner).withColumn("_id", F.col("_id").cast("long")), rule)
+    left = inner.withColumn("_sth", F.xxhash64(F.coalesce("text", F.lit(""))))
+    match = left["doc_id"].cast("long").eqNullSafe(later["_id"]) & (left["_sth"] == later["_th"])
+    both = left.join(later, match, "left").select("doc_id", "text", "_rest", "ats")
 
     def cut(text: str, ats: list[int]) -> str:
         lines = [line.split() for line in text.encode().split(b"\n")]
@@ -316,11 +316,10 @@ def without_repeats(docs: DataFrame, rule: Passages = Passages(), id_col: str =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ats = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            texts, ats = batch.column(1).to_pylist(), batch.column(3).to_pylist()
             texts = [cut(t, a) if a else t for t, a in zip(texts, ats, strict=True)]
             left = pa.array([t != "" or not a for t, a in zip(texts, ats, strict=True)], pa.bool_())
-            columns = list(batch.columns)[:-1]
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, docs.columns).filter(left)
+            columns = [batch.column(0), pa.array(texts, pa.string()), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "_rest"]).filter(left)
 
-    return both.mapInArrow(run, docs.schema)
+    return restored(both.mapInArrow(run, inner.schema))
