@@ -11,8 +11,9 @@ from tabscope.functions.numeric import col, is_missing, pct
 MISSING_CLASS = "nan"
 MIN_ROWS_PER_CLASS = 3
 
-# A class table is broadcast up to this many rows; beyond it the join shuffles.
+# A class table is broadcast up to this many rows; beyond it the join is salted.
 BROADCAST_CLASSES = 100_000
+CLASS_SALTS = 256
 
 
 def _label(df: DataFrame, label: str) -> tuple[Column, Column]:
@@ -99,11 +100,17 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
 def join_classes(df: DataFrame, classes: DataFrame, n_classes: int, on, how="inner") -> DataFrame:
     """Attach a class table of known size to rows.
 
-    Broadcast when small, so a class that holds most rows is never shuffled
-    to one task; a larger table means small classes, which hash evenly.
+    Broadcast when small. A larger table is repeated under ``CLASS_SALTS`` salts
+    and the rows are dealt by class and salt, so one that holds a third of all
+    rows still goes to many tasks.
     """
-    side = F.broadcast(classes) if n_classes <= BROADCAST_CLASSES else classes
-    return df.join(side, on, how)
+    if n_classes <= BROADCAST_CLASSES:
+        return df.join(F.broadcast(classes), on, how)
+    keys = [on] if isinstance(on, str) else list(on)
+    salts = F.sequence(F.lit(0), F.lit(CLASS_SALTS - 1))
+    repeated = classes.withColumn("#salt", F.explode(salts))
+    dealt = df.withColumn("#salt", F.pmod(F.monotonically_increasing_id(), F.lit(CLASS_SALTS)).cast("int"))
+    return dealt.join(repeated, [*keys, "#salt"], how).drop("#salt")
 
 
 def split_class_distribution(df: DataFrame, label: str, split: str = "split") -> DataFrame:

@@ -9,8 +9,8 @@ from tabscope.functions.numeric import INF, col
 from tabscope.functions.text import error_line
 
 
-# Parts into which the records of one batch are spread.
-SALTS = 32
+# Records of one batch that share a salt, as far as the hash deals them evenly.
+SALT_RECORDS = 100_000
 
 
 def check_features(df: DataFrame, expected: list[str], features: str = "features") -> DataFrame:
@@ -30,16 +30,19 @@ def check_batches(checked: DataFrame, batch: str, position: str) -> DataFrame:
     """Reject a batch as a whole if one of its records is invalid.
 
     ``batch_valid`` and ``batch_detail`` (that of the first invalid record)
-    are added. Verdicts fold within tasks. Records meet their batch's verdict
-    under a salt, so a batch that holds a third of all records is spread out.
+    are added. Verdicts and sizes fold within tasks. The largest batch sets the
+    number of salts; records meet their batch's verdict under a salt, so a batch
+    of any size is spread out.
     """
-    failing = (
-        checked.filter(~F.col("valid"))
-        .groupBy(col(batch))
-        .agg(F.min_by("detail", col(position)).alias("batch_detail"))
-        .withColumn("#salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sizes = checked.groupBy(col(batch)).agg(
+        F.count(F.lit(1)).alias("#n"), F.min_by(F.when(~F.col("valid"), F.col("detail")), F.when(~F.col("valid"), col(position))).alias("batch_detail")
     )
-    salted = checked.withColumn("#salt", F.pmod(F.hash(col(position)), F.lit(SALTS)))
+    largest = sizes.agg(F.max("#n")).first()[0] or 0
+    salts = max(1, -(-largest // SALT_RECORDS))
+    failing = sizes.filter(F.col("batch_detail").isNotNull()).select(
+        col(batch), "batch_detail", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("#salt")
+    )
+    salted = checked.withColumn("#salt", F.pmod(F.hash(col(position)), F.lit(salts)))
     judged = salted.join(failing, [batch, "#salt"], "left").drop("#salt")
     return judged.withColumn("batch_valid", F.col("batch_detail").isNull())
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -12,17 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabscope.functions.numeric import finite_sql
-from tabscope.operators.column_stats import CORRELATION, chunked, column_profile, numeric_columns
+from tabscope.operators.column_stats import CORRELATION, numeric_columns
 
-# Up to this many pairs Spark's own aggregates are quicker; each pair adds
-# three of them. Beyond it the sums of all pairs come from matrix products,
-# measured twice as fast at 28 pairs on 600,000 rows.
-EXPRESSION_PAIRS = 10
-PAIR_CHUNK = 15
 HEATMAP_COLUMNS = 60
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 4096
 
-_PRODUCTS = "a int, b int, n double, xy double, x double, y double, xx double, yy double"
+#: What a task keeps of each pair over the rows where both values are present: their number,
+#: both means, both sums of squared deviations and the sum of products of deviations.
+MOMENTS = ("n", "mean_x", "mean_y", "dev_x", "dev_y", "dev_xy")
+_STATE = ", ".join(f"{m} array<double>" for m in MOMENTS)
 
 
 def _clean(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -31,116 +27,138 @@ def _clean(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.selectExpr(*[f"{finite_sql(c, types[c])} AS v{i}" for i, c in enumerate(columns)])
 
 
-def _pair(a: int, b: int) -> str:
-    """r of one pair. Division by a zero spread gives NULL, where corr() would raise."""
-    x, y = f"v{a}", f"v{b}"
-    spread_x = f"stddev_pop(CASE WHEN {y} IS NOT NULL THEN {x} END)"
-    spread_y = f"stddev_pop(CASE WHEN {x} IS NOT NULL THEN {y} END)"
-    r = f"try_divide(covar_pop({x}, {y}), {spread_x} * {spread_y})"
-    return f"named_struct('a', {a}, 'b', {b}, 'r', {r}) AS p{a}_{b}"
+def merged_moments(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Moments of two sets of rows together: deviations inside each, and of their means.
 
+    Equal means differ by exactly zero, so a value that never changes keeps a
+    spread of exactly zero over any number of merges.
+    """
+    n = left[0] + right[0]
+    part = np.divide(right[0], n, out=np.zeros_like(n), where=n > 0)
+    step_x, step_y = right[1] - left[1], right[2] - left[2]
+    # A side without rows has no means to step from.
+    one_sided = (left[0] == 0) | (right[0] == 0)
+    weight = np.where(one_sided, 0.0, left[0] * part)
+    move = np.where(left[0] == 0, 1.0, part)
+    return np.array(
+        [
+            n,
+            left[1] + np.where(right[0] == 0, 0.0, step_x * move),
+            left[2] + np.where(right[0] == 0, 0.0, step_y * move),
+            left[3] + right[3] + weight * step_x * step_x,
+            left[4] + right[4] + weight * step_y * step_y,
+            left[5] + right[5] + weight * step_x * step_y,
+        ]
+    )
 
-def _pair_expressions(df: DataFrame, columns: list[str], pairs) -> DataFrame:
-    clean = _clean(df, columns)
-    parts = []
-    for group in chunked(pairs, PAIR_CHUNK):
-        wide = clean.agg(*[F.expr(_pair(a, b)) for a, b in group])
-        parts.append(wide.selectExpr(f"inline(array({', '.join(f'p{a}_{b}' for a, b in group)}))"))
-    return reduce(DataFrame.union, parts)
 
+def _full_block(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means and products of deviations of columns without gaps.
 
-def _block_sums(names: list[str], centre: list[float]):
-    """Sums and products of every pair over the rows where both are present."""
-    k = len(names)
-    upper_a, upper_b = np.triu_indices(k, 1)
-    shift = np.asarray(centre)
+    Values are taken relative to the first row, so a constant deviates by exactly zero.
+    """
+    d = z - z[0]
+    mean = d.mean(axis=0)
+    d -= mean
+    return z[0] + mean, d.T @ d
+
+
+def block_moments(z: np.ndarray) -> np.ndarray:
+    """Moments of every pair a < b over one block of rows, in the order of ``triu_indices``."""
+    rows, k = z.shape
+    n, mean_x, mean_y, dev_x, dev_y, dev_xy = out = np.zeros((6, k, k))
+    seen = np.isfinite(z)
+    full = np.flatnonzero(seen.all(axis=0))
+    if rows and len(full):
+        mean, products = _full_block(z[:, full])
+        at = np.ix_(full, full)
+        spread = np.diag(products)
+        n[at], mean_x[at], mean_y[at] = rows, mean[:, None], mean[None, :]
+        dev_x[at], dev_y[at], dev_xy[at] = spread[:, None], spread[None, :], products
+    for b in np.flatnonzero(~seen.all(axis=0)):
+        mine = seen[:, b]
+        if not mine.any():
+            continue
+        # Pairs of b: only rows that have b, and of those each partner's own.
+        both, x, y = seen[mine], z[mine], z[mine, b]
+        count = both.sum(axis=0)
+        first = both.argmax(axis=0)
+        parts = []
+        for values in (x, np.broadcast_to(y[:, None], x.shape)):
+            start = np.where(count > 0, values[first, np.arange(k)], 0.0)
+            d = np.where(both, values - start, 0.0)
+            step = np.divide(d.sum(axis=0), count, out=np.zeros(k), where=count > 0)
+            parts.append((start + step, np.where(both, d - step, 0.0)))
+        (mean_a, d_a), (mean_b, d_b) = parts
+        column = (count, mean_a, mean_b, (d_a * d_a).sum(0), (d_b * d_b).sum(0), (d_a * d_b).sum(0))
+        for m, values in zip(out, column, strict=True):
+            m[:, b] = values
+        # The same pairs seen from b's side.
+        for m, values in zip(out, [column[i] for i in (0, 2, 1, 4, 3, 5)], strict=True):
+            m[b, :] = values
+    upper = np.triu_indices(k, 1)
+    return out[:, upper[0], upper[1]]
+
+
+def _task_moments(k: int):
+    """One row per task with the moments of all pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((4, k, k))
+        total = np.zeros((6, k * (k - 1) // 2))
         for batch in batches:
             for start in range(0, batch.num_rows, BLOCK_ROWS):
                 part = batch.slice(start, BLOCK_ROWS)
                 z = np.column_stack([c.to_numpy(zero_copy_only=False) for c in part.columns])
-                seen = np.isfinite(z)
-                z = np.where(seen, z - shift, 0.0)
-                total[1] += z.T @ z
-                if seen.all():
-                    # Nothing is missing: the other three are plain column sums.
-                    total[0] += len(z)
-                    total[2] += z.sum(axis=0)[:, None]
-                    total[3] += (z * z).sum(axis=0)[:, None]
-                else:
-                    mask = seen.astype(np.float64)
-                    total[0] += mask.T @ mask
-                    total[2] += z.T @ mask
-                    total[3] += (z * z).T @ mask
-        n, xy, x, xx = total
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(upper_a.astype(np.int32)),
-                pa.array(upper_b.astype(np.int32)),
-                *[
-                    pa.array(m[upper_a, upper_b])
-                    for m in (n, xy, x, x.T, xx, xx.T)
-                ],
-            ],
-            names=["a", "b", "n", "xy", "x", "y", "xx", "yy"],
-        )
+                total = merged_moments(total, block_moments(z.astype(np.float64)))
+        yield pa.RecordBatch.from_arrays([pa.array([m]) for m in total], names=list(MOMENTS))
 
     return run
 
 
-def _pair_products(df: DataFrame, columns: list[str], centre: dict[str, float]) -> DataFrame:
-    clean = _clean(df, columns)
-    # Every task hands on one row per pair, whatever it has read. Values are
-    # centred first: products of raw values would cancel badly.
-    sums = clean.mapInArrow(_block_sums(columns, [centre[c] for c in columns]), _PRODUCTS)
-    n, xy, x, y, xx, yy = (F.sum(c) for c in ("n", "xy", "x", "y", "xx", "yy"))
-    total = sums.groupBy("a", "b").agg(
-        n.alias("n"), xy.alias("xy"), x.alias("x"), y.alias("y"), xx.alias("xx"), yy.alias("yy")
-    )
-    part_x = F.col("xx") - F.try_divide(F.col("x") * F.col("x"), F.col("n"))
-    part_y = F.col("yy") - F.try_divide(F.col("y") * F.col("y"), F.col("n"))
-    part_xy = F.col("xy") - F.try_divide(F.col("x") * F.col("y"), F.col("n"))
-    # What rounding leaves of a constant column's spread is no spread.
-    flat = (part_x <= F.col("xx") * 1e-13) | (part_y <= F.col("yy") * 1e-13)
-    return total.select(
-        "a",
-        "b",
-        F.when(~flat, F.try_divide(part_xy, F.sqrt(part_x) * F.sqrt(part_y))).alias("r"),
-    )
+def _merge_rows(k: int):
+    """One row of moments from those of several tasks, read one by one."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, k * (k - 1) // 2))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = np.array([c[i].values.to_numpy() for c in batch.columns])
+                total = merged_moments(total, row)
+        yield pa.RecordBatch.from_arrays([pa.array([m]) for m in total], names=list(MOMENTS))
 
-def _centres(df: DataFrame, columns: list[str], profile: DataFrame | None) -> dict[str, float]:
-    profile = column_profile(df, columns) if profile is None else profile
-    rows = profile.select("column", "fin_mean").collect()
-    return {r["column"]: r["fin_mean"] or 0.0 for r in rows}
+    return run
 
 
-def correlations(
-    df: DataFrame,
-    columns: list[str] | None = None,
-    *,
-    profile: DataFrame | None = None,
-    method: str = "auto",
-) -> DataFrame:
+def pair_moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``a, b`` and the moments of each pair of columns over its own rows.
+
+    A task hands on one row whatever it has read. The rows of all tasks are
+    merged in two steps: over the shuffle partitions, then in one task.
+    """
+    k = len(columns)
+    sums = _clean(df, columns).mapInArrow(_task_moments(k), _STATE)
+    groups = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for n in dict.fromkeys((groups, 1)):
+        sums = sums.repartition(n).mapInArrow(_merge_rows(k), _STATE)
+    upper = np.triu_indices(k, 1)
+    ends = [F.split(F.lit(",".join(map(str, u))), ",").cast("array<int>") for u in upper]
+    named = sums.select(ends[0].alias("a"), ends[1].alias("b"), *MOMENTS)
+    return named.select(F.inline(F.arrays_zip("a", "b", *MOMENTS)))
+
+
+def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(ord_a, ord_b, feature_a, feature_b, r)`` of each pair, in column order.
 
     Infinities are missing here; a pair uses the rows where both values are
-    present, and r is NULL where either does not vary.
+    present, and r is NULL where either does not vary over those rows.
     """
     columns = numeric_columns(df) if columns is None else columns
-    pairs = list(combinations(range(len(columns)), 2))
-    if not pairs:
+    if len(columns) < 2:
         return df.sparkSession.createDataFrame(
             [], "ord_a int, ord_b int, feature_a string, feature_b string, r double"
         )
-    if method == "auto":
-        method = "expressions" if len(pairs) <= EXPRESSION_PAIRS else "products"
-    if method == "expressions":
-        cells = _pair_expressions(df, columns, pairs)
-    else:
-        cells = _pair_products(df, columns, _centres(df, columns, profile))
+    cells = pair_moments(df, columns)
+    r = F.try_divide("dev_xy", F.sqrt("dev_x") * F.sqrt("dev_y"))
     names = F.array(*[F.lit(c) for c in columns])
     return cells.select(
         F.col("a").alias("ord_a"),
@@ -148,7 +166,7 @@ def correlations(
         F.get(names, F.col("a")).alias("feature_a"),
         F.get(names, F.col("b")).alias("feature_b"),
         # greatest() and least() pass over NULL, so an unknown r is set apart.
-        F.when(F.col("r").isNotNull(), F.least(F.greatest("r", F.lit(-1.0)), F.lit(1.0))).alias("r"),
+        F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))).alias("r"),
     )
 
 

@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabscope.functions.numeric import col, ratio, sql_number
-
-# Distinct (class, score) pairs ranked within one task, about.
-BUCKET_ROWS = 500_000
-MAX_BUCKETS = 10_000
+from tabscope.functions.numeric import col, ratio
 
 SCALARS = (
     "accuracy",
@@ -172,29 +167,33 @@ def classification_report(
     return per_class.union(both.select(F.inline(F.array(*lines))))
 
 
-def _bucket_edges(scores: DataFrame, at_most: int, bucket_rows: int) -> list[float]:
-    """Score edges that cut up to ``at_most`` distinct pairs into parts of bounded size."""
-    parts = min(-(-at_most // bucket_rows), MAX_BUCKETS)
-    if parts <= 1:
-        return []
-    wanted = ", ".join(sql_number(i / parts) for i in range(1, parts))
-    text = f"percentile_approx(score, array({wanted}), {max(10 * parts, 10_000)})"
-    return sorted(set(scores.agg(F.expr(text)).first()[0] or []))
+# Bits of a score's mantissa that each of two further cuts tells apart.
+CUT_BITS = 18
 
 
-def roc_auc_by_class(
-    df: DataFrame,
-    y: str,
-    probabilities: str,
-    labels: list[int],
-    bucket_rows: int = BUCKET_ROWS,
-) -> DataFrame:
+def _cuts(score: Column) -> list[Column]:
+    """Three numbers whose order agrees with the score's: its size by powers of two, then its leading digits.
+
+    Each is monotone where those before it are equal, also after rounding, so
+    scores that differ in any of them are in the right order.
+    """
+    size = F.abs(score)
+    exponent = F.floor(F.log2(size))
+    power = F.when(score == 0, 0).when(score > 0, exponent + 10_000).otherwise(-exponent - 10_000)
+    mantissa = F.when(score == 0, 0.0).otherwise(score / F.pow(F.lit(2.0), F.greatest(exponent, F.lit(-1000))))
+    coarse, fine = (F.floor(mantissa * float(1 << bits)) for bits in (CUT_BITS, 2 * CUT_BITS))
+    return [power.cast("long"), coarse, fine]
+
+
+def roc_auc_by_class(df: DataFrame, y: str, probabilities: str, labels: list[int]) -> DataFrame:
     """``(code, positives, negatives, auc)`` of each class against the rest.
 
-    Equal scores count half. Rows first fold to counts per class and score;
-    the scores are then cut at edges common to all classes, ranked within a
-    cut, and the cuts are put together by their totals. So no task ever
-    ranks a whole class. AUC is NULL for a class that is absent or alone.
+    Equal scores count half. Rows first fold to counts per class and score. The
+    negatives below a score are then summed inside ever coarser cuts of the
+    scores: of those that share 36 leading bits, of the cuts that share 18, and
+    of the powers of two. No window holds a whole class, whatever its size, and
+    nothing about the scores needs to be known first. AUC is NULL for a class
+    that is absent or alone.
     """
     codes = F.array(*[F.lit(int(c)) for c in labels])
     pairs = df.select(
@@ -205,52 +204,24 @@ def roc_auc_by_class(
     scores = pairs.groupBy("code", "score").agg(
         F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg")
     )
-    # The row count bounds the number of distinct pairs without a shuffle.
-    edges = _bucket_edges(scores, df.count() * len(labels), bucket_rows)
-    if edges:
-        splits = [-float("inf"), *edges, float("inf")]
-        bucketed = Bucketizer(splits=splits, inputCol="score", outputCol="bucket").transform(scores)
-    else:
-        bucketed = scores.withColumn("bucket", F.lit(0.0))
-    below = F.coalesce(
-        F.sum("neg").over(
-            Window.partitionBy("code", "bucket")
-            .orderBy("score")
-            .rowsBetween(Window.unboundedPreceding, -1)
-        ),
-        F.lit(0),
-    )
-    cuts = (
-        bucketed.withColumn("below", below)
-        .groupBy("code", "bucket")
-        .agg(
-            F.sum("pos").alias("pos"),
-            F.sum("neg").alias("neg"),
-            # Counts in double: their products outgrow a long at full scale.
-            F.sum(F.col("pos").cast("double") * (F.col("below") + F.col("neg") / 2)).alias("won"),
+    # Counts in double: their products outgrow a long at full scale.
+    keys = ["code", "power", "coarse", "fine"]
+    level = scores.select(
+        "code", "score", "pos", "neg",
+        *[c.alias(n) for c, n in zip(_cuts(F.col("score")), keys[1:], strict=True)],
+        (F.col("pos").cast("double") * F.col("neg") / 2).alias("won"),
+    )
+    for order in ("score", "fine", "coarse", "power"):
+        keys = [k for k in keys if k != order]
+        before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        below = F.coalesce(F.sum("neg").over(before), F.lit(0))
+        level = (
+            level.withColumn("won", F.col("won") + F.col("pos").cast("double") * below)
+            .groupBy(*keys)
+            .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("won").alias("won"))
         )
-    )
-    before = F.coalesce(
-        F.sum("neg").over(
-            Window.partitionBy("code")
-            .orderBy("bucket")
-            .rowsBetween(Window.unboundedPreceding, -1)
-        ),
-        F.lit(0),
-    )
-    totals = (
-        cuts.withColumn("before", before)
-        .groupBy("code")
-        .agg(
-            F.sum("pos").alias("positives"),
-            F.sum("neg").alias("negatives"),
-            F.sum(F.col("won") + F.col("pos").cast("double") * F.col("before")).alias("won"),
-        )
-    )
-    area = F.try_divide(
-        F.col("won"), F.col("positives").cast("double") * F.col("negatives").cast("double")
-    )
-    return totals.select("code", "positives", "negatives", area.alias("auc"))
+    area = F.try_divide(F.col("won"), F.col("pos").cast("double") * F.col("neg").cast("double"))
+    return level.select("code", F.col("pos").alias("positives"), F.col("neg").alias("negatives"), area.alias("auc"))
 
 
 def roc_auc_macro(by_class: DataFrame) -> DataFrame:

@@ -165,7 +165,7 @@ def select_features(
     """Numeric columns without the constant ones, then without those of low variance."""
     columns = numeric_columns(train, (label,))
     if not columns:
-        raise ValueError("No feature columns remain: the table has no numeric column.")
+        raise ValueError("no features left: the table has no numeric column")
     rows = column_profile(train, columns).orderBy("ord").collect()
     stats = {r["column"]: r.asDict() for r in rows}
     constant = [c for c in columns if stats[c]["constant"]]
@@ -177,7 +177,7 @@ def select_features(
     ]
     kept = [c for c in candidates if c not in low]
     if not kept:
-        raise ValueError("No feature columns remain after dropping constant/low-variance columns.")
+        raise ValueError("no features left: every numeric column is constant or hardly varies")
     return FeatureSelection(kept, constant, low, stats)
 
 

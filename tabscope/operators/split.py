@@ -19,9 +19,12 @@ from tabscope.operators.classes import (
     join_classes,
     rare_classes,
 )
+from tabscope.session import stage_table
 
 SIZES = (0.70, 0.15, 0.15)
 SEED = 42
+# Classes that an error text names; the error holds all.
+SHOWN = 50
 # Hex digits told apart by the first and by the second counting round. The
 # first keeps 256 counts per class, so that tasks fold nearly all their rows;
 # the second meets one row in 128 and can afford more.
@@ -29,7 +32,14 @@ FIRST, SECOND = 2, 5
 
 
 class InsufficientClassSamplesError(ValueError):
-    """A class has too few rows to appear in all three parts."""
+    """Classes have too few rows to appear in all three parts; ``classes`` holds all of them with their counts."""
+
+    def __init__(self, classes: DataFrame, count: int, first: dict[str, int]):
+        self.classes = classes
+        more = f" and {count - len(first)} more, listed in .classes" if count > len(first) else ""
+        super().__init__(
+            f"a split into three parts needs {MIN_ROWS_PER_CLASS} rows of each class; too small: {first}{more}"
+        )
 
 
 def check_sizes(sizes: tuple[float, float, float]) -> None:
@@ -42,12 +52,11 @@ def check_classes(df: DataFrame, label: str) -> None:
     """Raise if a row has no label or a class is too small; the message names them."""
     if not df.filter(is_missing(col(label), df.schema[label].dataType)).isEmpty():
         raise ValueError(f"column {label!r} has missing values; every row needs a class to be split")
-    small = {r["label"]: r["count"] for r in rare_classes(df, label).limit(50).collect()}
-    if small:
-        raise InsufficientClassSamplesError(
-            "The following classes have too few rows to stratify into train/val/test "
-            f"(need >= {MIN_ROWS_PER_CLASS} each): {small}"
-        )
+    small = stage_table(rare_classes(df, label), "rare-classes")
+    count = small.count()
+    if count:
+        first = {r["label"]: r["count"] for r in small.orderBy("label").limit(SHOWN).collect()}
+        raise InsufficientClassSamplesError(small, count, first)
 
 
 def _take(counts: DataFrame, size: str, drawn: Column, out: str) -> DataFrame:

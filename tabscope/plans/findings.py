@@ -196,7 +196,7 @@ def profile_job(
     charted = heatmap_columns(df, profile.columns)
     pairs = profile.pairs
     if len(charted) < len(columns):
-        pairs = correlations(df, charted, profile=profile.columns)
+        pairs = correlations(df, charted)
     written = {"profile_json": write_record(spark, profile_record(profile), f"{output}/profile")}
     if columns:
         wide = summary_wide(profile.summary, columns).orderBy("ord").drop("ord")

@@ -22,17 +22,10 @@ from tabscope.operators.duplicates import duplicate_rows
 from tabscope.operators.summary import STATISTICS, summary_statistics
 from tabscope.session import stage_table
 
-# A result of up to this many rows may pass through the driver.
-SMALL_ROWS = 20_000
-
 
 def settled(df: DataFrame) -> DataFrame:
-    """Compute a result once. One row per column, pair or class is small and
-    kept in the plan; anything larger is written to the shared folder."""
-    rows = df.limit(SMALL_ROWS + 1).collect()
-    if len(rows) > SMALL_ROWS:
-        return stage_table(df, "settled")
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    """Compute a result once: it is written to the shared folder, whatever its size."""
+    return stage_table(df, "settled")
 
 
 @dataclass(frozen=True)
@@ -80,7 +73,7 @@ def build_profile(
     columns = settled(column_profile(df))
     totals = columns.agg(F.max("n_rows"), F.count(F.lit(1)), F.sum("octets")).first()
     n_rows, n_cols, size = totals
-    pairs = settled(correlations(df, profile=columns))
+    pairs = settled(correlations(df))
     classes = class_distribution(df, label)
     return Profile(
         columns=columns,
@@ -126,7 +119,7 @@ def profile_record(profile: Profile) -> dict:
         },
         "highly_correlated_pairs": [
             {"feature_a": r.feature_a, "feature_b": r.feature_b, "correlation": r.correlation}
-            for r in profile.correlated.collect()
+            for r in profile.correlated.orderBy(F.abs("correlation").desc(), "ord_a", "ord_b").collect()
         ],
         "label_column": profile.label,
     }

@@ -13,7 +13,7 @@ from tabscope.operators.preprocess import FittedPreprocessing
 from tabscope.operators.scoring import predictions
 from tabscope.plans.trainers import FEATURES, PROBABILITY, Scorer, load_scorer
 from tabscope.plans.training import assembled
-from tabscope.sources.registry import Registry
+from tabscope.sources.registry import version_path
 from tabscope.sources.tables import read_record
 
 
@@ -45,7 +45,7 @@ def load_bundle(
     spark: SparkSession, models: str, version: str | None = None, preprocessing: str | None = None
 ) -> Bundle:
     """Load a version, the latest by default; any missing part fails the whole load."""
-    root = Registry(spark, models).resolve(version)
+    root = version_path(spark, models, version)
     metadata = read_record(spark, f"{root}/metadata")
     fitted = FittedPreprocessing.load(
         spark, preprocessing or f"{models.rstrip('/')}/preprocessing"

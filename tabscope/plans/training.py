@@ -29,7 +29,7 @@ from tabscope.plans.trainers import (
     TreeScorer,
     available_trainers,
 )
-from tabscope.sources.registry import Registry
+from tabscope.sources.registry import free_version
 from tabscope.sources.tables import read_split, write_record
 from tabscope.session import stage_table
 
@@ -160,7 +160,7 @@ def train_candidates(
         names,
     )
 
-    version = Registry(spark, models).next_version()
+    version = free_version(spark, models)
     root = f"{models.rstrip('/')}/{version}"
     by_split = class_counts_by_split(table, label, names)
     short = ("accuracy", "precision_macro", "recall_macro", "f1_macro", "f1_weighted")

@@ -231,23 +231,58 @@ union all select feature_b, feature_a, round(r, 6) from pairs
 union all select col, col, case when hi > lo then 1.0::double end from diag"""
 
 
-def _matrix(spark, sf, method: str) -> DataFrame:
+def _matrix(spark, sf) -> DataFrame:
     df = flows(spark, sf)
     profile = column_stats.column_profile(df)
     names = correlation.heatmap_columns(df, profile)
-    pairs = correlation.correlations(df, names, profile=profile, method=method)
+    pairs = correlation.correlations(df, names)
     matrix = correlation.correlation_matrix(pairs, profile, names)
     return matrix.withColumn("r", F.round("r", 6))
 
 
 @query("correlation_matrix", MATRIX)
 def _(spark, sf):
-    return _matrix(spark, sf, "auto")
+    return _matrix(spark, sf)
 
 
 @query("correlation_matrix_products", MATRIX)
 def _(spark, sf):
-    return _matrix(spark, sf, "products")
+    """The same over a table dealt to many more tasks, whose moments are merged in two steps."""
+    df = flows(spark, sf).repartition(36)
+    profile = column_stats.column_profile(df)
+    names = correlation.heatmap_columns(df, profile)
+    matrix = correlation.correlation_matrix(correlation.correlations(df, names), profile, names)
+    return matrix.withColumn("r", F.round("r", 6))
+
+
+# Six columns; far and near live on different rows of gap, and far is huge where near is missing.
+GAPS = """gaps as (select l_orderkey % 97 + l_linenumber * 0.5 as near,
+  case when l_orderkey % 3 = 0 then 1e6 + l_partkey % 7 else 1 + 0.01 * (l_orderkey % 97 + l_linenumber * 0.5) end as far,
+  l_quantity as q, l_extendedprice as price, l_discount as disc, l_tax as tax,
+  l_orderkey % 3 = 0 as gap from lineitem)"""
+
+
+@query(
+    "correlations_with_gaps",
+    f"""with {GAPS}, wide as (select case when gap then null else near end near, far, q, price, disc, tax from gaps)
+    select a feature_a, b feature_b, round(r, 6) r from (
+    {" union all ".join(f"select '{a}' a, '{b}' b, corr({a}, {b}) r from wide where {a} is not null and {b} is not null"
+      for i, a in enumerate(("near", "far", "q", "price", "disc", "tax"))
+      for b in ("near", "far", "q", "price", "disc", "tax")[i + 1:])})""",
+)
+def _(spark, sf):
+    li = table(spark, sf, "lineitem")
+    step = F.col("l_orderkey") % 97 + F.col("l_linenumber") * 0.5
+    gap = F.col("l_orderkey") % 3 == 0
+    wide = li.select(
+        F.when(~gap, step).alias("near"),
+        F.when(gap, F.lit(1e6) + F.col("l_partkey") % 7).otherwise(1 + 0.01 * step).alias("far"),
+        F.col("l_quantity").alias("q"),
+        F.col("l_extendedprice").alias("price"),
+        F.col("l_discount").alias("disc"),
+        F.col("l_tax").alias("tax"),
+    )
+    return correlation.correlations(wide).select("feature_a", "feature_b", F.round("r", 6).alias("r"))
 
 
 @query(

@@ -45,14 +45,15 @@ def resolve_day(
     spark: SparkSession, day: str, raw_dir: str, catalog: dict[str, str] | None = None
 ) -> str:
     """Path of a capture day; nothing is downloaded."""
-    catalog = CAPTURE_DAYS if catalog is None else catalog
-    if day not in catalog:
-        raise ValueError(f"Unknown dataset key {day!r}. Known keys: {sorted(catalog)}")
-    path = f"{raw_dir.rstrip('/')}/{catalog[day]}"
+    days = catalog or CAPTURE_DAYS
+    file = days.get(day)
+    if file is None:
+        raise ValueError(f"no capture is catalogued under {day!r}, only under {', '.join(sorted(days))}")
+    path = "/".join((raw_dir.rstrip("/"), file))
     try:
         spark.read.text(path).schema
     except AnalysisException as exc:
-        raise DatasetNotFoundError(f"{path} not found; place the capture CSV there first") from exc
+        raise DatasetNotFoundError(f"the capture of {day} is missing: {path}") from exc
     return path
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscope.functions.numeric import col
+from tabscope.session import stage_table
 
 CORRUPT = "#line"
 DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -157,17 +158,38 @@ def upload_rows(upload: Upload, expected: list[str]) -> DataFrame:
     )
 
 
-def accepted_rows(upload: Upload, expected: list[str]) -> DataFrame:
-    """The rows of an upload without any error; an empty or faulty upload raises."""
-    faults = header_errors(upload.columns, expected)
-    if not faults:
-        faults = [
-            r.message
-            for source in (field_errors(upload), cell_errors(upload, expected))
-            for r in source.limit(20).collect()
-        ]
-    if not faults and upload.rows.isEmpty():
-        faults = ["the upload has no rows"]
-    if faults:
-        raise ValueError("; ".join(faults))
+class UploadFaultsError(ValueError):
+    """An upload was refused; ``faults`` holds every fault, ``count`` their number."""
+
+    def __init__(self, faults: DataFrame, count: int, first: list[str]):
+        self.faults, self.count = faults, count
+        super().__init__(f"{count} faults, all in .faults; the first: {'; '.join(first)}")
+
+
+def upload_faults(upload: Upload, expected: list[str]) -> DataFrame:
+    """Every fault as ``(line, ord, message)``: of the header alone if it has any, else of all rows and cells.
+
+    Faults of the header and an upload without rows have line 1; lines count the
+    header as 1, and ``ord`` orders the faults of a line.
+    """
+    spark = upload.rows.sparkSession
+    schema = "line long, ord int, message string"
+    header = header_errors(upload.columns, expected)
+    if header:
+        return spark.createDataFrame([(1, i, m) for i, m in enumerate(header)], schema)
+    # Row texts of the parser count from 0 after the header.
+    fields = field_errors(upload).select((F.col("row") + 2).cast("long").alias("line"), F.lit(-1).alias("ord"), "message")
+    cells = cell_errors(upload, expected).select("line", "ord", "message")
+    empty = upload.rows.agg(F.count(F.lit(1)).alias("n")).filter("n = 0")
+    none = empty.select(F.lit(1).cast("long").alias("line"), F.lit(0).alias("ord"), F.lit("the upload has no rows").alias("message"))
+    return fields.unionByName(cells).unionByName(none)
+
+
+def accepted_rows(upload: Upload, expected: list[str], shown: int = 10) -> DataFrame:
+    """The rows of an upload without any fault; else an error that holds all faults and shows the first."""
+    faults = stage_table(upload_faults(upload, expected), "upload-faults")
+    count = faults.count()
+    if count:
+        first = [r.message for r in faults.orderBy("line", "ord").limit(shown).collect()]
+        raise UploadFaultsError(faults, count, first)
     return upload_rows(upload, expected)

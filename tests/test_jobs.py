@@ -19,8 +19,8 @@ def test_findings_name_the_anomalies(small_profile):
     rows = findings.quality_findings(small_profile).orderBy("ord", "item").collect()
     heads = {r.finding: (r.subject, r["count"]) for r in rows if r.item == 0}
     assert heads["missing"] == ("total", 2) and heads["infinite"] == ("total", 1)
-    assert heads["duplicate"] == ("total", 5) and heads["imbalance"] == ("total", 3)
-    assert rows[-2].subject == "BENIGN"
+    assert heads["duplicate"] == ("total", 9) and heads["imbalance"] == ("total", 3)
+    assert rows[-2].subject == "normal"
 
 
 def test_clean_table_has_no_findings(spark):
@@ -38,21 +38,21 @@ def test_profile_job_writes_everything(spark, flow_table):
     out = shared_path(spark, "report")
     written = findings.profile_job(flow_table, out, name="flows")
     record = read_record(spark, written["profile_json"])
-    assert record["n_rows"] == 405 and record["n_cols"] == 10
-    assert record["summary_statistics"]["Flow Bytes/s"]["std"] is None
-    assert record["class_distribution"].keys() == {"BENIGN", "DDoS", "PortScan"}
+    assert record["n_rows"] == 529 and record["n_cols"] == 10
+    assert record["summary_statistics"]["Ratio/s"]["std"] is None
+    assert record["class_distribution"].keys() == {"normal", "flood", "scan"}
     json.dumps(record)
     wide = spark.read.csv(written["summary_csv"], header=True)
     assert [r.statistic for r in wide.collect()] == ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
     assert spark.read.csv(written["pairs_csv"], header=True).count() == len(record["highly_correlated_pairs"])
     text = spark.read.text(written["report"], wholetext=True).first().value
-    assert "405 rows, 10 columns" in text and "`Flow Bytes/s`" in text
+    assert "529 rows, 10 columns" in text and "`Ratio/s`" in text
     bins = spark.read.parquet(written["histograms"])
     assert bins.count() == 50 * bins.select("column").distinct().count()
     per_column = bins.groupBy("column").agg(F.sum("count").alias("n")).collect()
     finite = {r["column"]: r["n_finite"] for r in profile.column_profile(flow_table).collect()}
     assert all(r.n == finite[r["column"]] for r in per_column)
-    assert spark.read.parquet(written["missing_matrix"]).count() == 405
+    assert spark.read.parquet(written["missing_matrix"]).count() == 529
     assert spark.read.parquet(written["correlation_matrix"]).count() == 81
 
 

@@ -15,9 +15,9 @@ def write(tmp_path, name, text) -> str:
 def test_csv_types_and_names(spark, flow_table, capture):
     assert flow_table.columns == [c.strip() for c in capture.columns]
     types = dict(flow_table.dtypes)
-    assert types["Destination Port"] == "bigint" and types["Label"] == "string"
-    assert types["Flow Bytes/s"] == "double"
-    assert flow_table.count() == 405
+    assert types["Sensor"] == "bigint" and types["Label"] == "string"
+    assert types["Ratio/s"] == "double"
+    assert flow_table.count() == 529
 
 
 def test_names_are_kept_on_request(spark, capture_csv, capture):
@@ -54,8 +54,8 @@ def test_cell_kinds(spark, tmp_path):
 
 def test_day_catalogue(spark, capture_csv):
     raw = capture_csv.rsplit("/", 1)[0]
-    assert csv_tables.load_day(spark, raw_dir=raw).count() == 405
-    with pytest.raises(ValueError, match="Known keys"):
+    assert csv_tables.load_day(spark, raw_dir=raw).count() == 529
+    with pytest.raises(ValueError, match="no capture is catalogued"):
         csv_tables.resolve_day(spark, "sunday", raw)
     with pytest.raises(csv_tables.DatasetNotFoundError):
         csv_tables.resolve_day(spark, "monday", raw)
@@ -63,19 +63,19 @@ def test_day_catalogue(spark, capture_csv):
     assert both.select("day").distinct().first().day == "wednesday"
 
 
-def test_registry(spark, tmp_path):
+def test_model_versions(spark, tmp_path):
     root = str(tmp_path / "models")
-    reg = registry.Registry(spark, root)
-    assert reg.next_version() == "v1"
-    with pytest.raises(FileNotFoundError):
-        reg.latest_version()
+    assert registry.free_version(spark, root) == "v1"
+    with pytest.raises(FileNotFoundError, match="no trained model"):
+        registry.version_path(spark, root)
     for name in ("v1", "v3", "v2", "v10", "preprocessing", "v4b"):
         (tmp_path / "models" / name).mkdir(parents=True)
     (tmp_path / "models" / "v99").write_text("a file, not a version")
-    assert (reg.latest_version(), reg.next_version()) == ("v10", "v11")
-    assert reg.resolve("v2").endswith("/v2") and reg.resolve().endswith("/v10")
-    with pytest.raises(FileNotFoundError):
-        reg.resolve("v7")
+    assert registry.free_version(spark, root) == "v11"
+    assert registry.version_path(spark, root, "v2").endswith("/v2")
+    assert registry.version_path(spark, root + "/").endswith("models/v10")
+    with pytest.raises(FileNotFoundError, match="no model v7"):
+        registry.version_path(spark, root, "v7")
     names = spark.createDataFrame([("v1",), ("v10",), ("v9",), ("x",)], "name string")
     assert registry.latest_and_next(names).first().asDict() == {"latest": "v10", "next": "v11"}
     none = registry.latest_and_next(names.filter("name = 'x'")).first()
