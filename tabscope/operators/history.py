@@ -32,6 +32,20 @@ def latest_entries(history: DataFrame, n: int = LATEST) -> DataFrame:
     return history.orderBy(F.desc("ts"), F.desc("id")).limit(n)
 
 
+def single_entries(scored: DataFrame, id: str, ts: str) -> DataFrame:
+    """One history entry per prediction: its class and confidence."""
+    return scored.select(
+        F.col(id).cast("string").alias("id"),
+        F.col(ts).alias("ts"),
+        F.lit("single").alias("kind"),
+        "model_version",
+        "predicted_class",
+        "confidence",
+        F.lit(1).cast("long").alias("count"),
+        F.lit(None).cast("map<string,bigint>").alias("class_breakdown"),
+    )
+
+
 def batch_entries(scored: DataFrame, batch: str, ts: str) -> DataFrame:
     """One history entry per scored batch: its size and its class breakdown."""
     counts = scored.groupBy(batch, "model_version", "predicted_class").agg(

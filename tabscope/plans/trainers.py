@@ -57,8 +57,10 @@ class TreeScorer:
         out, margins = df, []
         for i, binary in enumerate(self.model.models):
             raw = f"#raw{i}"
-            binary.setRawPredictionCol(raw).setProbabilityCol("").setPredictionCol("")
-            out = binary.transform(out)
+            # A copy: the fitted models may still be saved or used as they are.
+            own = binary.copy()
+            own.setRawPredictionCol(raw).setProbabilityCol("").setPredictionCol("")
+            out = own.transform(out)
             margins.append(F.get(vector_to_array(raw), F.lit(1)))
         return out.select(*kept, margin_probabilities(F.array(*margins)).alias(PROBABILITY))
 

@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from tabscope.operators import classes, column_stats, contract
 from tabscope.operators.preprocess import FittedPreprocessing, select_features
-from tabscope.operators.split import split_allocation, stratified_split
+from tabscope.operators.split import (
+    InsufficientClassSamplesError,
+    check_classes,
+    split_allocation,
+    stratified_split,
+)
 from tabscope.plans.preprocessing import PreprocessingRun, preprocess_table
 from tabscope.queries import query
 from tabscope.queries.fixtures import (
@@ -95,6 +100,19 @@ def _(spark, sf):
     return classes.rare_classes(table(spark, sf, "orders").selectExpr(f"{RARE} as label"), "label")
 
 
+@query(
+    "rare_classes_of_a_split",
+    "select o_custkey::varchar label, count(*) count from orders group by 1 having count(*) < 3",
+)
+def _(spark, sf):
+    """All classes too small for a split, as its error hands them on."""
+    try:
+        check_classes(table(spark, sf, "orders"), "o_custkey")
+    except InsufficientClassSamplesError as refused:
+        return refused.classes
+    raise AssertionError("classes of one row were accepted")
+
+
 @query(
     "split_class_distribution",
     f"with {LEDGER_PLACED} select split, status label, count(*) count from placed group by all",

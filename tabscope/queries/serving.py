@@ -9,6 +9,7 @@ from tabscope.functions import text
 from tabscope.operators import contract, history, scoring
 from tabscope.operators.classes import ordered_labels
 from tabscope.plans.scoring import score_requests
+from tabscope.plans.uploads import score_upload
 from tabscope.queries import query
 from tabscope.queries.fixtures import (
     CLASS_NAMES,
@@ -147,16 +148,14 @@ def _shown(scored: DataFrame) -> DataFrame:
 )
 def _(spark, sf):
     events = table(spark, sf, "events").withColumn("ts", utc("ts"))
-    entries = events.select(
-        F.col("event_id").cast("string").alias("id"),
+    scored = events.select(
+        "event_id",
         "ts",
-        F.lit("single").alias("kind"),
         F.lit("v1").alias("model_version"),
         F.col("event_type").alias("predicted_class"),
         F.col("value").alias("confidence"),
-        F.lit(None).cast("long").alias("count"),
-        F.lit(None).cast("map<string,bigint>").alias("class_breakdown"),
     )
+    entries = history.single_entries(scored, "event_id", "ts")
     path = shared_path(spark, "history")
     cut = F.col("id").cast("long") % 2 == 0
     history.append_history(entries.filter(cut), path)
@@ -165,6 +164,23 @@ def _(spark, sf):
     return latest.select("id", "predicted_class", "confidence", F.unix_micros("ts").alias("ts_us"))
 
 
+@query(
+    "score_upload",
+    f"""with {LINEAR} select 'upload-1' id, count(*) over () count, predicted_class, n from (
+      select predicted_class, count(*) n from scored group by 1)
+    """.replace("count(*) over () count", "(sum(n) over ())::bigint count"),
+)
+def _(spark, sf):
+    """The valid requests as a CSV upload: checked, scored, stored and recorded."""
+    e = F.col("event_id")
+    rows = table(spark, sf, "events").filter((e % 10 != 0) & (e % 15 != 0)).select("user_id", "value")
+    path = shared_path(spark, "upload")
+    rows.write.csv(f"{path}/file", header=True)
+    score_upload(spark, f"{path}/file", request_bundle(spark, sf), f"{path}/scored", f"{path}/history", "upload-1")
+    entries = history.read_history(spark, f"{path}/history")
+    return entries.select("id", "count", F.explode("class_breakdown").alias("predicted_class", "n"))
+
+
 @query(
     "history_top_classes",
     """with g as (select event_id // 50 id, event_type, count(*) n from events group by all),
@@ -268,8 +284,8 @@ def _(spark, sf):
     path = shared_path(spark, "stream")
     timed = _event_stream(spark, sf).select(utc("ts").alias("ts"), "event_type")
     counts = jobs.windowed_breakdown(timed, class_column="event_type")
-    jobs.refresh_table(counts, f"{path}/out", f"{path}/checkpoint")
-    return spark.read.parquet(f"{path}/out").select(
+    jobs.update_table(counts, f"{path}/out", f"{path}/checkpoint")
+    return jobs.current_rows(spark, f"{path}/out", ["window_start", "predicted_class"]).select(
         F.unix_seconds("window_start").alias("window_start"), "predicted_class", "count"
     )
 

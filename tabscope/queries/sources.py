@@ -118,6 +118,20 @@ def _(spark, sf):
     return uploads.cell_errors(_event_upload(spark, sf), ["value", "user_id"])
 
 
+@query(
+    "upload_faults",
+    f"""with {BAD_CELLS} select line, ord, 'Row ' || line || ': "' || feature || '" is not a valid number ('
+      || raw || ')' message from bad""",
+)
+def _(spark, sf):
+    """Every fault of a refused upload, as the error hands them on."""
+    try:
+        uploads.accepted_rows(_event_upload(spark, sf), ["value", "user_id"])
+    except uploads.UploadFaultsError as refused:
+        return refused.faults
+    raise AssertionError("an upload with bad cells was accepted")
+
+
 @query(
     "upload_rows",
     """select row_number() over (order by event_id) - 1 as "row",

@@ -31,9 +31,14 @@ def route_requests(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, bad = score_requests(batch, bundle, keep=keep)
-        good.write.mode("overwrite").parquet(f"{accepted}/batch={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{rejected}/batch={batch_id}")
+        # Both tables come from one reading of the batch; what doesn't fit in memory waits on disk.
+        batch.persist()
+        try:
+            good, bad = score_requests(batch, bundle, keep=keep)
+            good.write.mode("overwrite").parquet(f"{accepted}/batch={batch_id}")
+            bad.write.mode("overwrite").parquet(f"{rejected}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return requests.writeStream.foreachBatch(write)
 
@@ -80,10 +85,23 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> None:
     )
 
 
-def refresh_table(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Replace a small aggregate table with the complete current result."""
+def update_table(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Store the changed rows of an aggregate, one folder per micro-batch.
+
+    Update mode lets the watermark drop the state of windows that are over. A
+    retried batch replaces its own folder and readers never miss the table; see
+    ``current_rows``.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    run_available(stream.writeStream.foreachBatch(write).outputMode("update"), checkpoint)
+
 
-    run_available(stream.writeStream.foreachBatch(write).outputMode("complete"), checkpoint)
+def current_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The latest state of each key of a table written by ``update_table``."""
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    latest = rows.groupBy(*[col(k) for k in keys]).agg(F.max_by(F.struct(*[col(v) for v in values]), "batch").alias("#row"))
+    return latest.select(*[col(k) for k in keys], *[F.col("#row").getField(v).alias(v) for v in values])

@@ -144,8 +144,9 @@ def test_stream_windows_and_repeats(spark):
     )
     df.coalesce(1).write.parquet(source)
     stream = jobs.stream_table(spark, source, df.schema, "*.parquet")
-    jobs.refresh_table(jobs.windowed_breakdown(stream), f"{out}/w", f"{out}/c1")
-    got = {(r.window_start, r.predicted_class): r["count"] for r in spark.read.parquet(f"{out}/w").collect()}
+    jobs.update_table(jobs.windowed_breakdown(stream), f"{out}/w", f"{out}/c1")
+    current = jobs.current_rows(spark, f"{out}/w", ["window_start", "predicted_class"])
+    got = {(r.window_start, r.predicted_class): r["count"] for r in current.collect()}
     want = {(r.window_start, r.predicted_class): r["count"] for r in jobs.windowed_breakdown(df).collect()}
     assert got == want and sum(got.values()) == 48
     jobs.append_to(jobs.without_repeats(stream, ["key"]), f"{out}/d", f"{out}/c2")
