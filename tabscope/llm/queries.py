@@ -14,14 +14,43 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def keep(run: Query) -> Query:
         QUERIES[name] = run
+        if sql is not None:
+            ORACLE[name] = sql
         return run
 
     return keep
 
 
+BLANK_WORDS = r"[^\x20\x09-\x0D]+"
+PASSAGE_SQL = f"""with w as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '{BLANK_WORDS}') words from documents),
+p as (select doc_id, len(words) n, unnest(words) word, unnest(range(len(words))) i from w),
+k as (select doc_id, n, i, md5(string_agg(word, ' ') over (partition by doc_id order by i
+  rows between current row and 19 following)) h from p),
+r as (select doc_id, i, row_number() over (partition by h order by doc_id, i) place from k where i + 20 <= n),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) i from r where place > 1),
+kept as (select doc_id, string_agg(word, ' ' order by i) t, count(*) n from p anti join gone using (doc_id, i) group by 1)
+select doc_id, len(words)::bigint n_words, (len(words) - coalesce(n, 0))::bigint n_removed,
+  sha256(coalesce(t, '')) kept_sha256 from w left join kept using (doc_id)"""
+JACCARD_SQL = f"""with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '{BLANK_WORDS}') words from documents),
+p as (select doc_id, len(words) n, unnest(words) word, unnest(range(len(words))) i from w),
+k as (select doc_id, n, i, md5(string_agg(word, ' ') over (partition by doc_id order by i
+  rows between current row and 3 following)) h from p),
+s as (select distinct doc_id, h from k where i = 0 or i + 4 <= n),
+c as (select doc_id, count(*) n from s group by 1),
+m as (select a.doc_id x, b.doc_id y, count(*) m from s a join s b using (h) where a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from m join c a on x = a.doc_id join c b on y = b.doc_id where 100 * m >= 85 * (a.n + b.n - m)),
+e as (select x, y from l union all select y, x from l),
+reach as (select doc_id, doc_id r from documents union select reach.doc_id, e.y from reach join e on reach.r = e.x)
+select doc_id, coalesce(any_value(c.n), 0)::bigint n_shingles, min(r) component_id
+from reach left join c using (doc_id) group by doc_id"""
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_columns(spark, sf_dir, "documents", "doc_id", "text")
 
@@ -43,7 +72,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
-@query("op3_substring_dedup")
+@query("op3_substring_dedup", PASSAGE_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.passage_report(documents(spark, sf_dir))
 
@@ -79,6 +108,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_report(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
-@query("op10_jaccard_join")
+@query("op10_jaccard_join", JACCARD_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_report(documents(spark, sf_dir))

@@ -18,61 +18,22 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: The labelled URL table that trains the model: names such as blocklists carry, and everyday ones.
+#: Words of the labelled URL table that trains the model: names such as blocklists carry, and everyday ones.
 BLOCKED = (
-    "http://ads-track.example.com/click",
-    "http://www.track-ads.example.net/pixel?id=1",
-    "https://adserver-track.example.org/banner",
-    "http://click-ads.example.com/en/3",
-    "https://spam-farm.example.net/de/12",
-    "http://www.link-farm.example.com/en/77",
-    "http://spam-links.example.org/offers",
-    "https://m.spam-mail.example.com/en/5.html",
-    "http://casino-win.example.com/en/9",
-    "https://blog.online-casino.example.net/bonus",
-    "http://win-casino.example.org/jackpot",
-    "http://poker-bets.example.com/en/2",
-    "http://free-bets.example.net/es/31",
-    "https://www.sport-bets.example.com/free",
-    "http://free-spins.example.org/win",
-    "http://adult-x.example.com/en/66",
-    "https://m.adult-cams.example.net/x",
-    "http://xxx-adult.example.org/videos",
-    "http://hot-adult.example.com/fr/8",
-    "http://cheap-pills.example.com/en/450",
-    "https://www.pills-online.example.net/buy",
-    "http://cheap-meds.example.org/pills",
-    "http://buy-cheap.example.com/watches",
-    "http://cheap-loans.example.net/en/1",
-)
+    "ads track spam farm casino win bets poker adult xxx pills cheap free loans clicks bonus jackpot meds replica cams"
+).split()
 ALLOWED = (
-    "http://www.library.example.com/en/450",
-    "https://city-museum.example.net/de/12",
-    "http://blog.weather.example.org/en/77",
-    "https://m.recipes.example.com/en/5.html",
-    "http://news.example.com/en/9",
-    "https://blog.gardens.example.net/fr/20",
-    "http://history.example.org/es/31",
-    "https://www.physics-school.example.com/en/2",
-    "http://rivers.example.net/es/31?page=2&ref=x",
-    "https://www.the-times.example.com/en/6",
-    "http://therion.example.org/en/66",
-    "https://m.thonder.example.net/en/8",
-    "http://blog.tionsher.example.com/en/14#top",
-    "http://athens.example.org/fr/8",
-    "http://www.handbook.example.com/de/450",
-    "https://bread.example.net/en/3/",
-    "http://teaching.example.org/en/201.html",
-    "http://earthwork.example.com/es/7",
-    "http://thenorth.example.net/en/1",
-    "https://ring-road.example.com/en/93?utm_source=feed",
-    "https://www.shoreline.example.net/en/10",
-    "http://whether.example.org/de/44",
-    "https://m.tithes.example.com/en/820",
-    "http://blog.onestead.example.net/en/61/",
-)
+    "library museum weather recipes news gardens history physics rivers school "
+    "times bread teaching earth north road shore stead ring other hands tithe there station"
+).split()
+#: Forms that say nothing about the label; their numbers have no common divisor, so all meet.
+PREFIXES = ("", "www.", "m.", "blog.")
+ENDS = ("com", "net", "org")
+PATHS = ("/en/{}", "/de/{}/", "/fr/{}.html", "/es/{}?page=2&ref=x", "/en/{}#top")
 FEATURES = 1 << 16
 SIZES = (3, 4, 5)
+#: A page is blocked from this probability on, so that names unlike any labelled one pass.
+THRESHOLD = 0.8
 
 
 @dataclass(frozen=True)
@@ -112,10 +73,20 @@ def with_grams(df: DataFrame, url_col: str) -> DataFrame:
     return step.withColumn("_ug", F.concat(ngrams(F.col("_uh"), "h"), ngrams(F.col("_up"), "p")))
 
 
+def label_rows() -> list[tuple[str, int]]:
+    """The labelled table as (url, label); 1 blocks. Each word meets four others, with and without a hyphen."""
+    rows = []
+    for label, words in ((1, BLOCKED), (0, ALLOWED)):
+        names = [f"{w}{'-' * (k % 2 or label)}{words[(i + k) % len(words)]}" for k in (1, 2, 3, 5) for i, w in enumerate(words)]
+        for n, name in enumerate([*words, *names]):
+            host = f"{PREFIXES[n % len(PREFIXES)]}{name}.example.{ENDS[n % len(ENDS)]}"
+            rows.append((f"http://{host}{PATHS[n % len(PATHS)].format(n * 37 % 1000)}", label))
+    return rows
+
+
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The labelled table as rows (url, label); label 1 blocks."""
-    rows = [f"('{u}', {label}D)" for label, urls in ((1, BLOCKED), (0, ALLOWED)) for u in urls]
-    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(url, label)")
+    """The labelled table as rows (url, label)."""
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(f"('{u}', {x}D)" for u, x in label_rows())} AS t(url, label)")
 
 
 def fit_urls(labelled: DataFrame, url_col: str = "url", label_col: str = "label") -> UrlModel:
@@ -124,7 +95,7 @@ def fit_urls(labelled: DataFrame, url_col: str = "url", label_col: str = "label"
     rows = hashing.transform(with_grams(labelled, url_col)).select("_uf", F.col(label_col).cast("double").alias("_ul"))
     regression = LogisticRegression(
         featuresCol="_uf", labelCol="_ul", predictionCol="_ux", probabilityCol="_uq", rawPredictionCol="_ur",
-        regParam=0.02, maxIter=60, standardization=False,
+        regParam=0.02, maxIter=60, standardization=False, threshold=THRESHOLD,
     )
     return UrlModel(hashing, regression.fit(rows))
 
@@ -135,16 +106,20 @@ def rule_text(host: str, path: str) -> str:
 
 def rule_verdict(rules: tuple[tuple[str, str, str], ...] = RULES) -> Column:
     """The longest fitting rule as struct (rule, verdict), else null."""
-    out = None
+    out = F.when(F.lit(False), F.struct(F.lit("").alias("rule"), F.lit("").alias("verdict")))
     for verdict, host, path in sorted(rules, key=lambda r: -len(rule_text(*r[1:]))):
         fits = ((F.col("_uh") == host) | F.col("_uh").endswith("." + host)) & F.col("_up").startswith(path)
         value = F.struct(F.lit(rule_text(host, path)).alias("rule"), F.lit(verdict).alias("verdict"))
-        out = F.when(fits, value) if out is None else out.when(fits, value)
-    return F.lit(None) if out is None else out
+        out = out.when(fits, value)
+    return out
 
 
 def judge_urls(
-    pages: DataFrame, model: UrlModel, id_col: str = "page_id", url_col: str = "url"
+    pages: DataFrame,
+    model: UrlModel,
+    rules: tuple[tuple[str, str, str], ...] = RULES,
+    id_col: str = "page_id",
+    url_col: str = "url",
 ) -> DataFrame:
     """Host, path, rule and verdict per page.
 
@@ -154,7 +129,7 @@ def judge_urls(
     # Only the three columns that are needed are read, so clashing names can't matter.
     step = with_grams(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")), "url")
     scored = model.regression.transform(model.hashing.transform(step))
-    judged = scored.withColumn("_uv", rule_verdict())
+    judged = scored.withColumn("_uv", rule_verdict(rules))
     own = F.when(F.col("_ux") == 1.0, "block").otherwise("allow")
     return judged.select(
         "page_id",
