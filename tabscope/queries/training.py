@@ -1,4 +1,8 @@
-"""Queries of training and model scoring on the embedding table; compared by rows only."""
+"""Queries of training and model scoring on the embedding table.
+
+What a fitted model answers is compared by rows only; what must hold of any
+fitted model (counts, parameters, totals, consistency) is compared with SQL.
+"""
 
 from __future__ import annotations
 
@@ -20,7 +24,7 @@ from tabscope.plans.training import (
     train_candidates,
 )
 from tabscope.queries import query
-from tabscope.queries.fixtures import app, table
+from tabscope.queries.fixtures import app, split_sql, table
 from tabscope.session import shared_path
 from tabscope.sources.tables import read_split
 
@@ -163,3 +167,85 @@ def _(spark, sf):
     return scored.select(
         "vec_id", "class", "predicted_class", "confidence", "model_version"
     )
+
+
+VECTORS = f"""vectors as (select vec_id, embedding, 'class ' || label as class from embeddings),
+{split_sql('vectors', 'class', 'vec_id')}"""
+MODELS = ("random_forest", "boosted_depth6", "boosted_wide")
+
+
+@query(
+    "training_counts",
+    f"with {VECTORS} select split, class as label, count(*) n from placed group by all",
+)
+def _(spark, sf):
+    """Rows per part and class, from the summary stored with the trained model."""
+    run, models = trained(spark, sf)
+    counts = load_bundle(spark, models, run.version).training_summary(spark)["class_distribution"]
+    rows = [(split, label, n) for split, own in counts.items() for label, n in own.items()]
+    return spark.createDataFrame(rows, "split string, label string, n long")
+
+
+@query(
+    "bundle_parameters",
+    f"""with {VECTORS}, long as (select unnest(range({DIMENSIONS}))::int ord, unnest(embedding)::double v
+      from placed where split = 'train')
+    select ord, 'e' || ord as feature, round(quantile_cont(v, 0.5), 6) as "median",
+      round(avg(v), 6) mean, round(stddev_pop(v), 6) as "scale" from long group by ord""",
+)
+def _(spark, sf):
+    """Medians, means and scales of the training part, from the loaded bundle."""
+    run, models = trained(spark, sf)
+    fitted = load_bundle(spark, models, run.version).preprocessing.parameters(spark)
+    return fitted.select("ord", "feature", *[F.round(c, 6).alias(c) for c in ("median", "mean", "scale")])
+
+
+@query(
+    "model_facts",
+    f"""select {DIMENSIONS} n_features, string_agg(distinct 'class ' || label, ',' order by 'class ' || label)
+      label_classes, true as measured from embeddings""",
+)
+def _(spark, sf):
+    run, models = trained(spark, sf)
+    info = model_info(spark, load_bundle(spark, models, run.version))
+    return info.select(
+        F.size("feature_names").alias("n_features"),
+        F.concat_ws(",", F.array_sort("label_classes")).alias("label_classes"),
+        F.col("metrics")["accuracy"].between(0.0, 1.0).alias("measured"),
+    )
+
+
+@query(
+    "importance_facts",
+    f"select unnest({list(MODELS)}) as model, {DIMENSIONS}::bigint n_features, 1.0::double total, true as positive "
+    "from (select count(*) from embeddings)",
+)
+def _(spark, sf):
+    """Every candidate weighs every feature, and its weights add up to one."""
+    rows = importance_rows(spark, trained(spark, sf)[0].summary)
+    return rows.groupBy("model").agg(
+        F.countDistinct("feature").alias("n_features"),
+        F.round(F.sum("importance"), 9).alias("total"),
+        (F.min("importance") >= 0).alias("positive"),
+    )
+
+
+@query(
+    "score_facts",
+    "select vec_id, 'class ' || label as class, true as known, true as sums_to_one, true as largest from embeddings",
+)
+def _(spark, sf):
+    """Each prediction names a class, the one of the largest probability, and the probabilities add up to one."""
+    run, models = trained(spark, sf)
+    bundle = load_bundle(spark, models, run.version)
+    p = F.map_values("class_probabilities")
+    return score(vectors(spark, sf), bundle, keep=("vec_id", "class")).select(
+        "vec_id",
+        "class",
+        F.col("predicted_class").isin(bundle.classes).alias("known"),
+        (F.abs(F.aggregate(p, F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9).alias("sums_to_one"),
+        (
+            (F.col("confidence") == F.array_max(p))
+            & (F.element_at("class_probabilities", F.col("predicted_class")) == F.col("confidence"))
+        ).alias("largest"),
+    )
