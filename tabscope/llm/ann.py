@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by a permutation index.
 
 A vector is represented by its nearest pivots in order and posted in the
-inverted file of each of them. A query reads the files of its own nearest
+inverted files of the first of them. A query reads the files of its own first
 pivots, ranks what it finds by the footrule distance of the two orders, and
 computes the inner product for the best of them.
 """
@@ -22,18 +22,27 @@ from tabscope.session import stage_table
 
 @dataclass(frozen=True)
 class IndexShape:
-    """Pivots grow with the square root of the vectors within fixed bounds, so files and work per query do too."""
+    """Pivots grow with the root of the vectors within fixed bounds, so files and work per query do too.
 
-    pivots_per_root: float = 2.0
-    least_pivots: int = 8
+    ``order`` pivots represent a vector, and it is posted with the first
+    ``files``. Of what a query reads in a file, the share ``rerank`` x n ** -0.4 by
+    footrule is reranked, all of it in a small table.
+    """
+
+    pivots_per_root: float = 1.0
+    least_pivots: int = 64
     most_pivots: int = 4096
-    order: int = 8
-    block: int = 512
-    rerank: int = 160
+    order: int = 64
+    files: int = 16
+    block: int = 1024
+    rerank: float = 9.0
 
     def pivots(self, n: int) -> int:
         return min(self.most_pivots, max(self.least_pivots, round(self.pivots_per_root * n**0.5)))
 
+    def share(self, n: int) -> float:
+        return min(1.0, self.rerank * max(n, 1) ** -0.4)
+
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """vec_id, vec, h1, h2: vectors that take part, with two hashes of their numbers.
@@ -68,42 +77,65 @@ def nearest_pivots(x: np.ndarray, extra: np.ndarray, pivots: np.ndarray, order:
     return np.take_along_axis(part, np.lexsort((part, -inner), axis=1), axis=1).astype(np.int32)
 
 
-def footrule(query: np.ndarray, others: np.ndarray, n_pivots: int) -> np.ndarray:
-    """Distance of one order to each row of ``others``; a pivot outside an order counts as its next place."""
-    k = len(query)
-    place = np.full(n_pivots, k)
-    place[query] = np.arange(k)
-    theirs = place[others]
-    # Pivots of the query that the other lacks stand at place k there.
-    return np.abs(theirs - np.arange(k)).sum(axis=1) + (k - np.arange(k)).sum() - (k - theirs).sum(axis=1)
+def place_codes(near: np.ndarray, n_pivots: int) -> np.ndarray:
+    """Orders as bitmaps: for each pivot, whether it stands among the first 1, 2, 4, ... of the order."""
+    k = near.shape[1]
+    place = np.full((len(near), n_pivots), k, dtype=np.int32)
+    np.put_along_axis(place, near, np.arange(k, dtype=np.int32)[None, :].repeat(len(near), axis=0), axis=1)
+    width = -(-n_pivots // 64) * 64
+    codes = []
+    first = 1
+    while first <= k:
+        bits = np.zeros((len(near), width), dtype=bool)
+        bits[:, :n_pivots] = place < first
+        codes.append(np.packbits(bits, axis=1).view(np.uint64))
+        first *= 2
+    return np.hstack(codes)
+
+
+def footrule(query: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Footrule distance of one coded order to others: the sum of how far each pivot's place moves.
+
+    Places are told apart in classes that double, and a pivot outside an order
+    stands in the class after the last.
+    """
+    return np.bitwise_count(others ^ query).sum(axis=1, dtype=np.int64)
 
 
-def searched(postings: DataFrame, asked: DataFrame, width: int, n_pivots: int, top: int, rerank: int) -> DataFrame:
+def searched(postings: DataFrame, asked: DataFrame, kind: str, width: int, n_pivots: int, top: int, share: float) -> DataFrame:
     """q, c, score: the ``top`` best classes of each posting block for each query that reads it.
 
     Both sides carry file, block (of the postings) and qblock (of the queries), so
     that a group holds at most one block of either, however full a file is.
     """
 
+    def vectors_of(t: pa.Table) -> np.ndarray:
+        return np.frombuffer(b"".join(t["raw"].to_pylist()), dtype=kind).reshape(-1, width).astype(np.float64)
+
+    def codes_of(t: pa.Table) -> np.ndarray:
+        near = np.frombuffer(b"".join(t["near"].to_pylist()), dtype="<i2").reshape(t.num_rows, -1)
+        return place_codes(near.astype(np.int64), n_pivots)
+
     def search(_: object, found: pa.Table, wanted: pa.Table) -> pa.Table:
-        qs, cs, scores = [], [], []
+        qs, cs, scores = [], [np.zeros(0, np.int64)], [np.zeros(0)]
         if found.num_rows and wanted.num_rows:
-            x, y = matrix(found["vec"].combine_chunks(), width), matrix(wanted["vec"].combine_chunks(), width)
-            order = lambda t: matrix(t["near"].combine_chunks(), len(t["near"][0]))
-            x_near, y_near, ids = order(found), order(wanted), found["cls"].to_numpy()
+            x, y, ids = vectors_of(found), vectors_of(wanted), found["cls"].to_numpy()
+            x_code, y_code = codes_of(found), codes_of(wanted)
+            most = min(len(ids), max(top, int(np.ceil(share * len(ids)))))
             for i, q in enumerate(wanted["cls"].to_pylist()):
                 rows = np.arange(len(ids))
-                if len(ids) > rerank:
-                    rows = np.argpartition(footrule(y_near[i], x_near, n_pivots), rerank)[:rerank]
+                if most < len(ids):
+                    rows = np.argpartition(footrule(y_code[i], x_code), most - 1)[:most]
                 score = (x[rows] * y[i]).sum(axis=1)
+                if top < len(rows):
+                    # Ties at the end of the list are all kept for the order by id.
+                    keep = score >= np.partition(score, len(score) - top)[len(score) - top]
+                    rows, score = rows[keep], score[keep]
                 best = np.lexsort((ids[rows], -score))[:top]
                 qs += [q] * len(best)
                 cs.append(ids[rows][best])
                 scores.append(score[best])
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        return pa.table(
-            {"q": pa.array(qs, pa.int64()), "c": join(cs, np.int64), "score": join(scores, np.float64)}
-        )
+        return pa.table({"q": pa.array(qs, pa.int64()), "c": np.concatenate(cs), "score": np.concatenate(scores)})
 
     keys = ("file", "block", "qblock")
     return postings.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "q long, c long, score double")
@@ -146,7 +178,7 @@ def nearest(
     )
     n, longest = classes.agg(F.count("*"), F.max("len2")).first()
     n_pivots = min(n, shape.pivots(n))
-    order = min(shape.order, n_pivots)
+    order, files = min(shape.order, n_pivots), min(shape.files, n_pivots)
     # A bounded number of vectors, the first by a hash: the pivots.
     chosen = classes.orderBy(F.xxhash64("h1", "h2"), "cls").limit(n_pivots).select("vec", "len2").collect()
     width = len(chosen[0]["vec"]) if chosen else 1
@@ -154,6 +186,9 @@ def nearest(
     pivots = np.array([r["vec"] for r in chosen]).reshape(-1, width)
     pivots = np.hstack([pivots, room([r["len2"] for r in chosen])[:, None]])
 
+    element = vectors.schema[vec_col].dataType.elementType.typeName()
+    kind = "<f4" if element == "float" else "<f8"
+
     def orders(as_query: bool):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -161,40 +196,43 @@ def nearest(
                     continue
                 x = matrix(batch.column(1), width)
                 extra = np.zeros(len(x)) if as_query else room(batch.column(2).to_numpy())
-                near = nearest_pivots(x, extra, pivots, order)
+                near = nearest_pivots(x, extra, pivots, order).astype("<i2")
+                first = pa.array(list(near[:, :files].astype(np.int32)), pa.list_(pa.int32()))
+                raw = pa.array([v.tobytes() for v in x.astype(kind)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(list(near), pa.list_(pa.int32()))], ["cls", "vec", "near"]
+                    [batch.column(0), raw, pa.array([v.tobytes() for v in near], pa.binary()), first],
+                    ["cls", "raw", "near", "files"],
                 )
 
         return run
 
-    schema = "cls long, vec array<double>, near array<int>"
+    schema = "cls long, raw binary, near binary, files array<int>"
     columns = ("cls", "vec", "len2")
     indexed = stage_table(classes.select(*columns).mapInArrow(orders(False), schema), "ann-index")
     asking = stage_table(classes.filter("asks = 1").select(*columns).mapInArrow(orders(True), schema), "ann-queries")
 
     def blocks_of(frame: DataFrame) -> list[int]:
         """Blocks of each file, from the counts of at most ``most_pivots`` files."""
-        counts = {r["file"]: r["count"] for r in frame.select(F.explode("near").alias("file")).groupBy("file").count().collect()}
+        counts = {r["file"]: r["count"] for r in frame.select(F.explode("files").alias("file")).groupBy("file").count().collect()}
         return [-(-counts.get(p, 0) // shape.block) or 1 for p in range(n_pivots)]
 
-    file = lambda frame: frame.select("*", F.explode("near").alias("file"))
+    file = lambda frame: frame.select("cls", "raw", "near", F.explode("files").alias("file"))
     at = lambda blocks: F.element_at(literal_array(blocks or [1], "int"), F.col("file") + 1)
     own = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     blocks, qblocks = blocks_of(indexed), blocks_of(asking)
     postings = file(indexed).withColumn("block", own(at(blocks))).withColumn("qblock", all_of(at(qblocks)))
     asked = file(asking).withColumn("qblock", own(at(qblocks))).withColumn("block", all_of(at(blocks)))
-    hits = searched(postings, asked, width, n_pivots, k + 1, shape.rerank)
+    hits = searched(postings, asked, kind, width, n_pivots, k + 1, shape.share(n))
     best = stage_table(best_rows(hits, offered, k), "ann-best")
     wanted = min(k + 1, narrow.count())
     short = stage_table(asking.join(best.filter(F.size("found") >= wanted), F.col("cls") == F.col("q"), "left_anti"), "ann-short")
     if short.limit(1).count():
         # All blocks of all vectors, for those queries alone.
         n_blocks, n_short = F.lit(-(-n // shape.block)), F.lit(-(-short.count() // shape.block))
-        every_file = indexed.withColumn("file", F.lit(-1)).withColumn("block", own(n_blocks)).withColumn("qblock", all_of(n_short))
-        all_files = short.withColumn("file", F.lit(-1)).withColumn("qblock", own(n_short)).withColumn("block", all_of(n_blocks))
-        exact = searched(every_file, all_files, width, n_pivots, k + 1, shape.block * 4)
+        every_file = indexed.drop("files").withColumn("file", F.lit(-1)).withColumn("block", own(n_blocks)).withColumn("qblock", all_of(n_short))
+        all_files = short.drop("files").withColumn("file", F.lit(-1)).withColumn("qblock", own(n_short)).withColumn("block", all_of(n_blocks))
+        exact = searched(every_file, all_files, kind, width, n_pivots, k + 1, 1.0)
         rest = best.join(short, F.col("cls") == F.col("q"), "left_anti")
         best = rest.unionByName(best_rows(exact, offered, k))
     queries = narrow.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "h1", "h2")

@@ -238,13 +238,19 @@ def test_short_lists_are_completed(spark):
     """With too few files read, the remaining queries read every block."""
     x = vectors(200)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    shape = ann.IndexShape(pivots_per_root=8.0, order=1, block=16)
+    shape = ann.IndexShape(pivots_per_root=8.0, files=1, block=16)
     assert ann.nearest(df, shape=shape).count() == 10 * 20
 
 
 def test_footrule():
-    a, b = np.array([3, 1, 0]), np.array([[3, 1, 0], [1, 3, 0], [4, 5, 6]])
-    assert ann.footrule(a, b, 8).tolist() == [0, 2, 12]
+    """Each pivot adds how many classes (first, second, to fourth, beyond) its place moves."""
+    orders = np.array([[3, 1, 0, 2], [1, 3, 0, 2], [4, 5, 6, 7]])
+    codes = ann.place_codes(orders, 70)
+    classes = lambda o: {p: [0, 1, 2, 2][k] for k, p in enumerate(o)}
+    for i in range(3):
+        a = classes(orders[i])
+        want = [sum(abs(a.get(p, 3) - classes(o).get(p, 3)) for p in range(70)) for o in orders]
+        assert ann.footrule(codes[i], codes).tolist() == want
 
 
 URLS = [
