@@ -17,27 +17,39 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabscope.llm.bpe import byte_names
 from tabscope.llm.common import bound_arrow_batches
 from tabscope.session import stage_table
 
 LENGTH = 4096
 OPEN_WINDOWS = 32
-MERGED_PARTITIONS = 32
+MERGED_PARTITIONS = 8
 END_ID = 2
 #: A window with no more room than this is emitted as it is; a larger gap is filled by cutting a document.
 SPARE = LENGTH // 128
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 600_000
 #: Blanks to Python's split() that aren't white space to the tokenizer, and the start of its special tokens.
 UNSAFE = re.compile("[\x1c-\x1f]|<\\|")
+#: Beyond Latin letters, which are lower-cased one by one and are in composed form already.
+NOT_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
+#: A comma or full stop behind another mark belongs to the mark's piece.
+MARKS = re.compile(r"(?:[^\w\s]|_)[,.]\s")
+#: The tokenizer's pieces of lower-cased text.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 FIRST_MERGED = 1 << 62
 
 
 class WordIds:
-    """Ids by white-space separated chunk, which this tokenizer encodes apart; remembers a fixed number of chunks."""
+    """Ids by white-space separated chunk, which this tokenizer encodes apart; remembers a fixed number of chunks.
+
+    Latin text is lower-cased and cut here, so that only new pieces meet the
+    merges. Other chunks go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,19 +58,43 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.visible = {b: c for c, b in byte_names().items() if ord(c) != b}
         self.seen: dict[str, bytes] = {}
 
     def fresh(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def chunks(self, text: str) -> list[str] | None:
+        """Keys of the text's chunks; a leading blank marks one that isn't Latin. None if it can't be cut."""
+        if UNSAFE.search(text):
+            return None
+        if NOT_LATIN.search(text):
+            return [" " + c for c in text.split()]
+        text = text.lower()
+        if not MARKS.search(text):
+            text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
+        return text.split()
+
+    def merged(self, piece: str) -> bytes:
+        shown = piece.encode().decode("latin-1").translate(self.visible)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+
+    def learn(self, keys: list[str]) -> None:
+        other = [k for k in keys if k[0] == " "]
+        self.seen.update(zip(other, self.fresh([k[1:] for k in other]), strict=True))
+        for key in keys:
+            if key[0] != " ":
+                self.seen[key] = b"".join(map(self.merged, PIECES.findall(key)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [None if UNSAFE.search(t) else t.split() for t in texts]
+        chunks = [self.chunks(t) for t in texts]
         wanted = set().union(*(c for c in chunks if c))
-        new = list(wanted.difference(self.seen))
+        new = wanted.difference(self.seen)
         if len(self.seen) + len(new) > KNOWN_WORDS:
             self.seen.clear()
-            new = list(wanted)
-        self.seen.update(zip(new, self.fresh(new), strict=True))
+            new = wanted
+        self.learn(list(new))
         get = self.seen.__getitem__
         return [self.fresh([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, chunks, strict=True)]
 
