@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabscope.functions.numeric import col, ratio
+from tabscope.functions.ordering import order_cuts
 
 SCALARS = (
     "accuracy",
@@ -167,24 +168,6 @@ def classification_report(
     return per_class.union(both.select(F.inline(F.array(*lines))))
 
 
-# Bits of a score's mantissa that each of two further cuts tells apart.
-CUT_BITS = 18
-
-
-def _cuts(score: Column) -> list[Column]:
-    """Three numbers whose order agrees with the score's: its size by powers of two, then its leading digits.
-
-    Each is monotone where those before it are equal, also after rounding, so
-    scores that differ in any of them are in the right order.
-    """
-    size = F.abs(score)
-    exponent = F.floor(F.log2(size))
-    power = F.when(score == 0, 0).when(score > 0, exponent + 10_000).otherwise(-exponent - 10_000)
-    mantissa = F.when(score == 0, 0.0).otherwise(score / F.pow(F.lit(2.0), F.greatest(exponent, F.lit(-1000))))
-    coarse, fine = (F.floor(mantissa * float(1 << bits)) for bits in (CUT_BITS, 2 * CUT_BITS))
-    return [power.cast("long"), coarse, fine]
-
-
 def roc_auc_by_class(df: DataFrame, y: str, probabilities: str, labels: list[int]) -> DataFrame:
     """``(code, positives, negatives, auc)`` of each class against the rest.
 
@@ -208,7 +191,7 @@ def roc_auc_by_class(df: DataFrame, y: str, probabilities: str, labels: list[int
     keys = ["code", "power", "coarse", "fine"]
     level = scores.select(
         "code", "score", "pos", "neg",
-        *[c.alias(n) for c, n in zip(_cuts(F.col("score")), keys[1:], strict=True)],
+        *[c.alias(n) for c, n in zip(order_cuts(F.col("score")), keys[1:], strict=True)],
         (F.col("pos").cast("double") * F.col("neg") / 2).alias("won"),
     )
     for order in ("score", "fine", "coarse", "power"):

@@ -197,7 +197,6 @@ def fit(
     train: DataFrame,
     label: str = "Label",
     low_variance: float = LOW_VARIANCE,
-    **quantile_options,
 ) -> FittedPreprocessing:
     """Learn everything from ``train``: one pass for the moments, one for the
     medians of the kept columns, one over the label column."""
@@ -208,9 +207,7 @@ def fit(
     n_rows = chosen.stats[chosen.kept[0]]["n_rows"]
     medians = {
         r["column"]: r["value"]
-        for r in exact_quantiles(
-            train, chosen.kept, (0.5,), finite_only=True, n_rows=n_rows, **quantile_options
-        ).collect()
+        for r in exact_quantiles(train, chosen.kept, (0.5,), finite_only=True).collect()
     }
     features = []
     for c in chosen.kept:

@@ -1,62 +1,24 @@
-"""Exact quantiles with linear interpolation, at any table size.
-
-Spark's ``percentile`` keeps every distinct value of a column in one task, so
-it serves only tables of a checked size. Beyond that each wanted order
-statistic is narrowed between two approximate quantiles, whose ranks are then
-counted exactly; only values strictly inside the last, small interval are
-sorted. Ties are settled by the counts, so a value that holds any share of
-the rows costs nothing extra, and a poor approximation costs another pass but
-never a wrong result.
+"""Exact quantiles with linear interpolation, at any table size and in two passes over the table.
+
+Spark's ``percentile`` keeps every distinct value of a column in one task. Here
+the first pass counts all columns' values by their leading digits, which folds
+within tasks, and so finds the cut that each wanted order statistic lies in. The
+second pass keeps the values of those cuts alone and reads the statistics off
+their running counts. Ties are counts, so a value that holds any share of the
+rows costs nothing extra.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscope.functions.numeric import finite_sql, known_sql, sql_number, sql_text
-from tabscope.operators.column_stats import chunked
+from tabscope.functions.ordering import order_cuts
+from tabscope.session import stage_table
 
 QUARTILES = (0.25, 0.5, 0.75)
 
-# Largest table whose columns go through the one-task ``percentile``.
-DIRECT_ROWS = 2_000_000
-# Columns per such aggregate: each has one last task, so fewer run more abreast.
-DIRECT_CHUNK = 4
-# Most values of one interval that are sorted within a task.
-SORT_ROWS = 200_000
-ACCURACY = 10_000
-CHUNK = 16
-
-RESULT = "ord int, column string, prob double, value double"
-
-
-@dataclass
-class _Target:
-    """One order statistic: the value of 0-based ``rank`` among ``n``."""
-
-    column: str
-    rank: int
-    n: int
-    # Both ends are exclusive; ``below`` counts the values up to and with ``low``.
-    low: float | None = None
-    high: float | None = None
-    below: int = 0
-    inside: int = field(default=0)
-    value: float | None = None
-
-    def inside_sql(self, value: str) -> str:
-        """The value where it lies strictly within the interval, else NULL."""
-        tests = [f"({value}) IS NOT NULL"]
-        if self.low is not None:
-            tests.append(f"({value}) > {sql_number(self.low)}")
-        if self.high is not None:
-            tests.append(f"({value}) < {sql_number(self.high)}")
-        return f"CASE WHEN {' AND '.join(tests)} THEN {value} END"
-
 
 def _values(df: DataFrame, columns: list[str], finite_only: bool) -> dict[str, str]:
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -64,139 +26,25 @@ def _values(df: DataFrame, columns: list[str], finite_only: bool) -> dict[str, s
     return {c: f"CAST({pick(c, types[c])} AS DOUBLE)" for c in columns}
 
 
-def _direct(df: DataFrame, columns: list[str], probs, values: dict[str, str]) -> DataFrame:
-    """All quantiles by the built-in exact aggregate, as rows."""
-    wanted = f"array({', '.join(sql_number(p) for p in probs)})"
-    unknown = f"transform({wanted}, p -> CAST(NULL AS DOUBLE))"
-    parts = []
-    for group in chunked(list(enumerate(columns)), DIRECT_CHUNK):
-        wide = df.agg(
-            *[
-                F.expr(
-                    f"named_struct('ord', {i}, 'column', {sql_text(c)}, "
-                    f"'q', coalesce(percentile({values[c]}, {wanted}), {unknown})) AS s{i}"
-                )
-                for i, c in group
-            ]
-        )
-        parts.append(wide.selectExpr(f"inline(array({', '.join(f's{i}' for i, _ in group)}))"))
-    return reduce(DataFrame.union, parts).selectExpr(
-        "ord", "column", f"inline(arrays_zip({wanted}, q)) AS (prob, value)"
-    )
+def _long(df: DataFrame, columns: list[str], values: dict[str, str]) -> DataFrame:
+    """``(ord, v)``: the values that are present, with their first two cuts."""
+    cells = ", ".join(f"named_struct('ord', {i}, 'v', {values[c]})" for i, c in enumerate(columns))
+    long = df.selectExpr(f"inline(array({cells}))").filter("v IS NOT NULL")
+    power, coarse, fine = order_cuts(F.col("v"))
+    return long.select("ord", "v", power.alias("power"), coarse.alias("coarse"), fine.alias("fine"))
 
 
-def _first_row(df: DataFrame, texts: list[str], size: int = 24) -> list:
-    """The aggregates as one list; a bounded number of scalars per job."""
-    out: list = []
-    for group in chunked(texts, size):
-        out.extend(df.agg(*[F.expr(e).alias(f"e{i}") for i, e in enumerate(group)]).first())
-    return out
-
-
-def _counts(t: _Target, low: float, high: float, value: str) -> str:
-    inside = t.inside_sql(value)
-    tests = {
-        "lt_low": f"< {sql_number(low)}",
-        "le_low": f"<= {sql_number(low)}",
-        "lt_high": f"< {sql_number(high)}",
-        "le_high": f"<= {sql_number(high)}",
-    }
-    cells = [f"'{n}', count_if(({inside}) {test})" for n, test in tests.items()]
-    return f"named_struct({', '.join(cells)})"
-
-
-def _narrow(df: DataFrame, targets: list[_Target], values: dict[str, str]) -> None:
-    """One refinement: approximate bounds, then the exact counts around them."""
-    slack = 2.0 / ACCURACY
-    # Targets of one column that still share an interval share one sketch.
-    sharing: dict[tuple, list[_Target]] = {}
-    for t in targets:
-        sharing.setdefault((t.column, t.low, t.high), []).append(t)
-    sketches = []
-    for group in sharing.values():
-        fractions = [
-            min(max((t.rank - t.below) / t.inside + side, 0.0), 1.0)
-            for t in group
-            for side in (-slack, slack)
-        ]
-        inside = group[0].inside_sql(values[group[0].column])
-        sketches.append(
-            f"percentile_approx({inside}, array({', '.join(map(sql_number, fractions))}), {ACCURACY})"
-        )
-    targets = [t for group in sharing.values() for t in group]
-    bounds = [pair for cut in _first_row(df, sketches) for pair in chunked(list(cut), 2)]
-    counts = _first_row(
-        df, [_counts(t, low, high, values[t.column]) for t, (low, high) in zip(targets, bounds)]
-    )
-    for t, (low, high), n in zip(targets, bounds, counts):
-        seek = t.rank - t.below
-        if n.lt_low <= seek < n.le_low:
-            t.value = low
-        elif n.lt_high <= seek < n.le_high:
-            t.value = high
-        elif seek < n.lt_low:
-            t.high, t.inside = low, n.lt_low
-        elif seek >= n.le_high:
-            t.low, t.below, t.inside = high, t.below + n.le_high, t.inside - n.le_high
-        else:
-            t.low, t.high = low, high
-            t.below, t.inside = t.below + n.le_low, n.lt_high - n.le_low
-
-
-def _sort_inside(df: DataFrame, targets: list[_Target], values: dict[str, str]) -> None:
-    """Read the wanted ranks off the sorted values of the last intervals."""
-    cells = ", ".join(
-        f"named_struct('target', {i}, 'v', {t.inside_sql(values[t.column])})"
-        for i, t in enumerate(targets)
-    )
-    seeks = df.sparkSession.createDataFrame(
-        [(i, t.rank - t.below) for i, t in enumerate(targets)], "target int, seek long"
-    )
-    inside = df.selectExpr(f"inline(filter(array({cells}), s -> s.v IS NOT NULL))")
-    tied = inside.groupBy("target", "v").count()
-    # Each target owns at most SORT_ROWS values here, as counted before.
-    running = tied.selectExpr(
-        "target", "v", "count", "sum(count) over (partition by target order by v) as upto"
-    )
-    found = (
-        running.join(F.broadcast(seeks), "target")
-        .filter("seek < upto and seek >= upto - count")
-        .select("target", "v")
-    )
-    for row in found.collect():
-        targets[row.target].value = row.v
-
-
-def _selected(df, columns, probs, values, sort_rows) -> list[tuple]:
-    counts = dict(zip(columns, _first_row(df, [f"count({values[c]})" for c in columns])))
-    targets: dict[tuple[str, int], _Target] = {}
-    for c in columns:
-        for p in probs:
-            if counts[c]:
-                position = p * (counts[c] - 1)
-                for rank in {int(position), min(int(position) + 1, counts[c] - 1)}:
-                    targets[c, rank] = _Target(c, rank, counts[c], inside=counts[c])
-    while True:
-        open_ = [t for t in targets.values() if t.value is None and t.inside > sort_rows]
-        if not open_:
-            break
-        _narrow(df, open_, values)
-    last = [t for t in targets.values() if t.value is None]
-    for group in chunked(last, CHUNK):
-        _sort_inside(df, group, values)
-    out = []
-    for i, c in enumerate(columns):
-        for p in probs:
-            if not counts[c]:
-                out.append((i, c, float(p), None))
-                continue
-            position = p * (counts[c] - 1)
-            rank, part = int(position), position - int(position)
-            a = targets[c, rank].value
-            b = targets[c, min(rank + 1, counts[c] - 1)].value
-            value = a if part == 0 or a == b else (1 - part) * a + part * b
-            out.append((i, c, float(p), value))
-    return out
+def _found(counts: DataFrame, wanted: DataFrame, inside: list[str], order: list[str]) -> DataFrame:
+    """``wanted`` with the row of ``counts`` that its rank falls on; ``below`` counts what lies before that row.
+
+    ``counts`` has n per ``order`` within ``inside``, and ``wanted`` the rank
+    within ``inside``.
+    """
+    running = Window.partitionBy(*inside).orderBy(*order)
+    upto = counts.withColumn("upto", F.sum("n").over(running)).withColumnRenamed("n", "own")
+    # Wanted: a few ranks of each column.
+    hit = upto.join(F.broadcast(wanted), inside).filter("rank < upto AND rank >= upto - own")
+    return hit.withColumn("rank", F.col("rank") - (F.col("upto") - F.col("own"))).drop("upto", "own")
 
 
 def exact_quantiles(
@@ -205,22 +53,44 @@ def exact_quantiles(
     probs: tuple[float, ...] = QUARTILES,
     *,
     finite_only: bool = False,
-    n_rows: int | None = None,
-    direct_rows: int = DIRECT_ROWS,
-    sort_rows: int = SORT_ROWS,
 ) -> DataFrame:
     """Rows ``(ord, column, prob, value)``; missing values are left out.
 
-    Infinities count as values unless ``finite_only``. ``n_rows`` spares the
-    size check when the caller has counted already.
+    Infinities count as values unless ``finite_only``. A column without values has
+    NULL quantiles.
     """
-    values = _values(df, columns, finite_only)
-    if n_rows is None:
-        n_rows = df.count()
-    if n_rows <= direct_rows:
-        return _direct(df, columns, probs, values)
-    rows = _selected(df, columns, probs, values, sort_rows)
-    return df.sparkSession.createDataFrame(rows, RESULT)
+    spark = df.sparkSession
+    long = _long(df, columns, _values(df, columns, finite_only))
+    cut = ["ord", "power", "coarse"]
+    counts = stage_table(long.groupBy(*cut).agg(F.count(F.lit(1)).alias("n")), "quantile-counts")
+    every = [(i, c, float(p)) for i, c in enumerate(columns) for p in probs]
+    asked = spark.createDataFrame(every, "ord int, column string, prob double")
+    sizes = counts.groupBy("ord").agg(F.sum("n").alias("n"))
+    position = F.col("prob") * (F.col("n") - 1)
+    places = asked.join(F.broadcast(sizes), "ord", "left").select(
+        "ord", "column", "prob", position.alias("position"), F.floor(position).alias("first"), "n"
+    )
+    ranks = places.filter("n IS NOT NULL").select(
+        "ord", F.explode(F.array_distinct(F.array("first", F.least(F.col("first") + 1, F.col("n") - 1)))).alias("rank")
+    )
+    ranks = ranks.distinct().select("ord", "rank", F.col("rank").alias("statistic"))
+    hits = stage_table(_found(counts, ranks, ["ord"], ["power", "coarse"]), "quantile-cuts")
+    near = long.join(F.broadcast(hits.select(*cut).distinct()), cut, "left_semi")
+    inside = stage_table(near.groupBy(*cut, "fine", "v").agg(F.count(F.lit(1)).alias("n")), "quantile-values")
+    by_fine = inside.groupBy(*cut, "fine").agg(F.sum("n").alias("n"))
+    finer = _found(by_fine, hits, cut, ["fine"])
+    statistics = _found(inside, finer, [*cut, "fine"], ["v"]).select("ord", "statistic", "v")
+    # One row per column and statistic from here on.
+    known = stage_table(statistics, "order-statistics")
+    low, high = (known.select("ord", F.col("statistic").alias(k), F.col("v").alias(v)) for k, v in (("first", "a"), ("second", "b")))
+    both = (
+        places.withColumn("second", F.least(F.col("first") + 1, F.col("n") - 1))
+        .join(F.broadcast(low), ["ord", "first"], "left")
+        .join(F.broadcast(high), ["ord", "second"], "left")
+    )
+    part = F.col("position") - F.col("first")
+    value = F.when((part == 0) | (F.col("a") == F.col("b")), F.col("a")).otherwise((1 - part) * F.col("a") + part * F.col("b"))
+    return both.select("ord", "column", "prob", value.alias("value"))
 
 
 def approximate_quantiles(

@@ -17,7 +17,6 @@ def summary_statistics(
     columns: list[str] | None = None,
     *,
     profile: DataFrame | None = None,
-    n_rows: int | None = None,
     approx: bool = False,
 ) -> DataFrame:
     """One row per numeric column. Infinities are values, so their mean is infinite."""
@@ -27,7 +26,7 @@ def summary_statistics(
     if approx:
         long = approximate_quantiles(df, columns)
     else:
-        long = exact_quantiles(df, columns, QUARTILES, n_rows=n_rows)
+        long = exact_quantiles(df, columns, QUARTILES)
     quartiles = long.groupBy("column").agg(
         *[
             F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name)

@@ -77,7 +77,7 @@ def build_profile(
     classes = class_distribution(df, label)
     return Profile(
         columns=columns,
-        summary=settled(summary_statistics(df, profile=columns, n_rows=n_rows, approx=approx)),
+        summary=settled(summary_statistics(df, profile=columns, approx=approx)),
         duplicates=settled(duplicate_rows(df)),
         pairs=pairs,
         correlated=settled(correlated_pairs(pairs, correlation)),

@@ -127,10 +127,9 @@ def expected_quantile(values, p):
     return a if part == 0 or a == b else (1 - part) * a + part * b
 
 
-@pytest.mark.parametrize("limits", [{}, {"direct_rows": 0, "sort_rows": 500}, {"direct_rows": 0, "sort_rows": 1}])
-def test_exact_quantiles(rough, limits):
+def test_exact_quantiles(rough):
     pdf, df = rough
-    rows = exact_quantiles(df, list(pdf.columns), PROBS, **limits).collect()
+    rows = exact_quantiles(df, list(pdf.columns), PROBS).collect()
     assert len(rows) == len(PROBS) * len(pdf.columns)
     for r in rows:
         want = expected_quantile(pdf[r["column"]].to_numpy(), r["prob"])
@@ -143,9 +142,21 @@ def test_exact_quantiles(rough, limits):
 def test_quantiles_of_finite_values_only(rough):
     pdf, df = rough
     finite = pdf["infs"][np.isfinite(pdf["infs"])].to_numpy()
-    for limits in ({}, {"direct_rows": 0, "sort_rows": 10}):
-        got = exact_quantiles(df, ["infs"], (0.5,), finite_only=True, **limits).first()["value"]
-        assert got == pytest.approx(np.median(finite), rel=1e-12)
+    got = exact_quantiles(df, ["infs"], (0.5,), finite_only=True).first()["value"]
+    assert got == pytest.approx(np.median(finite), rel=1e-12)
+
+
+def test_quantiles_of_numbers_of_every_size(spark):
+    rng = np.random.default_rng(11)
+    v = np.concatenate([rng.normal(size=500) * 10.0 ** rng.integers(-300, 300, 500), [0.0, -0.0, np.inf, -np.inf, 5e-324, 1.0, 1.0]])
+    v = np.concatenate([v, np.nextafter(1.0, 2) + np.arange(200) * np.spacing(1.0)])
+    df = spark.createDataFrame(pd.DataFrame({"v": v})).repartition(3)
+    ordered = np.sort(v)
+    for r in exact_quantiles(df, ["v"], tuple(i / 23 for i in range(24))).collect():
+        at = r.prob * (len(v) - 1)
+        a, b = ordered[int(at)], ordered[min(int(at) + 1, len(v) - 1)]
+        want = a if a == b or at == int(at) else (1 - (at - int(at))) * a + (at - int(at)) * b
+        assert r.value == want, r
 
 
 def test_approximate_quantiles_are_close(rough):
