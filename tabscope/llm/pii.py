@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import broadcast_if_small
+from tabscope.llm.common import shielded
 from tabscope.session import stage_table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -33,7 +33,6 @@ NEEDS = {"email": "@", "phone": "+"}
 NEEDS_PATTERN = {"ip": r"[0-9]\.[0-9]", "card": r"[0-9]"}
 WORD = r"\p{L}{4,}"
 CONTEXT = 120
-BROADCAST_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -153,13 +152,8 @@ def revealing(docs: DataFrame, near: DataFrame, n_docs: int, rule: Disclosure, t
         .filter(F.col("n_pair") >= rule.support)
     )
     pairs = stage_table(pairs, "pii-pairs")
-    wanted = stage_table(pairs.select("term").distinct(), "pii-terms")
-    counted = (
-        docs.select(F.explode(terms_of(F.col(text_col))).alias("term"))
-        .join(broadcast_if_small(wanted, BROADCAST_ROWS), "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count("*").alias("n_term"))
-    )
+    # Counted before it meets the pairs: one row for each term and task is dealt out, whatever the pairs are.
+    counted = docs.select(F.explode(terms_of(F.col(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     total = F.lit(float(n_docs))
     pmi = F.log2(F.col("n_pair") * total / (F.col("n_entity") * F.col("n_term")))
     ratio = pmi / F.log2(total / F.col("n_entity"))
@@ -174,11 +168,15 @@ def revealing(docs: DataFrame, near: DataFrame, n_docs: int, rule: Disclosure, t
 
 def term_spans(found: DataFrame, near: DataFrame, hidden: DataFrame, text_col: str) -> DataFrame:
     """``found`` with ``_terms``: the places of revealing terms outside the base spans."""
+    # A term that several entities of a document give away is treated once, the stronger way.
     chosen = (
         near.select("_row", "entity")
         .join(hidden, "entity")
+        .select("_row", F.explode("hidden").alias("h"))
+        .groupBy("_row", F.col("h.term").alias("term"))
+        .agg(F.max("h.action").alias("action"))
         .groupBy("_row")
-        .agg(F.map_from_entries(F.flatten(F.collect_list("hidden"))).alias("_hide"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("_hide"))
     )
     step = found.join(chosen, "_row", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys("_hide"), "|"), F.lit(r")(?!\p{L})"))
@@ -255,14 +253,14 @@ def masked(text: Column, spans: Column) -> Column:
     return F.concat(F.array_join(done.getField("out"), ""), F.substring(text, done.getField("at") + 1, F.length(text)))
 
 
-def sanitise(docs: DataFrame, text_col: str = "text", rule: Disclosure = Disclosure()) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Disclosure = Disclosure()) -> DataFrame:
     """``docs`` with the text of documents that hold personal data rewritten; others pass unchanged."""
-    rows, found = find_personal(docs, text_col, rule, keep_text=True)
+    inner, restored = shielded(docs, id_col, text_col)
+    rows, found = find_personal(inner, "text", rule, keep_text=True)
     spans = F.concat(
         F.transform("_spans", lambda x: x.withField("action", F.lit("remove"))),
         F.col("_terms"),
     )
     clean = found.select("_row", masked(F.col("_ptext"), spans).alias("_clean"))
-    changed = rows.filter(F.size("_spans") > 0).join(clean, "_row")
-    changed = changed.withColumn(text_col, F.col("_clean")).select(*docs.columns)
-    return rows.filter(F.size("_spans") == 0).select(*docs.columns).unionByName(changed)
+    changed = rows.filter(F.size("_spans") > 0).join(clean, "_row").withColumn("text", F.col("_clean"))
+    return restored(rows.filter(F.size("_spans") == 0)).unionByName(restored(changed))
