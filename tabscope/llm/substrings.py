@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import bound_arrow_batches, broadcast_if_small, keyed_texts, shielded
+from tabscope.llm.common import bound_arrow_batches, broadcast_if_small, keyed_texts, same_key, shielded
 from tabscope.llm.shingles import word_numbers, windows, words_of
 from tabscope.session import stage_table
 
@@ -270,7 +270,7 @@ def passage_report(docs: DataFrame, rule: Passages = Passages(), id_col: str = "
     bound_arrow_batches(docs.sparkSession)
     keyed = keyed_texts(docs, id_col, text_col).withColumn("_id", F.col("_id").cast("long"))
     later = repeats(keyed, rule)
-    both = keyed.join(later, keyed["_id"].eqNullSafe(later["_id"]) & (keyed["_th"] == later["_th"]), "left")
+    both = keyed.join(later, same_key(keyed, later), "left")
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
