@@ -150,7 +150,7 @@ def test_save_and_load(spark, flow_table):
     loaded = FittedPreprocessing.load(spark, path)
     assert loaded == fitted
     a, b = fitted.transform_features(flow_table), loaded.transform_features(flow_table)
-    assert a.exceptAll(b).isEmpty() and a.count() == 405
+    assert a.exceptAll(b).isEmpty() and a.count() == 529
 
 
 def test_balanced_weights(spark):
