@@ -33,7 +33,7 @@ PATHS = ("/en/{}", "/de/{}/", "/fr/{}.html", "/es/{}?page=2&ref=x", "/en/{}#top"
 FEATURES = 1 << 16
 SIZES = (3, 4, 5)
 #: A page is blocked from this probability on, so that names unlike any labelled one pass.
-THRESHOLD = 0.8
+THRESHOLD = 0.65
 
 
 @dataclass(frozen=True)
