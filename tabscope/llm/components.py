@@ -11,13 +11,12 @@ MOST_ROUNDS = 60
 
 
 class Forest:
-    """Union-find over the nodes that one task has met; thins edges before they are shuffled."""
+    """Union-find over the nodes that one task has met; hands them on as stars around each tree's least node."""
 
-    def __init__(self, most: int = 500_000):
-        self.parent: dict[object, object] = {}
-        self.most = most
+    def __init__(self):
+        self.parent: dict = {}
 
-    def find(self, x: object) -> object:
+    def find(self, x):
         parent = self.parent
         root = x
         while (up := parent.get(root, root)) != root:
@@ -26,15 +25,16 @@ class Forest:
             parent[x], x = root, parent.get(x, x)
         return root
 
-    def join(self, a: object, b: object) -> bool:
-        """Whether the edge joined two trees. A full forest forgets, which only lets more edges pass."""
-        if len(self.parent) > self.most:
-            self.parent.clear()
+    def join(self, a, b) -> None:
         a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.parent[b] = a
-        return True
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+
+    def stars(self) -> tuple[list, list]:
+        """Nodes and the least nodes of their trees; the forest is empty afterwards."""
+        ends = [(x, self.find(x)) for x in list(self.parent)]
+        self.parent.clear()
+        return [a for a, _ in ends], [b for _, b in ends]
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -42,31 +42,33 @@ def _stars(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
     large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
-    large = large.distinct()
     down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
     small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return small.unionByName(least.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: no node has two parents, or a parent and a child."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(
+        edges.select("b", F.lit(0), F.lit(1))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.filter("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node of each node's component, for nodes with an edge.
 
     ``edges`` has columns a and b in any order; loops and repeats don't matter.
-    Rounds are stored, and end when a round changes nothing. Nodes with many
+    Each round is stored; the last leaves one star per component. Nodes with many
     edges are met as rows of joins and partial aggregates, never as one group.
     """
     now = stage_table(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    before = mark(now)
     for _ in range(MOST_ROUNDS):
-        if before[0] == 0:
+        if _settled(now):
             break
         now = stage_table(_stars(now), "edges")
-        after = mark(now)
-        if after == before:
-            break
-        before = after
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

@@ -4,7 +4,8 @@ Texts with equal shingle sets form a class. Two sets that are similar enough
 share one of the first shingles of each in a common order, with frequent
 shingles last; texts that share such a shingle come to the same group. Groups
 are cut into tiles by bands of set size. In a tile, hashed bitmaps bound the
-overlap of two sets from above, and only pairs that may pass are intersected.
+overlap of two sets from above. The sets that some bound leaves together are
+tiled again with their texts, and pairs that may pass are intersected.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from tabscope.llm.common import bound_arrow_batches, keyed_texts, shielded
+from tabscope.llm.common import bound_arrow_batches, broadcast_if_small, keyed_texts, same_key, shielded
 from tabscope.llm.components import Forest, components
 from tabscope.llm.shingles import shingle_set
 from tabscope.session import stage_table
@@ -42,10 +43,15 @@ class Similarity:
 #: Shingles put last in the order are sought in every ``SAMPLE``-th text and among the lowest
 #: quarter of hashes, where prefixes lie; they count as frequent from ``OFTEN`` sampled texts on, and
 #: at most ``FREQUENT`` are told to all tasks. All this affects only the time: any order gives all links.
-SAMPLE, OFTEN, FREQUENT = 4, 6, 100_000
+SAMPLE, OFTEN, FREQUENT = 4, 3, 200_000
 LOW = np.uint64(1 << 62)
 TILE_DOCS = 128
-SIGNATURE_BITS = 1024
+#: A task hands its trees on when it has met so many sets.
+FOREST_NODES = 500_000
+#: A set's bitmap has at least as many bits as the set has members, within these bounds.
+LEAST_BITS, MOST_BITS = 128, 1 << 17
+#: Keys of texts that are fetched by broadcast; more are fetched by shuffle.
+FETCHED = 500_000
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -53,18 +59,20 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def class_members(keyed: DataFrame, rule: Similarity) -> DataFrame:
-    """_id, _th, c1, c2, n: two hashes of each text's set and its size; no set for a text without words."""
+    """_id, _th, c1, c2, n, mark: two hashes of each text's set, its size and bitmap; none for a text without words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, rule.n).tobytes() for t in batch.column(2).to_pylist()]
+            own = [shingle_set(t, rule.n) for t in batch.column(2).to_pylist()]
+            marks = pa.array([signature(x).tobytes() if len(x) else None for x in own], pa.binary())
+            sets = [x.tobytes() for x in own]
             digests = [[xxh3_64_intdigest(s, seed) if s else None for s in sets] for seed in (1, 2)]
             hashes = [pa.array([d and d - (1 << 63) for d in ds], pa.int64()) for ds in digests]
             sizes = pa.array([len(s) // 8 for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *hashes, sizes], ["_id", "_th", "c1", "c2", "n"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *hashes, sizes, marks], ["_id", "_th", "c1", "c2", "n", "mark"])
 
     kind = keyed.schema["_id"].dataType.simpleString()
-    return keyed.mapInArrow(run, f"_id {kind}, _th long, c1 long, c2 long, n long")
+    return keyed.mapInArrow(run, f"_id {kind}, _th long, c1 long, c2 long, n long, mark binary")
 
 
 def frequent_shingles(keyed: DataFrame, rule: Similarity) -> np.ndarray:
@@ -117,15 +125,20 @@ def shared_prefixes(keyed: DataFrame, rule: Similarity) -> DataFrame:
     def tie(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Neighbours by size in each shingle's run: where one gap is too wide, no pair spans it."""
         forest, last = Forest(), np.zeros((3, 0), dtype=np.int64)
+
+        def stars() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in forest.stars()], ["a", "b"])
+
         for batch in batches:
             rows = np.hstack([last, np.array([c.to_numpy() for c in batch.columns])])
             s, c, n = rows
             near = (s[1:] == s[:-1]) & (c[1:] != c[:-1]) & rule.fits(n[:-1], n[1:])
-            pairs = np.unique(np.stack([c[:-1][near], c[1:][near]], axis=1), axis=0).tolist()
-            kept = [p for p in pairs if forest.join(*p)]
+            for a, b in np.unique(np.stack([c[:-1][near], c[1:][near]], axis=1), axis=0).tolist():
+                forest.join(a, b)
             last = rows[:, -1:]
-            if kept:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*kept, strict=True)], ["a", "b"])
+            if len(forest.parent) > FOREST_NODES:
+                yield stars()
+        yield stars()
 
     posted = keyed.mapInArrow(post, "s long, c long, n long")
     return posted.repartition("s").sortWithinPartitions("s", "n", "c").mapInArrow(tie, "a long, b long")
@@ -173,45 +186,87 @@ def tiles(active: DataFrame, rule: Similarity) -> DataFrame:
 
 
 def signature(own: np.ndarray) -> np.ndarray:
-    bits = np.zeros(SIGNATURE_BITS, dtype=bool)
-    bits[(own % np.uint64(SIGNATURE_BITS)).astype(np.int64)] = True
+    """Bitmap of a set as 64-bit words, by the members' hashes modulo its width."""
+    width = min(MOST_BITS, max(LEAST_BITS, 1 << (len(own) - 1).bit_length()))
+    bits = np.zeros(width, dtype=bool)
+    bits[(own % np.uint64(width)).astype(np.int64)] = True
     return np.packbits(bits).view(np.uint64)
 
 
-def linked(texts: list[str], sides: list[int], rule: Similarity) -> list[tuple[int, int]]:
-    """Links of one tile that tie its texts into their components, as pairs of positions.
-
-    With two sides only pairs across are compared. A pair that links already join
-    is passed over; every other is bounded and, if it may pass, intersected.
+class Marks:
+    """Bitmaps of a tile, by width; a wider one is folded to meet a narrower one."""
+
+    def __init__(self, marks: list[np.ndarray]):
+        self.marks = marks
+        self.width = np.array([len(m) for m in marks])
+        self.place = np.zeros(len(marks), dtype=np.int64)
+        self.rows = {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            self.place[at] = np.arange(len(at))
+            self.rows[w] = np.array([marks[k] for k in at])
+
+    def most_shared(self, i: int, js: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """For each j no wider than i, a bound from above on what sets i and j share.
+
+        Every bit that only one of them has stands for a member that the other lacks.
+        """
+        out = np.zeros(len(js), dtype=np.int64)
+        mine = self.marks[i]
+        for w in sorted(set(self.width[js].tolist()), reverse=True):
+            while len(mine) > w:
+                mine = mine.reshape(2, -1)[0] | mine.reshape(2, -1)[1]
+            at = self.width[js] == w
+            theirs = self.rows[w][self.place[js[at]]]
+            only_i = np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64)
+            only_j = np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64)
+            out[at] = np.minimum(sizes[i] - only_i, sizes[js[at]] - only_j)
+        return out
+
+
+def linked(sizes: list[int], marks: list[np.ndarray], sides: list[int], rule: Similarity, sets=None) -> list[tuple[int, int]]:
+    """Pairs of positions that tie a tile's sets into components, by the bound or, given ``sets``, exactly.
+
+    With two sides only pairs across are compared. A pair that others already
+    join is passed over; every other is bounded and, if it may pass, intersected.
     """
-    sets = [shingle_set(t, rule.n) for t in texts]
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    sizes = np.array([len(sets[i]) for i in order])
-    marks = np.array([signature(sets[i]) for i in order])
-    side = np.array([sides[i] for i in order])
+    order = np.argsort(np.array(sizes), kind="stable")
+    size, side = np.array(sizes)[order], np.array(sides)[order]
+    bound = Marks([marks[k] for k in order])
     two = side.min(initial=0) != side.max(initial=0)
     root = np.arange(len(order))
     out = []
     for i in range(1, len(order)):
-        low = np.searchsorted(100 * sizes[:i], rule.percent * sizes[i])
-        js = np.arange(low, i)
+        js = np.arange(np.searchsorted(100 * size[:i], rule.percent * size[i]), i)
         js = js[(root[js] != root[i]) & ((side[js] != side[i]) | (not two))]
         if not len(js):
             continue
-        mine = np.bitwise_count(marks[i] & ~marks[js]).sum(axis=1, dtype=np.int64)
-        theirs = np.bitwise_count(marks[js] & ~marks[i]).sum(axis=1, dtype=np.int64)
-        most = np.minimum(sizes[i] - mine, sizes[js] - theirs)
-        js, most = js[(may := rule.fits(most, sizes[i] + sizes[js] - most))], most[may]
+        most = bound.most_shared(i, js, size)
+        js, most = js[(may := rule.fits(most, size[i] + size[js] - most))], most[may]
         for j in js[np.argsort(-most, kind="stable")].tolist():
             if root[j] == root[i]:
                 continue
-            both = len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True))
-            if rule.fits(both, int(sizes[i] + sizes[j]) - both):
-                out.append((order[i], order[j]))
-                root[root == root[j]] = root[i]
+            if sets is not None:
+                both = len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True))
+                if not rule.fits(both, int(size[i] + size[j]) - both):
+                    continue
+            out.append((int(order[i]), int(order[j])))
+            root[root == root[j]] = root[i]
     return out
 
 
+def tied(group: pa.Table, name: str, pairs: list[tuple[int, int]], kind: pa.DataType) -> pa.Table:
+    names, forest = group[name].to_pylist(), Forest()
+    for i, j in pairs:
+        forest.join(names[i], names[j])
+    return pa.table({end: pa.array(x, kind) for end, x in zip("ab", forest.stars(), strict=True)})
+
+
+def has_repeats(rows: DataFrame) -> bool:
+    """Whether some row of a text with words is there more than once."""
+    return not rows.filter("n > 0").groupBy("_id", "_th").count().filter("count > 1").isEmpty()
+
+
 def near_duplicates(
     docs: DataFrame, rule: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -224,22 +279,43 @@ def near_duplicates(
     bound_arrow_batches(docs.sparkSession)
     keyed = keyed_texts(docs, id_col, text_col)
     members = stage_table(class_members(keyed, rule), "jaccard-members")
-    classes = members.filter("n > 0").groupBy("c1", "c2").agg(
-        F.first("n").alias("n"), F.min(F.struct("_id", "_th")).alias("rep"), F.min("_id").alias("least")
+    classes = stage_table(
+        members.filter("n > 0")
+        .groupBy("c1", "c2")
+        .agg(F.first("n").alias("n"), F.min(F.struct("_id", "_th")).alias("rep"), F.min("_id").alias("least"))
+        .select("c1", "c2", "n", "rep._id", "rep._th", "least"),
+        "jaccard-sets",
     )
-    clusters = components(shared_prefixes(keyed, rule)).select(F.col("node").alias("c1"), F.col("root").alias("cluster"))
-    active = classes.join(clusters, "c1").select("cluster", "c1", "c2", "n", "rep._id", "rep._th")
-    placed = stage_table(tiles(active, rule), "jaccard-tiles")
-    texts = placed.join(
-        keyed, placed["_id"].eqNullSafe(keyed["_id"]) & (placed["_th"] == keyed["_th"])
-    ).select("tile", "side", F.concat(F.hex("c1"), F.lit("-"), F.hex("c2")).alias("node"), "_text")
+    # Rows of one document are one text; they are made one only where there are any, as that deals out all texts.
+    single = not has_repeats(members)
+
+    def fetched(placed: DataFrame, source: DataFrame, *columns: str) -> DataFrame:
+        """``placed`` with columns of each class's own document."""
+        once = source if single else source.dropDuplicates(["_id", "_th"])
+        keys = broadcast_if_small(placed, FETCHED)
+        return once.join(keys, same_key(once, placed)).select(
+            *(placed[c] for c in ("tile", "side", "c1", "c2", "n")), *(once[c] for c in columns)
+        )
+
+    def placed(clusters: DataFrame) -> DataFrame:
+        cluster = clusters.select(F.col("node").alias("c1"), F.col("root").alias("cluster"))
+        active = stage_table(classes.join(cluster, "c1").drop("least"), "jaccard-active")
+        return stage_table(tiles(active, rule), "jaccard-tiles")
+
+    def bounded(group: pa.Table) -> pa.Table:
+        marks = [np.frombuffer(m, dtype=np.uint64) for m in group["mark"].to_pylist()]
+        pairs = linked(group["n"].to_pylist(), marks, group["side"].to_pylist(), rule)
+        return tied(group, "c1", pairs, pa.int64())
+
+    near = fetched(placed(components(shared_prefixes(keyed, rule))), members, "mark")
+    likely = components(near.groupBy("tile").applyInArrow(bounded, "a long, b long"))
+    texts = fetched(placed(likely), keyed, "_text").withColumn("node", F.concat(F.hex("c1"), F.lit("-"), F.hex("c2")))
 
     def compare(group: pa.Table) -> pa.Table:
-        rows = {(r["node"], r["side"]): r for r in group.to_pylist()}
-        own = list(rows.values())
-        pairs = linked([r["_text"] for r in own], [r["side"] for r in own], rule)
-        ends = [[own[p[k]]["node"] for p in pairs] for k in (0, 1)]
-        return pa.table({"a": pa.array(ends[0], pa.string()), "b": pa.array(ends[1], pa.string())})
+        sets = [shingle_set(t, rule.n) for t in group["_text"].to_pylist()]
+        marks = [signature(x) for x in sets]
+        pairs = linked([len(x) for x in sets], marks, group["side"].to_pylist(), rule, sets)
+        return tied(group, "node", pairs, pa.string())
 
     links = texts.groupBy("tile").applyInArrow(compare, "a string, b string")
     joined = components(links)
@@ -280,7 +356,7 @@ def keep_one(docs: DataFrame, rule: Similarity = Similarity(), id_col: str = "do
     left = inner.withColumn("_jth", F.xxhash64(F.coalesce("text", F.lit(""))))
     match = left["doc_id"].eqNullSafe(stay["_id"]) & (left["_jth"] == stay["_th"])
     kept = left.join(stay, match, "left_semi")
-    if rows.filter("n > 0").groupBy("_id", "_th").count().filter("count > 1").limit(1).count():
+    if has_repeats(rows):
         # The same row more than once: one stays, but for texts without words.
         same = Window.partitionBy("doc_id", "_jth").orderBy(F.lit(1))
         blank = F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\f\r", "")) == ""
