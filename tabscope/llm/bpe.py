@@ -30,6 +30,8 @@ WORDS = regex.compile(
 )
 #: Where two blanks meet or one ends the text, words can't be cut at single blanks.
 ODD_SPACE = re.compile(r"\s\s|\s\Z")
+#: A comma or full stop that doesn't follow a letter or digit is part of a longer word; the mark may not be in use.
+MARKS = re.compile(r"(?:\W|_)[,.]\s|\x01")
 NEVER = np.int64(1 << 40)
 KNOWN_WORDS = 400_000
 
@@ -163,11 +165,13 @@ class Encoder:
     def pieces(self, text: str) -> list[str]:
         """Keys of the text's parts that can be encoded apart.
 
-        A key names the part after a blank, unless it begins with a line end. One
-        blank before a key stands for none, and two mark a single word.
+        A key names the part after a blank, unless it begins with a line end or a
+        mark. One blank before a key stands for none, and two mark a single word.
         """
         if ODD_SPACE.search(text):
             return ["  " + w for w in WORDS.findall(text)]
+        if not MARKS.search(text):
+            text = text.replace(", ", " \x01, ").replace(". ", " \x01. ").replace(".\n", " \x01.\n")
         first, *rest = text.replace("\n", " \n").split(" ")
         return [" " + first, *rest] if first else rest
 
@@ -177,7 +181,7 @@ class Encoder:
             if key.startswith("  "):
                 parts[key] = [key[2:].encode()]
             else:
-                chunk = key if key.startswith("\n") else key[1:] if key.startswith(" ") else " " + key
+                chunk = key if key[0] == "\n" else key[1:] if key[0] in " \x01" else " " + key
                 parts[key] = [w.encode() for w in WORDS.findall(chunk)]
         words = list({w for p in parts.values() for w in p})
         ids = dict(zip(words, self.merges.encode_words(words), strict=True))
