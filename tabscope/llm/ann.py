@@ -8,7 +8,8 @@ computes the inner product for the best of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,11 +23,12 @@ from tabscope.session import stage_table
 
 @dataclass(frozen=True)
 class IndexShape:
-    """Pivots grow with the root of the vectors within fixed bounds, so files and work per query do too.
+    """Pivots grow with the root of the vectors within fixed bounds, and files and reranked rows grow with the pivots.
 
-    ``order`` pivots represent a vector, and it is posted with the first
-    ``files``. Of what a query reads in a file, the share ``rerank`` x n ** -0.4 by
-    footrule is reranked, all of it in a small table.
+    At least ``order`` pivots represent a vector, and it is posted with the first
+    ``files`` of the least number of pivots and with more as their fourth root
+    grows. Of all it reads, a query reranks by footrule as many rows as ``rerank``
+    files hold, and of each block at least ``rerank_top`` for every row asked for.
     """
 
     pivots_per_root: float = 1.0
@@ -34,14 +36,20 @@ class IndexShape:
     most_pivots: int = 4096
     order: int = 64
     files: int = 16
-    block: int = 1024
-    rerank: float = 9.0
+    block: int = 8192
+    query_block: int = 1024
+    rerank: float = 7.0
+    rerank_top: int = 8
 
     def pivots(self, n: int) -> int:
         return min(self.most_pivots, max(self.least_pivots, round(self.pivots_per_root * n**0.5)))
 
-    def share(self, n: int) -> float:
-        return min(1.0, self.rerank * max(n, 1) ** -0.4)
+    def files_of(self, n_pivots: int) -> int:
+        return min(n_pivots, round(self.files * max(1.0, n_pivots / self.least_pivots) ** 0.25))
+
+    def reranked(self, rows: int, files: int, top: int) -> int:
+        """Rows with an exact score of so many in a block."""
+        return min(rows, max(self.rerank_top * top, math.ceil(self.rerank / max(files, 1) * rows)))
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -102,11 +110,14 @@ def footrule(query: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.bitwise_count(others ^ query).sum(axis=1, dtype=np.int64)
 
 
-def searched(postings: DataFrame, asked: DataFrame, kind: str, width: int, n_pivots: int, top: int, share: float) -> DataFrame:
+def searched(
+    postings: DataFrame, asked: DataFrame, kind: str, width: int, n_pivots: int, top: int, reranked: Callable[[int], int]
+) -> DataFrame:
     """q, c, score: the ``top`` best classes of each posting block for each query that reads it.
 
     Both sides carry file, block (of the postings) and qblock (of the queries), so
     that a group holds at most one block of either, however full a file is.
+    ``reranked`` tells how many of a block's rows get an exact score.
     """
 
     def vectors_of(t: pa.Table) -> np.ndarray:
@@ -121,7 +132,7 @@ def searched(postings: DataFrame, asked: DataFrame, kind: str, width: int, n_piv
         if found.num_rows and wanted.num_rows:
             x, y, ids = vectors_of(found), vectors_of(wanted), found["cls"].to_numpy()
             x_code, y_code = codes_of(found), codes_of(wanted)
-            most = min(len(ids), max(top, int(np.ceil(share * len(ids)))))
+            most = reranked(len(ids))
             for i, q in enumerate(wanted["cls"].to_pylist()):
                 rows = np.arange(len(ids))
                 if most < len(ids):
@@ -178,7 +189,8 @@ def nearest(
     )
     n, longest = classes.agg(F.count("*"), F.max("len2")).first()
     n_pivots = min(n, shape.pivots(n))
-    order, files = min(shape.order, n_pivots), min(shape.files, n_pivots)
+    files = shape.files_of(n_pivots)
+    order = min(max(shape.order, files), n_pivots)
     # A bounded number of vectors, the first by a hash: the pivots.
     chosen = classes.orderBy(F.xxhash64("h1", "h2"), "cls").limit(n_pivots).select("vec", "len2").collect()
     width = len(chosen[0]["vec"]) if chosen else 1
@@ -211,28 +223,28 @@ def nearest(
     indexed = stage_table(classes.select(*columns).mapInArrow(orders(False), schema), "ann-index")
     asking = stage_table(classes.filter("asks = 1").select(*columns).mapInArrow(orders(True), schema), "ann-queries")
 
-    def blocks_of(frame: DataFrame) -> list[int]:
+    def blocks_of(frame: DataFrame, rows: int) -> list[int]:
         """Blocks of each file, from the counts of at most ``most_pivots`` files."""
         counts = {r["file"]: r["count"] for r in frame.select(F.explode("files").alias("file")).groupBy("file").count().collect()}
-        return [-(-counts.get(p, 0) // shape.block) or 1 for p in range(n_pivots)]
+        return [-(-counts.get(p, 0) // rows) or 1 for p in range(n_pivots)]
 
     file = lambda frame: frame.select("cls", "raw", "near", F.explode("files").alias("file"))
     at = lambda blocks: F.element_at(literal_array(blocks or [1], "int"), F.col("file") + 1)
     own = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    blocks, qblocks = blocks_of(indexed), blocks_of(asking)
+    blocks, qblocks = blocks_of(indexed, shape.block), blocks_of(asking, shape.query_block)
     postings = file(indexed).withColumn("block", own(at(blocks))).withColumn("qblock", all_of(at(qblocks)))
     asked = file(asking).withColumn("qblock", own(at(qblocks))).withColumn("block", all_of(at(blocks)))
-    hits = searched(postings, asked, kind, width, n_pivots, k + 1, shape.share(n))
+    hits = searched(postings, asked, kind, width, n_pivots, k + 1, lambda rows: shape.reranked(rows, files, k + 1))
     best = stage_table(best_rows(hits, offered, k), "ann-best")
     wanted = min(k + 1, narrow.count())
     short = stage_table(asking.join(best.filter(F.size("found") >= wanted), F.col("cls") == F.col("q"), "left_anti"), "ann-short")
     if short.limit(1).count():
         # All blocks of all vectors, for those queries alone.
-        n_blocks, n_short = F.lit(-(-n // shape.block)), F.lit(-(-short.count() // shape.block))
+        n_blocks, n_short = F.lit(-(-n // shape.block)), F.lit(-(-short.count() // shape.query_block))
         every_file = indexed.drop("files").withColumn("file", F.lit(-1)).withColumn("block", own(n_blocks)).withColumn("qblock", all_of(n_short))
         all_files = short.drop("files").withColumn("file", F.lit(-1)).withColumn("qblock", own(n_short)).withColumn("block", all_of(n_blocks))
-        exact = searched(every_file, all_files, kind, width, n_pivots, k + 1, 1.0)
+        exact = searched(every_file, all_files, kind, width, n_pivots, k + 1, lambda rows: rows)
         rest = best.join(short, F.col("cls") == F.col("q"), "left_anti")
         best = rest.unionByName(best_rows(exact, offered, k))
     queries = narrow.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "h1", "h2")

@@ -242,6 +242,18 @@ def test_short_lists_are_completed(spark):
     assert ann.nearest(df, shape=shape).count() == 10 * 20
 
 
+def test_nearest_recall_beyond_the_most_pivots(spark):
+    """With pivots at their bound, the reranked part doesn't shrink as vectors become more."""
+    x = np.random.default_rng(7).normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found: dict[int, set[int]] = {}
+    for r in ann.nearest(df, every=500, shape=ann.IndexShape(most_pivots=64)).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = sum(len(set(exact_nearest(x, q, 20)) & ids) for q, ids in found.items())
+    assert len(found) == 40 and hits >= 0.95 * 20 * len(found), hits
+
+
 def test_footrule():
     """Each pivot adds how many classes (first, second, to fourth, beyond) its place moves."""
     orders = np.array([[3, 1, 0, 2], [1, 3, 0, 2], [4, 5, 6, 7]])
