@@ -29,8 +29,6 @@ from tabscope.session import shared_path
 from tabscope.sources.tables import read_split
 
 DIMENSIONS = 64
-# Trees per model: enough to tell the classes apart, few enough for a check run.
-N_TREES = 3
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,9 +55,7 @@ def _processed(app_id: str, sf: str) -> tuple[str, str]:
 def _trained(app_id: str, sf: str, only: tuple[str, ...] | None) -> tuple[TrainingRun, str]:
     spark = SparkSession.active()
     output, models = _processed(app_id, sf)
-    run = train_candidates(
-        spark, output, f"{models}/preprocessing", models, n_trees=N_TREES, only=only
-    )
+    run = train_candidates(spark, output, f"{models}/preprocessing", models, only=only)
     return run, models
 
 
