@@ -1,10 +1,10 @@
 """Sanitisation by disclosure: what names a person goes, and so do terms that give it away.
 
 Patterns find the protected entities (addresses, numbers). Over all documents,
-co-occurrence tells how strongly a term near an entity reveals it: the pointwise
-mutual information PMI(entity; term) against the information IC(entity) of the
-entity itself. A term with PMI / IC over a threshold is generalised or removed
-in the documents of that entity.
+co-occurrence tells how strongly a term of a document reveals an entity: the
+pointwise mutual information PMI(entity; term) against the information
+IC(entity) of the entity itself. A term with PMI / IC over a threshold is
+generalised or removed in every document where it stands.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import shielded
+from tabscope.llm.common import broadcast_if_small, shielded
 from tabscope.session import stage_table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -31,16 +31,23 @@ PATTERNS = {
 #: A text without this character can't match.
 NEEDS = {"email": "@", "phone": "+"}
 NEEDS_PATTERN = {"ip": r"[0-9]\.[0-9]", "card": r"[0-9]"}
-WORD = r"\p{L}{4,}"
-CONTEXT = 120
+WORD = r"\p{L}+"
+#: Words of grammar, which name nobody.
+FUNCTION_WORDS = (
+    "a an the and or but nor if so as at by for from in into of off on onto out over to up with i me my we us our you your "
+    "he him his she her it its they them their this that these those who whom whose which what is am are was were be been "
+    "being do does did has have had not no than then there here when where how why can could may might must shall should "
+    "will would"
+).split()
+#: Terms in more documents are told to every task with their counts, and revealing terms too, up to so many.
+FREQUENT, TOLD = 32, 200_000
 
 
 @dataclass(frozen=True)
 class Disclosure:
-    """Thresholds. A pair counts from ``support`` documents on, and only where PMI is at least ``bits``."""
+    """Thresholds of PMI / IC. ``prior`` documents in which a term meets the entity by chance are added to each term's."""
 
-    support: int = 3
-    bits: float = 4.0
+    prior: float = 1.0
     generalise: float = 0.85
     remove: float = 0.95
 
@@ -118,70 +125,66 @@ def base_spans(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def terms_of(text: Column) -> Column:
-    """Distinct words of at least four letters, in lower case."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
-
-
-def mentions(found: DataFrame, text_col: str) -> DataFrame:
-    """One row per document and entity: _row, entity, terms near any of its mentions."""
-    each = found.select("_row", text_col, F.explode("_spans").alias("x"))
-    left = F.substring(F.col(text_col), F.greatest(F.col("x.s") - CONTEXT + 1, F.lit(1)), F.least(F.col("x.s"), F.lit(CONTEXT)))
-    right = F.substring(F.col(text_col), F.col("x.e") + 1, F.lit(CONTEXT))
-    near = each.select(
-        "_row",
-        F.concat(F.col("x.kind"), F.lit(" "), F.when(F.col("x.kind") == "email", F.lower("x.v")).otherwise(F.col("x.v"))).alias("entity"),
-        # A word that the window's edge may have cut is left out.
-        terms_of(F.concat(F.regexp_replace(left, r"^\p{L}+", ""), F.lit(" "), F.regexp_replace(right, r"\p{L}+$", ""))).alias("terms"),
-    )
-    return near.groupBy("_row", "entity").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
+    """Distinct words in lower case, without those of grammar."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+    return F.array_except(words, F.split(F.lit(" ".join(FUNCTION_WORDS)), " "))
+
 
+def entities_of(spans: Column) -> Column:
+    """Distinct names of the entities of one document."""
+    value = lambda x: F.when(x.kind == "email", F.lower(x.v)).otherwise(x.v)
+    return F.array_distinct(F.transform(spans, lambda x: F.concat(x.kind, F.lit(" "), value(x))))
 
-def revealing(docs: DataFrame, near: DataFrame, n_docs: int, rule: Disclosure, text_col: str) -> DataFrame:
-    """Terms that reveal an entity: entity, hidden = array of (term, action).
 
-    Entities in fewer documents than the support can't reach it with any term and
-    are left out before pairs are made. A term's frequency is counted over the
-    whole texts of all documents, for the terms of the remaining pairs.
+def revealing(rows: DataFrame, n_docs: int, rule: Disclosure, text_col: str) -> DataFrame:
+    """Terms that reveal an entity: term, action (the stronger one).
+
+    Entities and terms meet in whole documents, and every pair counts. The share of a
+    term's documents that hold the entity is smoothed, p = (n_pair + prior x P(entity)) /
+    (n_term + prior), so that a chance meeting tells less than a repeated one.
     """
-    held = near.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= rule.support)
+    terms = terms_of(F.col(text_col))
+    found = rows.filter(F.size("_spans") > 0).select(entities_of(F.col("_spans")).alias("entities"), terms.alias("terms"))
+    held = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # Both are counted within tasks first: one row for each pair or term and task is dealt out.
     pairs = (
-        near.join(held, "entity")
-        .select("entity", "n_entity", F.explode("terms").alias("term"))
+        found.select(F.explode("entities").alias("entity"), "terms")
+        .select("entity", F.explode("terms").alias("term"))
         .groupBy("entity", "term")
-        .agg(F.count("*").alias("n_pair"), F.first("n_entity").alias("n_entity"))
-        .filter(F.col("n_pair") >= rule.support)
+        .agg(F.count("*").alias("n_pair"))
     )
-    pairs = stage_table(pairs, "pii-pairs")
-    # Counted before it meets the pairs: one row for each term and task is dealt out, whatever the pairs are.
-    counted = docs.select(F.explode(terms_of(F.col(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    counted = stage_table(rows.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")), "pii-terms")
+    # A term of many documents has many pairs, which don't meet in one task.
+    frequent = broadcast_if_small(counted.filter(F.col("n_term") > FREQUENT), TOLD)
+    rare = counted.filter(F.col("n_term") <= FREQUENT)
+    pairs = pairs.join(frequent, "term", "left")
     total = F.lit(float(n_docs))
-    pmi = F.log2(F.col("n_pair") * total / (F.col("n_entity") * F.col("n_term")))
-    ratio = pmi / F.log2(total / F.col("n_entity"))
+    own = F.col("n_entity") / total
+    smoothed = (F.col("n_pair") + rule.prior * own) / (F.col("n_term") + rule.prior)
+    # An entity of all documents carries no information.
+    ratio = F.when(F.col("n_entity") < total, F.log2(smoothed / own) / -F.log2(own)).otherwise(0.0)
+    # The smoothed share must reach P(entity) ** (1 - generalise), which is least for an entity of one document.
+    least = (1.0 / n_docs) ** (1.0 - rule.generalise)
+    known = pairs.filter("n_term IS NOT NULL").filter(F.col("n_pair") + rule.prior >= least * (F.col("n_term") + rule.prior))
+    others = pairs.filter("n_term IS NULL").drop("n_term").join(rare, "term")
+    both = known.select("entity", "term", "n_pair", "n_term").unionByName(others.select("entity", "term", "n_pair", "n_term"))
     action = F.when(ratio >= rule.remove, "remove").otherwise("generalise")
-    return (
-        pairs.join(counted, "term")
-        .filter((pmi >= rule.bits) & (ratio >= rule.generalise))
-        .groupBy("entity")
-        .agg(F.collect_list(F.struct("term", action.alias("action"))).alias("hidden"))
-    )
+    return both.join(held, "entity").filter(ratio >= rule.generalise).groupBy("term").agg(F.max(action).alias("action"))
 
 
-def term_spans(found: DataFrame, near: DataFrame, hidden: DataFrame, text_col: str) -> DataFrame:
-    """``found`` with ``_terms``: the places of revealing terms outside the base spans."""
-    # A term that several entities of a document give away is treated once, the stronger way.
+def with_terms(rows: DataFrame, hidden: DataFrame, text_col: str) -> DataFrame:
+    """_row, _spans, the text and ``_terms`` of documents with base spans or revealing terms: the places of such terms outside the spans."""
     chosen = (
-        near.select("_row", "entity")
-        .join(hidden, "entity")
-        .select("_row", F.explode("hidden").alias("h"))
-        .groupBy("_row", F.col("h.term").alias("term"))
-        .agg(F.max("h.action").alias("action"))
+        rows.select("_row", F.explode(terms_of(F.col(text_col))).alias("term"))
+        .join(broadcast_if_small(hidden, TOLD), "term")
         .groupBy("_row")
         .agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("_hide"))
     )
-    step = found.join(chosen, "_row", "left")
+    text = F.coalesce(F.col(text_col), F.lit("")).alias("_ptext")
+    step = rows.select("_row", "_spans", text).join(chosen, "_row", "left").filter((F.size("_spans") > 0) | F.col("_hide").isNotNull())
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys("_hide"), "|"), F.lit(r")(?!\p{L})"))
     spans = F.transform(
-        located(F.col(text_col), pattern, TERM, len(KINDS)),
+        located(F.col("_ptext"), pattern, TERM, len(KINDS)),
         lambda x: F.struct(x.k, x.kind, x.s, x.e, x.v, F.element_at(F.col("_hide"), F.lower(x.v)).alias("action")),
     )
     apart = F.filter("_all", lambda x: ~F.exists("_spans", lambda b: (x.s < b.e) & (b.s < x.e)))
@@ -191,22 +194,13 @@ def term_spans(found: DataFrame, near: DataFrame, hidden: DataFrame, text_col: s
 
 
 def find_personal(
-    docs: DataFrame, text_col: str = "text", rule: Disclosure = Disclosure(), keep_text: bool = False
+    docs: DataFrame, text_col: str = "text", rule: Disclosure = Disclosure()
 ) -> tuple[DataFrame, DataFrame]:
-    """Stored rows of all documents with ``_row`` and ``_spans``, and those with personal data with ``_terms``.
-
-    With ``keep_text`` the first frame holds every column; else the text only
-    where a span was found.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """Stored rows of all documents with ``_row`` and ``_spans``, and those with personal data or revealing terms with ``_terms``."""
     # Nothing is dealt out before the write, and the numbers hold once they are stored.
-    step = base_spans(docs, text_col).withColumn("_row", F.monotonically_increasing_id())
-    step = step.withColumn("_ptext", F.when(F.size("_spans") > 0, text))
-    rows = stage_table(step if keep_text else step.drop(text_col), "pii-rows")
-    found = rows.filter(F.size("_spans") > 0).select("_row", "_spans", "_ptext")
-    near = stage_table(mentions(found, "_ptext"), "pii-mentions")
-    hidden = revealing(docs, near, max(1, rows.count()), rule, text_col)
-    return rows, term_spans(found, near, hidden, "_ptext")
+    rows = stage_table(base_spans(docs, text_col).withColumn("_row", F.monotonically_increasing_id()), "pii-rows")
+    hidden = stage_table(revealing(rows, max(1, rows.count()), rule, text_col), "pii-terms-hidden")
+    return rows, with_terms(rows, hidden, text_col)
 
 
 def span_text(spans: Column) -> Column:
@@ -256,11 +250,11 @@ def masked(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Disclosure = Disclosure()) -> DataFrame:
     """``docs`` with the text of documents that hold personal data rewritten; others pass unchanged."""
     inner, restored = shielded(docs, id_col, text_col)
-    rows, found = find_personal(inner, "text", rule, keep_text=True)
+    rows, found = find_personal(inner, "text", rule)
     spans = F.concat(
         F.transform("_spans", lambda x: x.withField("action", F.lit("remove"))),
         F.col("_terms"),
     )
+    # A row without a clean text keeps its own, also a null.
     clean = found.select("_row", masked(F.col("_ptext"), spans).alias("_clean"))
-    changed = rows.filter(F.size("_spans") > 0).join(clean, "_row").withColumn("text", F.col("_clean"))
-    return restored(rows.filter(F.size("_spans") == 0)).unionByName(restored(changed))
+    return restored(rows.join(clean, "_row", "left").withColumn("text", F.coalesce("_clean", "text")))

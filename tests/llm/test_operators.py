@@ -98,6 +98,20 @@ def test_revealing_terms_go(spark):
     assert spans == "email:16:32,term:39:47"
 
 
+def test_rare_entities_have_revealing_terms(spark):
+    """One document is enough for an entity, a short name far from it goes too, and a hot entity's terms wherever they stand."""
+    rows = [(i, f"please write about other matters number {i}") for i in range(400)]
+    rows += [(400, "the case of Lee Quux " + "please write about other matters " * 10 + "pat@one.example")]
+    rows += [(500 + i, "please write to hot@corp.example on Orbit matters") for i in range(200)]
+    rows += [(800, "Orbit matters without an address")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = by_id(pii.sanitise(docs))
+    assert "Lee" not in clean[400].text and "Quux" not in clean[400].text and "please write about" in clean[400].text
+    assert "Orbit" not in clean[501].text and "please write to" in clean[501].text
+    assert "Orbit" not in clean[800].text and "matters" in clean[800].text
+    assert clean[7].text == rows[7][1]
+
+
 def test_masks_every_span(docs):
     clean = by_id(pii.sanitise(docs))
     for doc, text in ROWS:
