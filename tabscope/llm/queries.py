@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabscope.llm import ann, bpe, jaccard, licenses, packing, pii, quality, sharding, substrings, urls
+from tabscope.llm import ann, bpe, jaccard, licenses, merkle, packing, pii, quality, sharding, substrings, urls
 from tabscope.llm.common import read_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,44 @@ reach as (select doc_id, doc_id r from documents union select reach.doc_id, e.y
 select doc_id, coalesce(any_value(c.n), 0)::bigint n_shingles, min(r) component_id
 from reach left join c using (doc_id) group by doc_id"""
 
+MANIFEST_SQL = """with recursive crc as (
+  select list(list_reduce(list_prepend(n, range(8)), lambda c, k:
+    case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by n) t from range(256) r(n)),
+d as (select row_number() over () k, * from documents),
+f as (select k, source, doc_id, text, coalesce(octet_length(encode(doc_id::varchar)) || ':' || doc_id, '-')
+  || coalesce(octet_length(encode(source)) || ':' || source, '-')
+  || coalesce(octet_length(encode(lang)) || ':' || lang, '-')
+  || coalesce(octet_length(encode(n_chars::varchar)) || ':' || n_chars, '-') head, replace(text, chr(10), '') short,
+  xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 2 = 0 hit from d, crc),
+leaves as (select k, source, doc_id, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) leaf,
+  case when hit and text is not null then sha256(head || octet_length(encode(short)) || ':' || short) end changed from f),
+up(source, level, idx, digest, n) as (
+  select source, 0, row_number() over (partition by source order by doc_id nulls first, leaf) - 1, leaf,
+    count(*) over (partition by source) from leaves
+  union all select source, level + 1, idx // 3, sha256(string_agg(digest, '' order by idx)), any_value((n + 2) // 3)
+  from up where n > 1 group by source, level, idx // 3),
+tops(level, idx, digest, n) as (
+  select 0, row_number() over (order by source nulls first) - 1, digest, count(*) over () from up where n = 1
+  union all select level + 1, idx // 3, sha256(string_agg(digest, '' order by idx)), any_value((n + 2) // 3)
+  from tops where n > 1 group by level, idx // 3),
+own as (select k, doc_id, source, leaf, changed,
+  row_number() over (partition by source order by doc_id nulls first, leaf) - 1 i from leaves),
+src as (select source, digest subroot, row_number() over (order by source nulls first) - 1 s from up where n = 1),
+steps as (
+  select k, 0 part, u.level, coalesce(string_agg(digest, '' order by idx) filter (idx < i // (3 ** level)::bigint), '') l,
+    coalesce(string_agg(digest, '' order by idx) filter (idx > i // (3 ** level)::bigint), '') r
+  from own o join up u on o.source is not distinct from u.source and u.n > 1 and u.idx // 3 = i // (3 ** (level + 1))::bigint group by all
+  union all select k, 1, t.level, coalesce(string_agg(digest, '' order by idx) filter (idx < s // (3 ** level)::bigint), ''),
+    coalesce(string_agg(digest, '' order by idx) filter (idx > s // (3 ** level)::bigint), '')
+  from own o join src on o.source is not distinct from src.source join tops t on t.n > 1 and t.idx // 3 = s // (3 ** (level + 1))::bigint
+  group by all),
+paths as (select k, list(l || '|' || r order by part, level) p, string_agg(l || r, '' order by part, level) proof from steps group by k)
+select doc_id, leaf, subroot, tops.digest root, sha256(coalesce(proof, '')) proof_sha256,
+  list_reduce(list_prepend(coalesce(changed, leaf), coalesce(p, [])),
+    lambda h, x: sha256(split_part(x, '|', 1) || h || split_part(x, '|', 2))) folded_root, folded_root = tops.digest verified
+from own left join paths using (k) join src on own.source is not distinct from src.source join tops on tops.n = 1"""
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_columns(spark, sf_dir, "documents", "doc_id", "text")
@@ -111,3 +149,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_jaccard_join", JACCARD_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_report(documents(spark, sf_dir))
+
+
+@query("op13_merkle_manifest", MANIFEST_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_report(read_columns(spark, sf_dir, "documents", *merkle.FIELDS))
