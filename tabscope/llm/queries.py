@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabscope.llm import ann, bpe, jaccard, licenses, merkle, packing, pii, quality, sharding, substrings, urls
+from tabscope.llm import (
+    ann,
+    bpe,
+    jaccard,
+    lexical,
+    licenses,
+    lines,
+    merkle,
+    packing,
+    pii,
+    quality,
+    sharding,
+    substrings,
+    urls,
+)
 from tabscope.llm.common import read_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +64,21 @@ reach as (select doc_id, doc_id r from documents union select reach.doc_id, e.y
 select doc_id, coalesce(any_value(c.n), 0)::bigint n_shingles, min(r) component_id
 from reach left join c using (doc_id) group by doc_id"""
 
+TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LEXICAL_SQL = f"""with t as (select row_number() over () k, doc_id, regexp_extract_all(translate(text,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERMS}') terms from documents where text is not null),
+d as (select k, doc_id, len(terms) n, terms from t where len(terms) > 0),
+s as (select count(*) docs, sum(n)::bigint total from d),
+q as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '{TERMS}')) term from benchmark),
+w as (select k, unnest(terms) term from d),
+f as (select k, term, count(*) tf from w where term in (select term from q) group by all),
+x as (select term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::bigint w from f, s group by term),
+r as (select item_id, k, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::bigint score
+  from q join f using (term) join x using (term) join d using (k), s group by all),
+o as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) place
+  from r join d using (k) where score > 0)
+select item_id, place::int as rank, doc_id, score from o where place <= 10"""
 MANIFEST_SQL = """with recursive crc as (
   select list(list_reduce(list_prepend(n, range(8)), lambda c, k:
     case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by n) t from range(256) r(n)),
@@ -151,6 +180,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_report(documents(spark, sf_dir))
 
 
+@query("op11_lexical_search", LEXICAL_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(documents(spark, sf_dir), read_columns(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+@query("op12_line_field")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read_columns(spark, sf_dir, "labels", "doc_id", "quality")
+    return lines.quality_scores(documents(spark, sf_dir), labels)
+
+
 @query("op13_merkle_manifest", MANIFEST_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_report(read_columns(spark, sf_dir, "documents", *merkle.FIELDS))
