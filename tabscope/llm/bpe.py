@@ -13,14 +13,16 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import bound_arrow_batches
+from tabscope.llm.common import bound_arrow_batches, without_gc
 
 #: White space by the Unicode property, which Python's own class exceeds.
 SPACE = r"\t\n\x0b\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -28,12 +30,13 @@ SPACE = r"\t\n\x0b\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000
 WORDS = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
-#: Where two blanks meet or one ends the text, words can't be cut at single blanks.
-ODD_SPACE = re.compile(r"\s\s|\s\Z")
-#: A comma or full stop that doesn't follow a letter or digit is part of a longer word; the mark may not be in use.
-MARKS = re.compile(r"(?:\W|_)[,.]\s|\x01")
 NEVER = np.int64(1 << 40)
-KNOWN_WORDS = 400_000
+NONE = 1 << 40
+SHORT_WORD = 96
+#: Further proposals for words whose first one fails.
+ATTEMPTS = 3
+BETWEEN = "\u0100"
+KNOWN_WORDS = 600_000
 
 
 def byte_names() -> dict[str, int]:
@@ -75,9 +78,39 @@ class Merges:
         # Only tokens that merging can make may be proposed.
         self.known = {t: k for k, t in enumerate(texts) if k < 256 or self.merge(t) == [k]}
         self.longest = max(map(len, self.known))
+        self.sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        self.lengths = self.sizes.tolist()
+        # The longest known token that a token begins with, apart from itself; -1 for single bytes.
+        self.shorter = np.full(len(texts), -1, dtype=np.int64)
+        for k, t in enumerate(texts):
+            for n in range(len(t) - 1, 0, -1):
+                if (begin := self.known.get(t[:n])) is not None:
+                    self.shorter[k] = begin
+                    break
+        # Finds the longest known token at each place, of many words in one go.
+        self.finder = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for t, k in self.known.items():
+            self.finder.add_word(t.decode("latin-1"), k)
+        self.finder.make_automaton()
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: always the oldest pair, and of equal ones the leftmost."""
+        if len(word) > SHORT_WORD:
+            return self.merge_long(word)
+        part, get = list(word), self.merged.get
+        pairs = [get(p, NONE) for p in zip(part, part[1:], strict=False)]
+        while pairs and (m := min(pairs)) < NONE:
+            i = pairs.index(m)
+            part[i : i + 2] = [m]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = get((part[i - 1], m), NONE)
+            if i < len(pairs):
+                pairs[i] = get((m, part[i + 1]), NONE)
+        return part
+
+    def merge_long(self, word: bytes) -> list[int]:
+        """The same with a queue, whose cost doesn't grow with the square of the length."""
         part: list[int | None] = list(word)
         n = len(part)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -109,6 +142,34 @@ class Merges:
             at = end
         return out
 
+    def propose_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Proposed tokens of all words in a row, and their number by word."""
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        # No token has the character between two words.
+        found = list(self.finder.iter_long(BETWEEN.join([w.decode("latin-1") for w in words])))
+        pairs = np.fromiter(chain.from_iterable(found), dtype=np.int64, count=2 * len(found)).reshape(-1, 2)
+        flat, ends = pairs[:, 1], pairs[:, 0] + 1
+        word_ends = np.cumsum(lengths + 1) - 1
+        of = np.searchsorted(word_ends, ends)
+        # Tokens side by side fill every word, or else each word is cut by itself.
+        if np.array_equal(np.cumsum(self.sizes[flat]) + of, ends) and self.sizes[flat].sum() == lengths.sum():
+            return flat, np.bincount(of, minlength=len(words))
+        proposed = [self.propose(w) for w in words]
+        sizes = np.fromiter(map(len, proposed), dtype=np.int64, count=len(words))
+        return np.fromiter(chain.from_iterable(proposed), dtype=np.int64, count=int(sizes.sum())), sizes
+
+    def first_clash(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words with neighbours that aren't compatible, and where in ``flat`` the first such pair begins."""
+        ends = np.cumsum(sizes)
+        inner = np.ones(len(flat), dtype=bool)
+        inner[ends[ends < len(flat)]] = False
+        second = np.flatnonzero(inner)[1:] if len(flat) else np.zeros(0, dtype=np.int64)
+        pairs = (flat[second - 1] << 20) | flat[second]
+        kinds, back = np.unique(pairs, return_inverse=True)
+        clash = second[~self.compatible(kinds >> 20, kinds & ((1 << 20) - 1))[back]]
+        words, first = np.unique(np.searchsorted(ends, clash, side="right"), return_index=True)
+        return words, clash[first] - 1
+
     def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """For each pair of tokens, whether BPE leaves the border between them alone.
 
@@ -134,22 +195,48 @@ class Merges:
         return ok
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word as little-endian 32-bit numbers."""
-        proposed = [self.propose(w) for w in words]
-        sizes = np.fromiter(map(len, proposed), dtype=np.int64, count=len(words))
-        flat = np.fromiter((t for p in proposed for t in p), dtype=np.int64, count=int(sizes.sum()))
-        ends = np.cumsum(sizes)
-        inner = np.ones(len(flat), dtype=bool)
-        inner[ends[:-1]] = False
-        second = np.flatnonzero(inner)[1:] if len(flat) else np.zeros(0, dtype=np.int64)
-        pairs = (flat[second - 1] << 20) | flat[second]
-        kinds, back = np.unique(pairs, return_inverse=True)
-        fine = self.compatible(kinds >> 20, kinds & ((1 << 20) - 1))[back]
-        failed = np.unique(np.searchsorted(ends, second[~fine], side="right"))
-        ids = self.ids[flat].tobytes()
-        out = [ids[4 * (e - s) : 4 * e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-        for k in failed.tolist():
-            out[k] = self.ids[self.merge(words[k])].tobytes()
+        """Ids of each word as little-endian 32-bit numbers.
+
+        Where a proposal fails, its first token that clashes with the next is
+        proposed once more as its longest shorter beginning, and the rest of the
+        word anew, a few times. Words that still fail are merged.
+        """
+        out: list[bytes] = [b""] * len(words)
+        # Of each open word: what it is, the bytes and tokens that stand already, and the rest.
+        open_words, heads, rests = list(range(len(words))), [()] * len(words), words
+        for attempt in range(ATTEMPTS + 1):
+            if not open_words:
+                return out
+            flat, sizes = self.propose_all(rests)
+            if attempt:
+                before = np.fromiter(map(len, heads), dtype=np.int64, count=len(heads))
+                stands = np.fromiter(chain.from_iterable(heads), dtype=np.int64, count=int(before.sum()))
+                total, starts = before + sizes, np.cumsum(before + sizes) - before - sizes
+                both = np.empty(len(flat) + len(stands), dtype=np.int64)
+                of_stands = np.repeat(starts - (np.cumsum(before) - before), before) + np.arange(len(stands))
+                of_flat = np.repeat(starts + before - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(flat))
+                both[of_stands], both[of_flat] = stands, flat
+                flat, sizes = both, total
+            failed, clash = self.first_clash(flat, sizes)
+            ends = np.cumsum(sizes)
+            ids = self.ids[flat].tobytes()
+            fine = np.ones(len(open_words), dtype=bool)
+            fine[failed] = False
+            for k in np.flatnonzero(fine).tolist():
+                out[open_words[k]] = ids[4 * int(ends[k] - sizes[k]) : 4 * int(ends[k])]
+            todo, kept_heads, kept_rests = [], [], []
+            shorter = self.shorter[flat[clash]]
+            for k, at, short in zip(failed.tolist(), clash.tolist(), shorter.tolist(), strict=True):
+                word = words[open_words[k]]
+                if short < 0 or attempt == ATTEMPTS:
+                    out[open_words[k]] = self.ids[self.merge(word)].tobytes()
+                    continue
+                first = int(ends[k] - sizes[k])
+                head = (*flat[first:at].tolist(), short)
+                todo.append(open_words[k])
+                kept_heads.append(head)
+                kept_rests.append(word[sum(map(self.lengths.__getitem__, head)) :])
+            open_words, heads, rests = todo, kept_heads, kept_rests
         return out
 
 
@@ -159,34 +246,41 @@ class Encoder:
     def __init__(self, path: str):
         self.merges = Merges(path)
         self.seen: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         specials = sorted(self.merges.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
 
     def pieces(self, text: str) -> list[str]:
         """Keys of the text's parts that can be encoded apart.
 
-        A key names the part after a blank, unless it begins with a line end or a
-        mark. One blank before a key stands for none, and two mark a single word.
+        A key names the part after a blank, unless it begins with a line end.
+        One blank before a key stands for none, and two mark a single word.
+        Words can be cut at blanks where these stand alone.
         """
-        if ODD_SPACE.search(text):
+        runs, blanks = text.split(), text.count(" ") + text.count("\n")
+        # Other white space, or two blanks side by side or at an end, breaks one of these.
+        if len(runs) != blanks + 1 or sum(map(len, runs)) + blanks != len(text):
             return ["  " + w for w in WORDS.findall(text)]
-        if not MARKS.search(text):
-            text = text.replace(", ", " \x01, ").replace(". ", " \x01. ").replace(".\n", " \x01.\n")
         first, *rest = text.replace("\n", " \n").split(" ")
-        return [" " + first, *rest] if first else rest
+        return [" " + first, *rest]
+
+    def cut_key(self, key: str) -> list[str]:
+        """The words of a key's part."""
+        if key.isalpha():
+            return [" " + key]
+        if key[-1] in ",." and key[:-1].isalpha():
+            return [" " + key[:-1], key[-1]]
+        if key[:2] == "  ":
+            return [key[2:]]
+        return WORDS.findall(key if key[0] == "\n" else key[1:] if key[0] == " " else " " + key)
 
     def learn(self, keys: set[str]) -> None:
-        parts = {}
-        for key in keys:
-            if key.startswith("  "):
-                parts[key] = [key[2:].encode()]
-            else:
-                chunk = key if key[0] == "\n" else key[1:] if key[0] in " \x01" else " " + key
-                parts[key] = [w.encode() for w in WORDS.findall(chunk)]
-        words = list({w for p in parts.values() for w in p})
-        ids = dict(zip(words, self.merges.encode_words(words), strict=True))
+        parts = {key: self.cut_key(key) for key in keys}
+        new = list({w for p in parts.values() for w in p}.difference(self.words))
+        self.words.update(zip(new, self.merges.encode_words([w.encode() for w in new]), strict=True))
+        get = self.words.__getitem__
         for key, p in parts.items():
-            self.seen[key] = b"".join(map(ids.__getitem__, p))
+            self.seen[key] = get(p[0]) if len(p) == 1 else b"".join(map(get, p))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut.split(t) if self.cut else [t] for t in texts]
@@ -195,6 +289,7 @@ class Encoder:
         new = wanted.difference(self.seen)
         if len(self.seen) + len(new) > KNOWN_WORDS:
             self.seen.clear()
+            self.words.clear()
             new = wanted
         if new:
             self.learn(new)
@@ -227,8 +322,9 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            ids = own.encode(batch.column(1).to_pylist())
-            decoded = [own.decode(x) for x in ids]
+            with without_gc():
+                ids = own.encode(batch.column(1).to_pylist())
+                decoded = [own.decode(x) for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"]
             )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import gc
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +67,21 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     Beyond that the plain frame goes back and Spark joins it by shuffle.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def told_if_small(df: DataFrame, text_col: str, most: int) -> DataFrame:
+    """``df`` with a broadcast hint if its texts, and 64 bytes a row for the rest, have at most ``most`` bytes; pass a staged table."""
+    size = df.agg(F.coalesce(F.sum(F.octet_length(text_col) + 64), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= most else df
+
+
+@contextmanager
+def without_gc() -> Iterator[None]:
+    """Spares the search for cycles while very many small objects are made that have none."""
+    before = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if before:
+            gc.enable()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -47,6 +48,36 @@ def personal(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
+def revealing(rows: list[tuple[int, str | None]]) -> dict[str, str]:
+    """Terms that leave at most one bit of an entity open, by the lower bound of their share of distinct texts, and what is done."""
+    z2 = 1.645**2
+    own = []
+    for _, text in rows:
+        entities = {(k, text[s:e].lower() if k == "email" else text[s:e]) for k, s, e in personal(text)}
+        own.append((text, entities, set(re.findall(r"[^\W\d_]+", (text or "").lower()))))
+    n_term = Counter(t for _, _, terms in own for t in terms)
+    out: dict[str, str] = {}
+    for entity in {e for _, entities, _ in own for e in entities}:
+        with_it = [(text, terms) for text, entities, terms in own if entity in entities]
+        for term in {t for _, terms in with_it for t in terms}:
+            both = [text for text, terms in with_it if term in terms]
+            k = len(set(both))
+            n = k + n_term[term] - len(both)
+            p = k / n
+            low = (p + z2 / (2 * n) - math.sqrt(z2 * (p * (1 - p) / n + z2 / (4 * n * n)))) / (1 + z2 / n)
+            if -math.log2(low) <= 1 and math.log2(low * len(rows) / len(with_it)) >= 1:
+                action = "remove" if -math.log2(low) <= 1 / 3 else "generalise"
+                out[term] = max(action, out.get(term, ""))
+    return out
+
+
+def term_spans(text: str | None, hidden: dict[str, str]) -> list[tuple[str, int, int]]:
+    """Words that are hidden, apart from personal data."""
+    base = personal(text)
+    words = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", text or "") if m[0].lower() in hidden]
+    return [("term", s, e) for s, e in words if not any(s < b and a < e for _, a, b in base)]
+
+
 def repeated(rows: list[tuple[int, str | None]], window: int) -> dict[int, list[bool]]:
     """By document, which words lie in a window that also starts earlier."""
     seen, out = set(), {}
