@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
+from struct import Struct
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabscope.llm.bpe import byte_names
-from tabscope.llm.common import bound_arrow_batches
+from tabscope.llm.common import bound_arrow_batches, without_gc
 from tabscope.session import stage_table
 
 LENGTH = 4096
@@ -34,7 +35,7 @@ END_ID = 2
 SPARE = LENGTH // 128
 KNOWN_WORDS = 600_000
 #: Blanks to Python's split() that aren't white space to the tokenizer, and the start of its special tokens.
-UNSAFE = re.compile("[\x1c-\x1f]|<\\|")
+UNSAFE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 #: Beyond Latin letters, which are lower-cased one by one and are in composed form already.
 NOT_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
 #: A comma or full stop behind another mark belongs to the mark's piece.
@@ -44,6 +45,14 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 FIRST_MERGED = 1 << 62
 
 
+def not_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+        return False
+    except UnicodeEncodeError:
+        return NOT_LATIN.search(text) is not None
+
+
 class WordIds:
     """Ids by white-space separated chunk, which this tokenizer encodes apart; remembers a fixed number of chunks.
 
@@ -58,34 +67,43 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.visible = {b: c for c, b in byte_names().items() if ord(c) != b}
         self.seen: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def fresh(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def chunks(self, text: str) -> list[str] | None:
         """Keys of the text's chunks; a leading blank marks one that isn't Latin. None if it can't be cut."""
-        if UNSAFE.search(text):
+        if any(x in text for x in UNSAFE):
             return None
-        if NOT_LATIN.search(text):
+        if not text.isascii() and not_latin(text):
             return [" " + c for c in text.split()]
         text = text.lower()
         if not MARKS.search(text):
             text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
         return text.split()
 
-    def merged(self, piece: str) -> bytes:
-        shown = piece.encode().decode("latin-1").translate(self.visible)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+    def cut_key(self, key: str) -> list[str]:
+        if key.isalpha():
+            return [key]
+        return PIECES.findall(key)
 
     def learn(self, keys: list[str]) -> None:
         other = [k for k in keys if k[0] == " "]
         self.seen.update(zip(other, self.fresh([k[1:] for k in other]), strict=True))
-        for key in keys:
-            if key[0] != " ":
-                self.seen[key] = b"".join(map(self.merged, PIECES.findall(key)))
+        parts = {k: self.cut_key(k) for k in keys if k[0] != " "}
+        new = list({w for p in parts.values() for w in p}.difference(self.pieces))
+        tokenize, visible, four = self.tokenize, self.visible, Struct("<I").pack
+        for piece in new:
+            # Letters and marks of ASCII are written as themselves, other bytes as visible characters.
+            shown = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(visible)
+            self.pieces[piece] = b"".join([four(t.id) for t in tokenize(shown)])
+        get = self.pieces.__getitem__
+        for key, p in parts.items():
+            self.seen[key] = get(p[0]) if len(p) == 1 else b"".join(map(get, p))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         chunks = [self.chunks(t) for t in texts]
@@ -93,8 +111,10 @@ class WordIds:
         new = wanted.difference(self.seen)
         if len(self.seen) + len(new) > KNOWN_WORDS:
             self.seen.clear()
+            self.pieces.clear()
             new = wanted
-        self.learn(list(new))
+        if new:
+            self.learn(list(new))
         get = self.seen.__getitem__
         return [self.fresh([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, chunks, strict=True)]
 
@@ -238,7 +258,9 @@ def pack(docs: DataFrame, path: str, keep_ids: bool = False, id_col: str = "doc_
 
         for batch in batches:
             types[0] = batch.column(0).type
-            for doc, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist()), strict=True):
+            with without_gc():
+                encoded = own.encode(batch.column(1).to_pylist())
+            for doc, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 ids += end
                 packer.place(Piece(doc, 0, ids, len(ids) // 4))
             rows = []
