@@ -1,20 +1,24 @@
 """Sanitisation by disclosure: what names a person goes, and so do terms that give it away.
 
 Patterns find the protected entities (addresses, numbers). Over all documents,
-co-occurrence tells how strongly a term of a document reveals an entity: the
-pointwise mutual information PMI(entity; term) against the information
-IC(entity) of the entity itself. A term with PMI / IC over a threshold is
-generalised or removed in every document where it stands.
+co-occurrence tells how strongly a term reveals an entity: the pointwise mutual
+information PMI(entity; term) against the information IC(entity) of the entity
+itself. What the term leaves open of it, IC - PMI, is -log2 P(entity | term) and
+doesn't depend on the size of the table. It is taken at the lower confidence
+bound of that share, so that few meetings, or a rare term, tell little. A term
+that leaves fewer bits open than a threshold is generalised or removed in every
+document where it stands.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import broadcast_if_small, shielded
+from tabscope.llm.common import shielded, told_if_small
 from tabscope.session import stage_table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -32,24 +36,34 @@ PATTERNS = {
 NEEDS = {"email": "@", "phone": "+"}
 NEEDS_PATTERN = {"ip": r"[0-9]\.[0-9]", "card": r"[0-9]"}
 WORD = r"\p{L}+"
-#: Words of grammar, which name nobody.
-FUNCTION_WORDS = (
-    "a an the and or but nor if so as at by for from in into of off on onto out over to up with i me my we us our you your "
-    "he him his she her it its they them their this that these those who whom whose which what is am are was were be been "
-    "being do does did has have had not no than then there here when where how why can could may might must shall should "
-    "will would"
-).split()
-#: Terms in more documents are told to every task with their counts, and revealing terms too, up to so many.
-FREQUENT, TOLD = 32, 200_000
+#: Terms are told to every task up to so many bytes; beyond, the join deals them out.
+TOLD_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
 class Disclosure:
-    """Thresholds of PMI / IC. ``prior`` documents in which a term meets the entity by chance are added to each term's."""
+    """How many bits of an entity a term may leave open at most to be treated, and must tell at least.
 
-    prior: float = 1.0
-    generalise: float = 0.85
-    remove: float = 0.95
+    ``z`` sets the confidence of the share's lower bound (Wilson's, one-sided). Only distinct texts are evidence.
+    """
+
+    generalise: float = 1.0
+    remove: float = 1 / 3
+    tells: float = 1.0
+    z: float = 1.645
+
+    @property
+    def least(self) -> int:
+        """Distinct texts in which an entity and a term must meet before the bound can be reached."""
+        share = 2.0**-self.generalise
+        return max(1, math.ceil(share * self.z**2 / (1 - share)))
+
+    def low(self, k: Column, n: Column) -> Column:
+        """Lower confidence bound of the share behind ``k`` of ``n``."""
+        z2 = self.z**2
+        p = k / n
+        spread = F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))
+        return (p + z2 / (2 * n) - self.z * spread) / (1 + z2 / n)
 
 
 def digits_of(value: Column) -> Column:
@@ -125,9 +139,8 @@ def base_spans(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def terms_of(text: Column) -> Column:
-    """Distinct words in lower case, without those of grammar."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
-    return F.array_except(words, F.split(F.lit(" ".join(FUNCTION_WORDS)), " "))
+    """Distinct words in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
 def entities_of(spans: Column) -> Column:
@@ -139,44 +152,42 @@ def entities_of(spans: Column) -> Column:
 def revealing(rows: DataFrame, n_docs: int, rule: Disclosure, text_col: str) -> DataFrame:
     """Terms that reveal an entity: term, action (the stronger one).
 
-    Entities and terms meet in whole documents, and every pair counts. The share of a
-    term's documents that hold the entity is smoothed, p = (n_pair + prior x P(entity)) /
-    (n_term + prior), so that a chance meeting tells less than a repeated one.
+    Entities and terms meet in whole documents. Texts that repeat are one meeting;
+    documents without the entity all count against it. What can't reach the bound,
+    as it has fewer meetings or too many other documents, makes no pair.
     """
-    terms = terms_of(F.col(text_col))
-    found = rows.filter(F.size("_spans") > 0).select(entities_of(F.col("_spans")).alias("entities"), terms.alias("terms"))
-    held = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    # Both are counted within tasks first: one row for each pair or term and task is dealt out.
-    pairs = (
-        found.select(F.explode("entities").alias("entity"), "terms")
-        .select("entity", F.explode("terms").alias("term"))
-        .groupBy("entity", "term")
-        .agg(F.count("*").alias("n_pair"))
+    held = rows.filter(F.size("_spans") > 0).select("_row", F.col("_th").alias("_text"), F.explode(entities_of(F.col("_spans"))).alias("entity"))
+    counted = held.groupBy("entity", "_text").agg(F.count("*").alias("n")).groupBy("entity")
+    entities = counted.agg(F.sum("n").alias("n_entity"), F.count("*").alias("n_texts")).filter(F.col("n_texts") >= rule.least)
+    # Which of some equal texts stands for all of them, and for how many; only texts with an entity that recurs.
+    meetings = held.join(entities, "entity").groupBy("_text", "entity").agg(
+        F.min("_row").alias("_row"), F.count("*").alias("n_rows"), F.max("n_entity").alias("n_entity"), F.max("n_texts").alias("n_texts")
+    )
+    meetings = stage_table(meetings.drop("_text"), "pii-meetings")
+    terms = rows.select(F.explode(terms_of(F.col(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    counted_terms = stage_table(terms.filter(F.col("n_term") >= rule.least), "pii-terms")
+    chosen = rows.join(meetings.select("_row").distinct(), "_row", "left_semi")
+    own = chosen.select("_row", F.explode(terms_of(F.col(text_col))).alias("term")).join(counted_terms, "term")
+    # A term in more documents without the entity than the entity has texts leaves more than the bound open.
+    share = 2.0**-rule.generalise
+    few = F.col("n_term") - F.col("n_entity") <= F.col("n_texts") * ((1 - share) / share)
+    pairs = own.join(meetings, "_row").filter(few).groupBy("entity", "term")
+    pairs = pairs.agg(
+        F.count("*").alias("n_pair"), F.sum("n_rows").alias("n_both"), F.max("n_term").alias("n_term"), F.max("n_entity").alias("n_entity")
     )
-    counted = stage_table(rows.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")), "pii-terms")
-    # A term of many documents has many pairs, which don't meet in one task.
-    frequent = broadcast_if_small(counted.filter(F.col("n_term") > FREQUENT), TOLD)
-    rare = counted.filter(F.col("n_term") <= FREQUENT)
-    pairs = pairs.join(frequent, "term", "left")
-    total = F.lit(float(n_docs))
-    own = F.col("n_entity") / total
-    smoothed = (F.col("n_pair") + rule.prior * own) / (F.col("n_term") + rule.prior)
-    # An entity of all documents carries no information.
-    ratio = F.when(F.col("n_entity") < total, F.log2(smoothed / own) / -F.log2(own)).otherwise(0.0)
-    # The smoothed share must reach P(entity) ** (1 - generalise), which is least for an entity of one document.
-    least = (1.0 / n_docs) ** (1.0 - rule.generalise)
-    known = pairs.filter("n_term IS NOT NULL").filter(F.col("n_pair") + rule.prior >= least * (F.col("n_term") + rule.prior))
-    others = pairs.filter("n_term IS NULL").drop("n_term").join(rare, "term")
-    both = known.select("entity", "term", "n_pair", "n_term").unionByName(others.select("entity", "term", "n_pair", "n_term"))
-    action = F.when(ratio >= rule.remove, "remove").otherwise("generalise")
-    return both.join(held, "entity").filter(ratio >= rule.generalise).groupBy("term").agg(F.max(action).alias("action"))
+    low = rule.low(F.col("n_pair").cast("double"), F.col("n_pair") + F.col("n_term") - F.col("n_both"))
+    bits = -F.log2(low)
+    told = F.log2(low * n_docs / F.col("n_entity"))
+    action = F.when(F.col("bits") <= rule.remove, "remove").otherwise("generalise")
+    reached = pairs.select("term", bits.alias("bits"), told.alias("told")).filter((F.col("bits") <= rule.generalise) & (F.col("told") >= rule.tells))
+    return reached.groupBy("term").agg(F.max(action).alias("action"))
 
 
 def with_terms(rows: DataFrame, hidden: DataFrame, text_col: str) -> DataFrame:
     """_row, _spans, the text and ``_terms`` of documents with base spans or revealing terms: the places of such terms outside the spans."""
     chosen = (
         rows.select("_row", F.explode(terms_of(F.col(text_col))).alias("term"))
-        .join(broadcast_if_small(hidden, TOLD), "term")
+        .join(told_if_small(hidden, "term", TOLD_BYTES), "term")
         .groupBy("_row")
         .agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("_hide"))
     )
@@ -198,7 +209,8 @@ def find_personal(
 ) -> tuple[DataFrame, DataFrame]:
     """Stored rows of all documents with ``_row`` and ``_spans``, and those with personal data or revealing terms with ``_terms``."""
     # Nothing is dealt out before the write, and the numbers hold once they are stored.
-    rows = stage_table(base_spans(docs, text_col).withColumn("_row", F.monotonically_increasing_id()), "pii-rows")
+    numbered = base_spans(docs, text_col).withColumns({"_row": F.monotonically_increasing_id(), "_th": F.xxhash64(text_col)})
+    rows = stage_table(numbered, "pii-rows")
     hidden = stage_table(revealing(rows, max(1, rows.count()), rule, text_col), "pii-terms-hidden")
     return rows, with_terms(rows, hidden, text_col)
 

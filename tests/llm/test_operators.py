@@ -91,7 +91,7 @@ def test_long_runs_take_one_attempt(spark):
 def test_revealing_terms_go(spark):
     """A word found only near one address is hidden there; common words and other documents stay."""
     rows = [(i, f"please write to kim@corp.example about Zanzibar matters today {i}") for i in range(4)]
-    rows += [(10 + i, f"please write about other matters today number {i}") for i in range(80)]
+    rows += [(10 + i, f"please write to others about other matters today number {i}") for i in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     clean = by_id(pii.sanitise(docs))
     assert "Zanzibar" not in clean[0].text and "kim@" not in clean[0].text and "[EMAIL]" in clean[0].text
