@@ -19,46 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabscope.llm.common import bound_arrow_batches
+from tabscope.llm.license_texts import NOTICES, WHOLE
 
+#: Labels and texts, told to every task: some thousands of words.
+Texts = tuple[tuple[str, str], ...]
 #: Phrases that always count, with their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Notices and opening sentences of public licences, as they are published, in lower case.
-TEMPLATES = (
-    ("mit", "released under the mit license"),
-    (
-        "mit",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
-        "documentation files the software to deal in the software without restriction",
-    ),
-    ("apache", "licensed under the apache license version 2 0"),
-    (
-        "apache",
-        "you may not use this file except in compliance with the license you may obtain a copy of the license at",
-    ),
-    ("gpl", "licensed under the gnu general public license version 3"),
-    (
-        "gpl",
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general "
-        "public license as published by the free software foundation",
-    ),
-    ("lgpl", "licensed under the gnu lesser general public license"),
-    (
-        "bsd",
-        "redistribution and use in source and binary forms with or without modification are permitted provided that "
-        "the following conditions are met",
-    ),
-    (
-        "isc",
-        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-    ),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by", "licensed under cc by 4 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc", "this work is licensed under a creative commons attribution license"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("reserved", "all rights reserved"),
-)
 #: Bytes of words: digits, a-z and all beyond ASCII; the rest cuts, and A-Z become a-z.
 WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
@@ -67,11 +33,17 @@ WORD_BYTES = bytes(
 
 @dataclass(frozen=True)
 class Rules:
-    """A match counts from ``least`` words on, a chain may skip ``gap`` words, a span needs this share of its template."""
+    """A match counts from ``least`` words on, and a chain may skip ``gap`` words.
+
+    A span needs the share ``cover`` of a notice, or ``part`` of a whole licence.
+    Of whole licences that share sentences, a place in a text has the one that
+    covers most words there.
+    """
 
     least: int = 3
     gap: int = 6
     cover: float = 0.8
+    part: float = 0.15
 
 
 class Automaton:
@@ -150,9 +122,12 @@ class Automaton:
 class Scanner:
     """Phrases and templates of one worker."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...], phrases: tuple[tuple[str, str], ...], rules: Rules):
+    def __init__(self, whole: Texts, notices: Texts, phrases: Texts, rules: Rules):
+        templates = (*whole, *notices)
         self.rules, self.labels = rules, [label for label, _ in templates]
-        texts = [text.encode().split() for _, text in templates]
+        self.least_share = [rules.part] * len(whole) + [rules.cover] * len(notices)
+        self.n_whole = len(whole)
+        texts = [text.encode().translate(WORD_BYTES).split() for _, text in templates]
         phrase_words = [text.encode().split() for text, _ in phrases]
         self.ids = {w: k for k, w in enumerate(dict.fromkeys(w for t in texts + phrase_words for w in t))}
         self.sizes = [len(t) for t in texts]
@@ -178,11 +153,16 @@ class Scanner:
         runs = edges[edges[:, 1] - edges[:, 0] >= self.rules.least]
         chains: dict[int, list[int]] = {}  # template: first word, end, place in the template, words covered
         out: list[tuple[str, int, int, float]] = []
+        parts: list[tuple[int, int, int, int]] = []
 
         def close(t: int) -> None:
             first, end, _, covered = chains.pop(t)
             share = min(1.0, covered / self.sizes[t])
-            if share >= self.rules.cover:
+            if share < self.least_share[t]:
+                return
+            if t < self.n_whole:
+                parts.append((-covered, t, first, end))
+            else:
                 out.append((self.labels[t], first, end, share))
 
         for begin, stop in runs.tolist():
@@ -200,6 +180,11 @@ class Scanner:
                     chain[1:] = [max(chain[1], start + length), end_in, chain[3] + max(0, new)]
         for t in list(chains):
             close(t)
+        taken: list[tuple[int, int]] = []
+        for covered, t, first, end in sorted(parts):
+            if not any(2 * (min(end, e) - max(first, f)) > end - first for f, e in taken):
+                taken.append((first, end))
+                out.append((self.labels[t], first, end, min(1.0, -covered / self.sizes[t])))
         return sorted(out, key=lambda s: (s[1], s[2], s[0]))
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, str]], list[tuple[str, int, int, float]]]:
@@ -209,19 +194,20 @@ class Scanner:
 
 
 @cache
-def scanner(templates: tuple[tuple[str, str], ...], phrases: tuple[tuple[str, str], ...], rules: Rules) -> Scanner:
-    return Scanner(templates, phrases, rules)
+def scanner(whole: Texts, notices: Texts, phrases: Texts, rules: Rules) -> Scanner:
+    return Scanner(whole, notices, phrases, rules)
 
 
 def scan(
     docs: DataFrame,
-    templates: tuple[tuple[str, str], ...] = TEMPLATES,
-    phrases: tuple[tuple[str, str], ...] = PHRASES,
+    whole: Texts = WHOLE,
+    notices: Texts = NOTICES,
+    phrases: Texts = PHRASES,
     rules: Rules = Rules(),
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Columns doc_id, n_words, places (of phrases) and spans (of templates) in word numbers.
+    """Columns doc_id, n_words, places (of phrases) and spans (of licences and notices) in word numbers.
 
     A null text counts as empty and has neither. Null and repeated ids pass
     through, one row each. No rows give no rows.
@@ -232,7 +218,7 @@ def scan(
     span = pa.struct([("label", pa.string()), ("first", pa.int64()), ("end", pa.int64()), ("share", pa.float64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = scanner(templates, phrases, rules)
+        own = scanner(whole, notices, phrases, rules)
         for batch in batches:
             found = [own.scan(t) for t in batch.column(1).to_pylist()]
             places = [[{"first": f, "label": x} for f, x in p] for _, p, _ in found]
@@ -256,7 +242,7 @@ def scan(
 
 
 def license_report(docs: DataFrame) -> DataFrame:
-    """Labels and places per document; the score is the largest share of a template, 1 with a phrase."""
+    """Labels and places per document; the score is the largest share of a whole licence or notice, 1 with a phrase."""
     found = scan(docs)
     labels = lambda *columns: F.array_join(F.array_sort(F.array_distinct(F.concat(*columns))), ",")
     n = F.size("places").cast("long")

@@ -18,22 +18,42 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Words of the labelled URL table that trains the model: names such as blocklists carry, and everyday ones.
+#: Words of the labelled URL table that trains the model: what public blocklists call their categories and
+#: names are made of, and everyday nouns such as directories list. Neither looks at any table that is judged.
 BLOCKED = (
-    "ads track spam farm casino win bets poker adult xxx pills cheap free loans clicks bonus jackpot meds replica cams"
+    "ads adserver advert banner popup popunder clickbait click traffic tracker track pixel analytics telemetry spam spammer "
+    "bulkmail mailer farm casino poker slots roulette blackjack baccarat bingo betting bets bookie wager gamble jackpot lottery "
+    "lotto sweepstake win winner prize bonus freespin free freebie giveaway coupon adult xxx porn sex nude erotic escort cams "
+    "webcam hookup dating milf fetish pills pharma viagra cialis meds drugstore steroid weightloss diet keto cheap discount "
+    "replica fake counterfeit rolex loans loan payday lender credit debt cash quickcash forex binary crypto airdrop invest "
+    "doubler hyip ponzi profit earn rich million warez crack cracked keygen serial nulled torrent pirate leech rapid hack "
+    "hacker exploit malware virus trojan botnet ransom spyware rootkit phish phishing verify account login secure update "
+    "signin confirm wallet suspended unlock scam fraud hoax clone mirror proxy bypass unblock spy keylogger toolbar download "
+    "installer cleaner optimizer ringtone horoscope psychic astrology essay homework degree diploma"
 ).split()
 ALLOWED = (
-    "library museum weather recipes news gardens history physics rivers school "
-    "times bread teaching earth north road shore stead ring other hands tithe there station"
+    "library museum gallery theatre opera orchestra choir cinema weather climate forecast recipe kitchen bread bakery cheese "
+    "coffee garden gardening flower forest mountain river lake ocean island valley meadow history archive geography physics "
+    "chemistry biology botany zoology astronomy geology science research journal university college school teacher student "
+    "lesson course lecture news newspaper times herald tribune chronicle gazette magazine radio television weekly daily sport "
+    "football tennis cycling running hiking climbing sailing swimming rowing skiing chess music guitar piano violin painting "
+    "drawing sculpture photo poetry novel writer author book bookshop reading language grammar dictionary travel railway "
+    "station airport harbour bridge road street village city council parish county region country government parliament court "
+    "justice police fire hospital clinic doctor nurse dentist health family children parents baby nursery church temple "
+    "festival market farmers shop store craft pottery weaving sewing wood timber stone glass metal engine bicycle tractor "
+    "boat energy solar wind water recycling nature wildlife birds butterfly horse sheep dog cat veterinary insurance software "
+    "developer documentation manual forum wiki project foundation charity volunteer community club society union north south"
 ).split()
-#: Forms that say nothing about the label; their numbers have no common divisor, so all meet.
-PREFIXES = ("", "www.", "m.", "blog.")
-ENDS = ("com", "net", "org")
-PATHS = ("/en/{}", "/de/{}/", "/fr/{}.html", "/es/{}?page=2&ref=x", "/en/{}#top")
+#: Ways to make a host of two words and a number, and paths; both labels have all of them.
+HOSTS = ("{a}{b}", "{a}-{b}", "{a}", "{a}{n}", "my{a}", "the{a}{b}", "{b}-{a}", "{a}s", "{a}online", "{b}.{a}")
+PREFIXES = ("", "www.", "m.", "blog.", "shop.", "en.", "static.")
+ENDS = ("com", "net", "org", "info", "io", "co.uk", "de", "fr", "eu", "us", "biz")
+PATHS = ("/", "/index.html", "/en/{n}", "/de/{n}/", "/a/b/{n}.php?id={n}", "/fr/{n}.html", "/{n}/page", "/es/{n}?page=2&ref=x", "/news/{n}#top")
+LABELLED_ROWS = 6000
 FEATURES = 1 << 16
 SIZES = (3, 4, 5)
-#: A page is blocked from this probability on, so that names unlike any labelled one pass.
-THRESHOLD = 0.65
+#: A page is blocked from this probability on.
+THRESHOLD = 0.6
 
 
 @dataclass(frozen=True)
@@ -74,19 +94,27 @@ def with_grams(df: DataFrame, url_col: str) -> DataFrame:
 
 
 def label_rows() -> list[tuple[str, int]]:
-    """The labelled table as (url, label); 1 blocks. Each word meets four others, with and without a hyphen."""
+    """The labelled table as (url, label), ``LABELLED_ROWS`` of them in turn of either label; 1 blocks.
+
+    Steps without common divisors have every word meet every form and many other words.
+    """
     rows = []
-    for label, words in ((1, BLOCKED), (0, ALLOWED)):
-        names = [f"{w}{'-' * (k % 2 or label)}{words[(i + k) % len(words)]}" for k in (1, 2, 3, 5) for i, w in enumerate(words)]
-        for n, name in enumerate([*words, *names]):
-            host = f"{PREFIXES[n % len(PREFIXES)]}{name}.example.{ENDS[n % len(ENDS)]}"
-            rows.append((f"http://{host}{PATHS[n % len(PATHS)].format(n * 37 % 1000)}", label))
+    for k in range(LABELLED_ROWS):
+        label, n = (k + 1) % 2, k // 2
+        words = BLOCKED if label else ALLOWED
+        turn, i = divmod(n, len(words))
+        form = {"a": words[i], "b": words[(i + 1 + 17 * turn) % len(words)], "n": n * 37 % 1009}
+        host = HOSTS[(i + 3 * turn) % len(HOSTS)].format(**form)
+        prefix, end, path = PREFIXES[(n + turn) % len(PREFIXES)], ENDS[(n + 2 * turn) % len(ENDS)], PATHS[(n + 5 * turn) % len(PATHS)]
+        rows.append((f"http://{prefix}{host}.{end}{path.format(**form)}", label))
     return rows
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The labelled table as rows (url, label)."""
-    return spark.sql(f"SELECT * FROM VALUES {', '.join(f"('{u}', {x}D)" for u, x in label_rows())} AS t(url, label)")
+    """The labelled table as rows (url, label), from one literal text."""
+    text = "\n".join(f"{label} {url}" for url, label in label_rows())
+    lines = spark.range(1).select(F.explode(F.split(F.lit(text), "\n")).alias("line"))
+    return lines.select(F.substring("line", 3, 10_000).alias("url"), F.substring("line", 1, 1).cast("double").alias("label"))
 
 
 def fit_urls(labelled: DataFrame, url_col: str = "url", label_col: str = "label") -> UrlModel:

@@ -360,8 +360,24 @@ def test_url_model_on_held_out_rows(spark):
     assert len(blocked) == len(held)
     caught = [b for label, b in blocked if label == 1.0]
     wrong = [b for label, b in blocked if label == 0.0]
-    # The threshold spares names unlike any labelled one, so some of the bad pass.
-    assert sum(wrong) <= 0.05 * len(wrong) and sum(caught) >= 0.7 * len(caught), (sum(wrong), len(wrong), sum(caught), len(caught))
+    assert sum(wrong) <= 0.05 * len(wrong) and sum(caught) >= 0.95 * len(caught), (sum(wrong), len(wrong), sum(caught), len(caught))
+
+
+#: Names that are in no list of the module, of the kinds that blocklists and directories hold.
+OTHER_BAD = """megacasino24 bestpokerroom online-betting-tips freecoupons4u hotwebcams adultdating cheap-viagra-store quickpaydayloans
+    crackedgames keygen-archive phishing-login secure-account-verify cryptodoubler torrentz-mirror spammail popup-ads lottowinners
+    rolexreplicas malware-host ransomdecrypt adtracker""".split()
+OTHER_GOOD = """citylibrary mountain-weather breadrecipes riverswimming chesslessons villagechurch birdwatching solarenergyclub
+    universitypress footballnews pianoteacher gardenflowers railwaymuseum doctors-surgery wildlifephotos poetrymagazine
+    countycouncil cyclingforum pottery-workshop sailingschool""".split()
+
+
+def test_url_model_on_other_names(spark):
+    urls_of = [(k, f"https://www.{name}.example/start") for k, name in enumerate(OTHER_BAD + OTHER_GOOD)]
+    judged = urls.judge_urls(spark.createDataFrame(urls_of, "page_id long, url string"), urls.fit_urls(urls.labelled_urls(spark)), rules=())
+    blocked = {r.page_id for r in judged.collect() if r.verdict == "block"}
+    caught, wrong = sum(k < len(OTHER_BAD) for k in blocked), sum(k >= len(OTHER_BAD) for k in blocked)
+    assert caught >= 0.9 * len(OTHER_BAD) and wrong <= 0.05 * len(OTHER_GOOD), (caught, wrong)
 
 
 def test_sharding(docs):
@@ -377,6 +393,38 @@ def test_sharding(docs):
     assert sorted(r.version for r in maps.groupBy("version").count().collect()) == [1, 2]
 
 
+def test_stored_map_is_edited_on(spark, tmp_path):
+    """Each run reads the latest version, edits it and adds the next; most documents stay where they were."""
+    path = str(tmp_path / "map")
+    docs = spark.createDataFrame([(k, "x" * (k % 97)) for k in range(3000)], "doc_id long, text string")
+    first = {r.doc_id: r.shard for r in sharding.shard(docs, 4, 64, path)[0].collect()}
+    again, maps = sharding.shard(docs, 4, 64, path)
+    assert {r.doc_id: r.shard for r in again.collect()} == first
+    more = docs.unionByName(spark.createDataFrame([(5000 + k, "y" * 90) for k in range(300)], docs.schema))
+    moved = {r.doc_id: r.shard for r in sharding.shard(more, 5, 64, path)[0].collect()}
+    assert sum(moved[d] != first[d] for d in first) < 0.5 * len(first) and set(moved.values()) == set(range(5))
+    assert [r.version for r in maps.select("version").distinct().orderBy("version").collect()] == [1, 2, 3, 4]
+    assert sharding.stored_map(spark, path, 1) == sharding.first_map(64, 4)
+    with pytest.raises(ValueError, match="already"):
+        sharding.append_map(spark, path, 2, [0] * 64)
+    with pytest.raises(ValueError, match="slots"):
+        sharding.shard(docs, 3, 64, path)
+
+
+def test_copies_of_one_row_spread(spark, monkeypatch):
+    """A third of the rows is one row: no slot and no task holds it, and the shards stay even."""
+    monkeypatch.setattr(sharding, "COPIES", 50)
+    rows = [(k, f"text {k}") for k in range(2000)] + [(7, "hot row")] * 1000
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 256)[0].collect()
+    assert len(out) == 3000
+    load = [sum(r["size"] for r in out if r.shard == s) for s in range(4)]
+    assert max(load) - min(load) < 0.02 * sum(load)
+    for s in range(4):
+        own = sorted(r["slot"] for r in out if r.shard == s)
+        assert own == list(range(len(own)))
+    assert len({r["vslot"] for r in out if r.doc_id == 7 and r["size"] == 8}) > 100
+
+
 def test_rebalancing_edits():
     r = random.Random(1)
     weight = [r.randint(0, 2000) for _ in range(4096)]
@@ -425,11 +473,34 @@ def test_matching_statistics():
                 assert templates[t][end - n : end] == text[s : s + n]
 
 
+def labelled(spark, texts: list[str]) -> list[tuple[str, float]]:
+    rows = licenses.license_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [(r.labels, r.score) for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
 def test_chain_over_a_gap(spark):
-    notice = licenses.TEMPLATES[1][1].split()
-    text = " ".join([*notice[:12], "INSERTED", "words", *notice[12:]])
-    r = licenses.license_report(spark.createDataFrame([(1, text), (2, " ".join(notice[:12]))], "doc_id long, text string")).collect()
-    assert {x.doc_id: x.labels for x in r} == {1: "mit", 2: ""}
+    words = licenses.WHOLE[0][1].split()
+    text = " ".join([*words[:12], "INSERTED", "words", *words[12:]])
+    (whole, score), (few, _) = labelled(spark, [text, " ".join(words[:12])])
+    assert (whole, few) == ("mit", "") and score == 1.0
+
+
+def test_every_licence_and_its_parts(spark):
+    """Each whole text has its own label only and counts in full; halves have it too, with about half the score."""
+    texts = [t for _, t in licenses.WHOLE] + [" ".join(t.split()[: len(t.split()) // 2]) for _, t in licenses.WHOLE]
+    for (label, _), (labels, score) in zip(licenses.WHOLE, labelled(spark, [f"before {t} behind" for t in texts])):
+        assert label in labels.split(",") and score == 1.0, label
+        # Public phrases inside a licence's text add their own labels.
+        assert set(labels.split(",")) <= {label, "apache", "gpl", "lgpl", "agpl"}, (label, labels)
+    for (label, _), (labels, score) in zip(licenses.WHOLE, labelled(spark, texts)[len(licenses.WHOLE) :]):
+        assert label in labels.split(",") and (score == 1.0 or 0.35 < score < 0.75), (label, labels, score)
+
+
+def test_parts_that_were_missed(spark):
+    warranty = licenses.WHOLE[0][1].split("Software.\n")[1]
+    grant = " ".join(licenses.WHOLE[0][1].split()[:30])
+    texts = [warranty, grant, "Boost Software License - Version 1.0", "GNU AFFERO GENERAL PUBLIC LICENSE", "the software is provided to the authors of the work"]
+    assert [labels for labels, _ in labelled(spark, texts)] == ["mit", "mit", "boost", "agpl,gpl", ""]
 
 
 def test_bpe(docs):
