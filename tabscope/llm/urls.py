@@ -45,15 +45,15 @@ ALLOWED = (
     "developer documentation manual forum wiki project foundation charity volunteer community club society union north south"
 ).split()
 #: Ways to make a host of two words and a number, and paths; both labels have all of them.
-HOSTS = ("{a}{b}", "{a}-{b}", "{a}", "{a}{n}", "my{a}", "the{a}{b}", "{b}-{a}", "{a}s", "{a}online", "{b}.{a}")
+HOSTS = ("{a}{b}", "{a}-{b}", "{a}", "{a}{n}", "my{a}", "the{a}{b}", "{b}-{a}", "{a}s", "{a}online", "{b}.{a}", "{a}{b}{n}")
 PREFIXES = ("", "www.", "m.", "blog.", "shop.", "en.", "static.")
-ENDS = ("com", "net", "org", "info", "io", "co.uk", "de", "fr", "eu", "us", "biz")
+ENDS = ("com", "net", "org", "info", "io", "co.uk", "de", "fr", "eu", "us", "biz", "ch", "at")
 PATHS = ("/", "/index.html", "/en/{n}", "/de/{n}/", "/a/b/{n}.php?id={n}", "/fr/{n}.html", "/{n}/page", "/es/{n}?page=2&ref=x", "/news/{n}#top")
 LABELLED_ROWS = 6000
 FEATURES = 1 << 16
 SIZES = (3, 4, 5)
 #: A page is blocked from this probability on.
-THRESHOLD = 0.6
+THRESHOLD = 0.5
 
 
 @dataclass(frozen=True)
@@ -123,7 +123,7 @@ def fit_urls(labelled: DataFrame, url_col: str = "url", label_col: str = "label"
     rows = hashing.transform(with_grams(labelled, url_col)).select("_uf", F.col(label_col).cast("double").alias("_ul"))
     regression = LogisticRegression(
         featuresCol="_uf", labelCol="_ul", predictionCol="_ux", probabilityCol="_uq", rawPredictionCol="_ur",
-        regParam=0.02, maxIter=60, standardization=False, threshold=THRESHOLD,
+        regParam=0.002, maxIter=60, standardization=False, threshold=THRESHOLD,
     )
     return UrlModel(hashing, regression.fit(rows))
 
