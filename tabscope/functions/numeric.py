@@ -39,12 +39,6 @@ def is_missing(c: Column, dtype: T.DataType) -> Column:
     return (c.isNull() | F.isnan(c)) if is_floating(dtype) else c.isNull()
 
 
-def is_infinite(c: Column, dtype: T.DataType) -> Column:
-    if not is_floating(dtype):
-        return F.lit(False)
-    return F.coalesce(F.abs(c) == F.lit(INF), F.lit(False))
-
-
 def finite(c: Column, dtype: T.DataType) -> Column:
     """The value as a double, or NULL where it is NaN or infinite.
 
@@ -64,14 +58,6 @@ def pct(part: Column, whole: Column) -> Column:
     return F.round(ratio(part.cast("double"), whole.cast("double")) * 100, 4)
 
 
-def min_max_scaled(c: Column, low: Column, high: Column) -> Column:
-    return F.try_divide(c - low, high - low)
-
-
-def null_if_nan(c: Column) -> Column:
-    return F.when(~F.isnan(c), c)
-
-
 # The same expressions as SQL text. A wide table needs hundreds of them, and
 # one parsed text per column costs the driver far less than a tree of calls.
 

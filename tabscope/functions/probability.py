@@ -41,10 +41,3 @@ def softmax(scores: list[Column]) -> Column:
     parts = F.array(*[F.exp(s - top) for s in scores])
     total = F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)
     return F.transform(parts, lambda e: e / total)
-
-
-def margin_probabilities(margins: Column) -> Column:
-    """One-vs-rest boosting margins to probabilities that add up to 1."""
-    parts = F.transform(margins, lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
-    total = F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)
-    return F.transform(parts, lambda e: F.coalesce(F.try_divide(e, total), F.lit(0.0)))

@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscope.functions.numeric import col, is_missing, pct
+from tabscope.session import stage_table
 
 # Name under which rows without a label are counted.
 MISSING_CLASS = "nan"
 MIN_ROWS_PER_CLASS = 3
 
-# A class table is broadcast up to this many rows; beyond it the join is salted.
+# A class table is broadcast up to this many rows; beyond it a class of more than KEY_ROWS rows is salted.
 BROADCAST_CLASSES = 100_000
-CLASS_SALTS = 256
+KEY_ROWS = 500_000
 
 
 def _label(df: DataFrame, label: str) -> tuple[Column, Column]:
@@ -97,20 +98,32 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     )
 
 
-def join_classes(df: DataFrame, classes: DataFrame, n_classes: int, on, how="inner") -> DataFrame:
-    """Attach a class table of known size to rows.
+def join_classes(df: DataFrame, classes: DataFrame, n_classes: int, on: str | list[str] | tuple[Column, str], how: str = "inner") -> DataFrame:
+    """Attach a class table of known size to rows, by shared columns or by (expression of the rows, class column).
 
-    Broadcast when small. A larger table is repeated under ``CLASS_SALTS`` salts
-    and the rows are dealt by class and salt, so one that holds a third of all
-    rows still goes to many tasks.
+    Broadcast when small. For a larger table the rows are dealt by class. A class
+    of more than ``KEY_ROWS`` rows gets salts by its counted size, under which its
+    one entry is repeated; other classes are left as they are.
     """
+    pair = isinstance(on, tuple)
+    names = [on] if isinstance(on, str) else on
     if n_classes <= BROADCAST_CLASSES:
-        return df.join(F.broadcast(classes), on, how)
-    keys = [on] if isinstance(on, str) else list(on)
-    salts = F.sequence(F.lit(0), F.lit(CLASS_SALTS - 1))
-    repeated = classes.withColumn("#salt", F.explode(salts))
-    dealt = df.withColumn("#salt", F.pmod(F.monotonically_increasing_id(), F.lit(CLASS_SALTS)).cast("int"))
-    return dealt.join(repeated, [*keys, "#salt"], how).drop("#salt")
+        condition = on[0] == F.col(on[1]) if pair else names
+        return df.join(F.broadcast(classes), condition, how)
+    left, right = ([on[0]], [col(on[1])]) if pair else ([col(k) for k in names], [col(k) for k in names])
+    keyed = df.withColumns({f"#k{i}": k for i, k in enumerate(left)})
+    keys = [f"#k{i}" for i in range(len(left))]
+    salts = F.ceil(F.col("#rows") / KEY_ROWS).alias("#salts")
+    # At most one row for each KEY_ROWS rows.
+    heavy = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("#rows")).filter(F.col("#rows") > KEY_ROWS).select(*keys, salts)
+    heavy = F.broadcast(stage_table(heavy, "heavy-classes"))
+    many = F.coalesce("#salts", F.lit(1))
+    dealt = keyed.join(heavy, keys, "left").withColumn("#salt", F.pmod(F.monotonically_increasing_id(), many)).drop("#salts")
+    repeated = classes.withColumns({k: c for k, c in zip(keys, right)}).join(heavy, keys, "left")
+    repeated = repeated.withColumn("#salt", F.explode(F.sequence(F.lit(0).cast("long"), many - 1))).drop("#salts")
+    if not pair:
+        repeated = repeated.drop(*names)
+    return dealt.join(repeated, [*keys, "#salt"], how).drop("#salt", *keys)
 
 
 def split_class_distribution(df: DataFrame, label: str, split: str = "split") -> DataFrame:

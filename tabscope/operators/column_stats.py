@@ -125,8 +125,11 @@ def column_profile(
         ready = df.selectExpr(*[e for i, f in group for e in _inputs(i, f)])
         wide = ready.agg(*[F.expr(_measures(i, f)) for i, f in group])
         parts.append(wide.selectExpr(f"inline(array({', '.join(f's{i}' for i, _ in group)}))"))
-    long = reduce(DataFrame.union, parts)
+    return profiled(reduce(DataFrame.union, parts))
 
+
+def profiled(long: DataFrame) -> DataFrame:
+    """The profile from one row of plain counts, extremes and moments per column."""
     infinite = F.when(F.col("numeric"), F.col("n_known") - F.col("n_finite")).otherwise(F.lit(0))
     minus = infinite - F.col("n_plus_inf")
     missing = F.col("n_rows") - F.col("n_known")

@@ -30,20 +30,21 @@ def check_batches(checked: DataFrame, batch: str, position: str) -> DataFrame:
     """Reject a batch as a whole if one of its records is invalid.
 
     ``batch_valid`` and ``batch_detail`` (that of the first invalid record)
-    are added. Verdicts and sizes fold within tasks. The largest batch sets the
-    number of salts; records meet their batch's verdict under a salt, so a batch
-    of any size is spread out.
+    are added. Verdicts and sizes fold within tasks. A large batch gets as many
+    salts as its own size asks for, and its verdict is repeated under these.
     """
     sizes = checked.groupBy(col(batch)).agg(
         F.count(F.lit(1)).alias("#n"), F.min_by(F.when(~F.col("valid"), F.col("detail")), F.when(~F.col("valid"), col(position))).alias("batch_detail")
     )
-    largest = sizes.agg(F.max("#n")).first()[0] or 0
-    salts = max(1, -(-largest // SALT_RECORDS))
-    failing = sizes.filter(F.col("batch_detail").isNotNull()).select(
-        col(batch), "batch_detail", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("#salt")
-    )
-    salted = checked.withColumn("#salt", F.pmod(F.hash(col(position)), F.lit(salts)))
-    judged = salted.join(failing, [batch, "#salt"], "left").drop("#salt")
+    salts = F.ceil(F.col("#n") / SALT_RECORDS)
+    failing = sizes.filter(F.col("batch_detail").isNotNull())
+    # At most one row for each SALT_RECORDS records.
+    large = F.broadcast(failing.filter(F.col("#n") > SALT_RECORDS).select(col(batch), salts.alias("#salts")))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))
+    verdicts = failing.select(col(batch), "batch_detail", each.alias("#salt"))
+    own = F.pmod(F.hash(col(position)).cast("long"), F.coalesce("#salts", F.lit(1)))
+    salted = checked.join(large, batch, "left").withColumn("#salt", own).drop("#salts")
+    judged = salted.join(verdicts, [batch, "#salt"], "left").drop("#salt")
     return judged.withColumn("batch_valid", F.col("batch_detail").isNull())
 
 

@@ -157,7 +157,11 @@ def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         return df.sparkSession.createDataFrame(
             [], "ord_a int, ord_b int, feature_a string, feature_b string, r double"
         )
-    cells = pair_moments(df, columns)
+    return coefficients(pair_moments(df, columns), columns)
+
+
+def coefficients(cells: DataFrame, columns: list[str]) -> DataFrame:
+    """Correlations from the moments of each pair."""
     r = F.try_divide("dev_xy", F.sqrt("dev_x") * F.sqrt("dev_y"))
     names = F.array(*[F.lit(c) for c in columns])
     return cells.select(

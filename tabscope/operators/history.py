@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscope.operators.scoring import top_n
+from tabscope.sources.registry import list_folders
 
 # Fixed sizes of the views.
 LATEST = 200
@@ -19,12 +20,30 @@ SCHEMA = (
 
 
 def append_history(entries: DataFrame, path: str) -> None:
+    """Entries go to a folder for each day, by its number since 1970."""
     names = T.StructType.fromDDL(SCHEMA).fieldNames()
-    entries.select(*names).write.mode("append").parquet(path)
+    day = F.floor(F.unix_seconds("ts") / 86400).alias("day")
+    entries.select(*names, day).write.mode("append").partitionBy("day").parquet(path)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).parquet(path)
+    return spark.read.schema(f"{SCHEMA}, day bigint").parquet(path).drop("day")
+
+
+def latest_history(spark: SparkSession, path: str, n: int = LATEST) -> DataFrame:
+    """The newest ``n`` entries, from the last days that hold as many; older folders are not read."""
+    days = [f.partition("=")[2] for f in list_folders(spark, path)]
+    # Entries without a time stand in a folder that is no number, and come last.
+    days.sort(key=lambda d: (d.lstrip("-").isdigit(), int(d) if d.lstrip("-").isdigit() else 0), reverse=True)
+    root, take = path.rstrip("/"), 1
+    while True:
+        places = [f"{root}/day={d}" for d in days[:take]]
+        if not places:
+            return latest_entries(spark.createDataFrame([], SCHEMA), n)
+        entries = spark.read.schema(SCHEMA).parquet(*places)
+        if take >= len(days) or entries.limit(n).count() >= n:
+            return latest_entries(entries, n)
+        take *= 4
 
 
 def latest_entries(history: DataFrame, n: int = LATEST) -> DataFrame:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tabscope.functions.numeric import col, finite_sql, quoted, sql_number
 from tabscope.operators.classes import join_classes, label_codes
-from tabscope.operators.column_stats import LOW_VARIANCE, column_profile, numeric_columns
+from tabscope.operators.column_stats import LOW_VARIANCE, chunked, column_profile, numeric_columns, profiled
 from tabscope.operators.quantiles import exact_quantiles
+from tabscope.operators.scan import SCAN_COLUMNS, scan_table
 from tabscope.session import prefer_small_methods
 
 PARAMETERS = "ord int, feature string, median double, mean double, scale double"
@@ -94,7 +95,7 @@ class FittedPreprocessing:
             out,
             classes,
             len(self.classes),
-            col(self.label_column).cast("string") == F.col("#class"),
+            (col(self.label_column).cast("string"), "#class"),
             "left",
         )
         unseen = F.raise_error(
@@ -113,7 +114,7 @@ class FittedPreprocessing:
         """Add the class name of an integer code; an unknown code raises."""
         classes = self.class_table(df.sparkSession).toDF("#code", "#class")
         joined = join_classes(
-            df, classes, len(self.classes), col(code) == F.col("#code"), "left"
+            df, classes, len(self.classes), (col(code), "#code"), "left"
         )
         unknown = F.raise_error(
             F.concat(F.lit("unknown class code: "), col(code).cast("string"))
@@ -160,14 +161,17 @@ class FeatureSelection:
 
 
 def select_features(
-    train: DataFrame, label: str, low_variance: float = LOW_VARIANCE
+    train: DataFrame, label: str, low_variance: float = LOW_VARIANCE, profile: DataFrame | None = None
 ) -> FeatureSelection:
     """Numeric columns without the constant ones, then without those of low variance."""
     columns = numeric_columns(train, (label,))
     if not columns:
         raise ValueError("no features left: the table has no numeric column")
-    rows = column_profile(train, columns).orderBy("ord").collect()
-    stats = {r["column"]: r.asDict() for r in rows}
+    profile = column_profile(train, columns) if profile is None else profile
+    return selection({r["column"]: r.asDict() for r in profile.orderBy("ord").collect()}, columns, low_variance)
+
+
+def selection(stats: dict[str, dict], columns: list[str], low_variance: float) -> FeatureSelection:
     constant = [c for c in columns if stats[c]["constant"]]
     candidates = [c for c in columns if c not in constant]
     low = [
@@ -198,16 +202,25 @@ def fit(
     label: str = "Label",
     low_variance: float = LOW_VARIANCE,
 ) -> FittedPreprocessing:
-    """Learn everything from ``train``: one pass for the moments, one for the
-    medians of the kept columns, one over the label column."""
-    chosen = select_features(train, label, low_variance)
+    """Learn everything from ``train``: one pass for the moments and the leading bits
+    of all columns, one for the values near the medians, one over the label column."""
+    columns = numeric_columns(train, (label,))
+    if not columns:
+        raise ValueError("no features left: the table has no numeric column")
+    stats: dict[str, dict] = {}
+    parts = chunked(columns, SCAN_COLUMNS)
+    scans = [scan_table(train, part, with_keys=True) for part in parts]
+    for scan in scans:
+        stats |= {r["column"]: r.asDict() for r in profiled(scan.measures()).collect()}
+    chosen = selection(stats, columns, low_variance)
     empty = [c for c in chosen.kept if not chosen.stats[c]["n_finite"]]
     if empty:
         raise ValueError(f"columns without any finite value have no median: {empty}")
     n_rows = chosen.stats[chosen.kept[0]]["n_rows"]
     medians = {
         r["column"]: r["value"]
-        for r in exact_quantiles(train, chosen.kept, (0.5,), finite_only=True).collect()
+        for part, scan in zip(parts, scans)
+        for r in exact_quantiles(train, part, (0.5,), finite_only=True, cells=scan.cells).collect()
     }
     features = []
     for c in chosen.kept:

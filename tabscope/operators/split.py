@@ -13,25 +13,21 @@ from pyspark.sql import functions as F
 
 from tabscope.functions.numeric import col, is_missing
 from tabscope.functions.ordering import row_text, seeded_hash
-from tabscope.operators.classes import (
-    MIN_ROWS_PER_CLASS,
-    class_counts,
-    join_classes,
-    rare_classes,
-)
+from tabscope.operators.classes import MIN_ROWS_PER_CLASS, class_counts, join_classes
 from tabscope.session import stage_table
 
 SIZES = (0.70, 0.15, 0.15)
 SEED = 42
 # Classes that an error text names; the error holds all.
 SHOWN = 50
+MISSING = "column {!r} has missing values; every row needs a class to be split"
 # Hex digits told apart by the first and by the second counting round. The
 # first keeps 256 counts per class, so that tasks fold nearly all their rows;
 # the second meets one row in 128 and can afford more.
 FIRST, SECOND = 2, 5
 
 
-class InsufficientClassSamplesError(ValueError):
+class RareClassesError(ValueError):
     """Classes have too few rows to appear in all three parts; ``classes`` holds all of them with their counts."""
 
     def __init__(self, classes: DataFrame, count: int, first: dict[str, int]):
@@ -48,15 +44,20 @@ def check_sizes(sizes: tuple[float, float, float]) -> None:
         raise ValueError(f"train, validation and test sizes must sum to 1.0, got {total}")
 
 
-def check_classes(df: DataFrame, label: str) -> None:
-    """Raise if a row has no label or a class is too small; the message names them."""
-    if not df.filter(is_missing(col(label), df.schema[label].dataType)).isEmpty():
-        raise ValueError(f"column {label!r} has missing values; every row needs a class to be split")
-    small = stage_table(rare_classes(df, label), "rare-classes")
+def refuse_small(counts: DataFrame) -> None:
+    """An error that names the classes of ``(label, count)`` that are too small."""
+    small = stage_table(counts.filter(F.col("count") < MIN_ROWS_PER_CLASS), "rare-classes")
     count = small.count()
     if count:
         first = {r["label"]: r["count"] for r in small.orderBy("label").limit(SHOWN).collect()}
-        raise InsufficientClassSamplesError(small, count, first)
+        raise RareClassesError(small, count, first)
+
+
+def check_classes(df: DataFrame, label: str) -> None:
+    """Raise if a row has no label or a class is too small; the message names them."""
+    if not df.filter(is_missing(col(label), df.schema[label].dataType)).isEmpty():
+        raise ValueError(MISSING.format(label))
+    refuse_small(class_counts(df, label))
 
 
 def _take(counts: DataFrame, size: str, drawn: Column, out: str) -> DataFrame:
@@ -123,12 +124,17 @@ def _inside(hashes: DataFrame, found: DataFrame, length: int, n_classes: int) ->
     return join_classes(begun, found, 2 * n_classes, ["label", "prefix"])
 
 
-def split_cuts(hashes: DataFrame, allocation: DataFrame, n_classes: int) -> DataFrame:
+def first_counts(hashes: DataFrame) -> DataFrame:
+    """Rows by class and two-digit prefix; a row without a label counts under NULL."""
+    return hashes.groupBy("label", F.substring("h", 1, FIRST).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def split_cuts(hashes: DataFrame, first: DataFrame, allocation: DataFrame, n_classes: int) -> DataFrame:
     """``(label, test_cut, val_cut)``: the last hash of the test and validation parts.
 
-    ``hashes`` is ``(label, h)``. The first round counts two-digit prefixes
-    per class, the second lengthens those that hold a cut. Only rows that share
-    five digits with a cut are ranked, about a millionth of their class.
+    ``hashes`` is ``(label, h)`` and ``first`` counts their two-digit prefixes
+    per class; the next round lengthens those that hold a cut. Only rows that
+    share five digits with a cut are ranked, about a millionth of their class.
     """
     seeks = allocation.select(
         "label",
@@ -140,7 +146,6 @@ def split_cuts(hashes: DataFrame, allocation: DataFrame, n_classes: int) -> Data
         ),
     ).filter("seek > 0")
     number = F.count(F.lit(1)).alias("n")
-    first = hashes.groupBy("label", F.substring("h", 1, FIRST).alias("prefix")).agg(number)
     found = _located(join_classes(first, seeks, 2 * n_classes, "label"))
     second = _inside(hashes, found, FIRST, n_classes).groupBy(
         "label", "cut", "seek", F.substring("h", 1, SECOND).alias("prefix")
@@ -170,26 +175,33 @@ def stratified_split(
 
     ``key`` names a column that is unique within each class; without it the
     whole row is the key, which needs duplicates to be gone. The same seed and
-    rows give the same split however the table is partitioned. The table is
-    scanned once per counting round, for the label and key only.
+    rows give the same split however the table is partitioned. Label and hash are
+    stored once, and the counting rounds read only those.
     """
     check_sizes(sizes)
     if "split" in df.columns:
         raise ValueError("the table has a column named split already")
+    text = F.when(~is_missing(col(label), df.schema[label].dataType), col(label).cast("string"))
+    hashed = df.withColumn("#h", seeded_hash(seed, col(key) if key else row_text(df)))
+    if key:
+        hashes = stage_table(hashed.select(text.alias("label"), F.col("#h").alias("h")), "split-hashes")
+    else:
+        # Whole rows are read and hashed this once.
+        hashed = stage_table(hashed, "split-rows")
+        hashes = hashed.select(text.alias("label"), F.col("#h").alias("h"))
+    # Sizes, missing labels and small classes follow from the first counts.
+    first = stage_table(first_counts(hashes), "split-counts")
+    counts = first.filter("label IS NOT NULL").groupBy("label").agg(F.sum("n").alias("count"))
     if check:
-        check_classes(df, label)
-    counts = class_counts(df, label)
+        if not first.filter("label IS NULL").isEmpty():
+            raise ValueError(MISSING.format(label))
+        refuse_small(counts)
     n_classes = counts.count()
-    text = col(label).cast("string")
-    order = seeded_hash(seed, col(key) if key else row_text(df))
-    cuts = split_cuts(
-        df.select(text.alias("label"), order.alias("h")).filter("label is not null"),
-        split_allocation(counts, sizes),
-        n_classes,
-    ).select(F.col("label").alias("#label"), "test_cut", "val_cut")
-    placed = join_classes(
-        df.withColumn("#h", order), cuts, n_classes, text == F.col("#label"), "inner"
+    known = hashes.filter("label is not null")
+    cuts = split_cuts(known, first.filter("label IS NOT NULL"), split_allocation(counts, sizes), n_classes).select(
+        F.col("label").alias("#label"), "test_cut", "val_cut"
     )
+    placed = join_classes(hashed, cuts, n_classes, (text, "#label"))
     part = (
         F.when(F.col("#h") <= F.coalesce("test_cut", F.lit("")), "test")
         .when(F.col("#h") <= F.coalesce("val_cut", F.lit("")), "val")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.operators.column_stats import column_profile, numeric_columns
+from tabscope.operators.column_stats import column_profile, numeric_columns, profiled
 from tabscope.operators.quantiles import QUARTILES, approximate_quantiles, exact_quantiles
+from tabscope.operators.scan import SCAN_COLUMNS, scan_table
 
 # Fixed names and order of the statistics.
 STATISTICS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
@@ -18,15 +19,24 @@ def summary_statistics(
     *,
     profile: DataFrame | None = None,
     approx: bool = False,
+    cells: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per numeric column. Infinities are values, so their mean is infinite."""
+    """One row per numeric column. Infinities are values, so their mean is infinite.
+
+    ``profile`` and ``cells`` are what an earlier pass has found of the columns.
+    """
     columns = numeric_columns(df) if columns is None else columns
+    if profile is None and not approx and 0 < len(columns) <= SCAN_COLUMNS:
+        # One pass for the moments and the leading bits of all columns.
+        scan = scan_table(df, columns, with_keys=True)
+        profile, cells = profiled(scan.measures()), scan.cells
+        columns = [f.name for f in scan.fields]
     if profile is None:
         profile = column_profile(df, columns)
     if approx:
         long = approximate_quantiles(df, columns)
     else:
-        long = exact_quantiles(df, columns, QUARTILES)
+        long = exact_quantiles(df, columns, QUARTILES, cells=cells)
     quartiles = long.groupBy("column").agg(
         *[
             F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name)

@@ -11,14 +11,16 @@ from tabscope.operators.classes import class_distribution
 from tabscope.operators.column_stats import (
     CORRELATION,
     LOW_VARIANCE,
-    column_profile,
     constant_columns,
     infinite_values,
     low_variance_columns,
     missing_values,
+    numeric_columns,
+    profiled,
 )
-from tabscope.operators.correlation import correlated_pairs, correlations
+from tabscope.operators.correlation import coefficients, correlated_pairs, correlations
 from tabscope.operators.duplicates import duplicate_rows
+from tabscope.operators.scan import SCAN_COLUMNS, scan_table
 from tabscope.operators.summary import STATISTICS, summary_statistics
 from tabscope.session import stage_table
 
@@ -68,16 +70,22 @@ def build_profile(
     correlation: float = CORRELATION,
     approx: bool = False,
 ) -> Profile:
-    """Profile ``df``: one pass for the columns, one each for quantiles,
-    correlations, duplicates and classes. The table is only read."""
-    columns = settled(column_profile(df))
+    """Profile ``df`` in four passes: one for the columns, their pairs and their values' leading
+    bits, one each for the quartiles, duplicates and classes. The table is only read.
+
+    More numeric columns than fit one pass have their quartiles' bits counted in passes of their own.
+    """
+    numeric = numeric_columns(df)
+    shared = not approx and 0 < len(numeric) <= SCAN_COLUMNS
+    scan = scan_table(df, with_pairs=len(numeric) > 1, with_keys=shared)
+    columns = settled(profiled(scan.measures()))
     totals = columns.agg(F.max("n_rows"), F.count(F.lit(1)), F.sum("octets")).first()
     n_rows, n_cols, size = totals
-    pairs = settled(correlations(df))
+    pairs = settled(coefficients(scan.pair_moments(), numeric) if len(numeric) > 1 else correlations(df))
     classes = class_distribution(df, label)
     return Profile(
         columns=columns,
-        summary=settled(summary_statistics(df, profile=columns, approx=approx)),
+        summary=settled(summary_statistics(df, profile=columns, approx=approx, cells=scan.cells)),
         duplicates=settled(duplicate_rows(df)),
         pairs=pairs,
         correlated=settled(correlated_pairs(pairs, correlation)),

@@ -50,7 +50,7 @@ def load_bundle(
     fitted = FittedPreprocessing.load(
         spark, preprocessing or f"{models.rstrip('/')}/preprocessing"
     )
-    return Bundle(fitted, load_scorer(metadata["model_type"], f"{root}/model"), metadata, root)
+    return Bundle(fitted, load_scorer(spark, metadata["model_type"], f"{root}/model"), metadata, root)
 
 
 def with_probabilities(df: DataFrame, bundle: Bundle, keep: tuple[str, ...] = ()) -> DataFrame:

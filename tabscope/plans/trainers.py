@@ -3,26 +3,25 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from importlib import import_module
 from typing import Protocol
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Model
-from pyspark.ml.classification import (
-    GBTClassifier,
-    OneVsRest,
-    OneVsRestModel,
-    RandomForestClassificationModel,
-    RandomForestClassifier,
-)
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.functions.probability import margin_probabilities
+from tabscope.operators.trees import FlatTrees, Rule, binned, boost, feature_cuts, forest
 from tabscope.session import shared_root
+from tabscope.sources.tables import read_record, write_record
 
 FEATURES, LABEL, WEIGHT = "#features", "#label", "#weight"
 PROBABILITY = "probabilities"
+#: A larger model isn't told to the tasks as a whole.
+MODEL_BYTES = 256 << 20
+NODES = ("feature", "threshold", "left", "right", "gains")
 
 
 class Scorer(Protocol):
@@ -41,100 +40,118 @@ class Trainer(Protocol):
 
 @dataclass(frozen=True)
 class TreeScorer:
-    """A fitted Spark model of one of the kinds below."""
+    """Fitted trees; rows are scored by all of them at once, in batch or on a stream."""
+
+    model_type: str
+    trees: FlatTrees
+    n_features: int
+
+    def probabilities(self, df: DataFrame) -> DataFrame:
+        if self.trees.nbytes > MODEL_BYTES:
+            raise ValueError(f"the model has {self.trees.nbytes} bytes, more than {MODEL_BYTES}: bound its depth or its trees")
+        told = df.sparkSession.sparkContext.broadcast(self.trees)
+
+        @F.pandas_udf("array<double>")
+        def score(x: pd.Series) -> pd.Series:
+            if not len(x):
+                return pd.Series([], dtype=object)
+            return pd.Series(list(told.value.probabilities(np.stack(x.to_numpy()))))
+
+        kept = [F.col(f"`{c}`") for c in df.columns]
+        return df.select(*kept, score(vector_to_array(FEATURES)).alias(PROBABILITY))
+
+    def importances(self) -> list[float]:
+        """One value per feature; they add up to one unless no tree has a split."""
+        return self.trees.importances(self.n_features).tolist()
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        t = self.trees
+        columns = {name: getattr(t, name) for name in NODES} | {"values": t.values.tolist()}
+        nodes = pd.DataFrame({"node": np.arange(len(t.feature)), **columns})
+        schema = "node long, feature int, threshold double, left int, right int, gains double, values array<double>"
+        spark.createDataFrame(nodes, schema).write.mode("overwrite").parquet(f"{path}/nodes")
+        record = {"n_classes": t.n_classes, "boosted": t.boosted, "roots": t.roots.tolist(), "n_features": self.n_features}
+        write_record(spark, record, f"{path}/trees")
+
+    @staticmethod
+    def load(spark: SparkSession, model_type: str, path: str) -> "TreeScorer":
+        record = read_record(spark, f"{path}/trees")
+        nodes = spark.read.parquet(f"{path}/nodes").toPandas().sort_values("node")
+        own = {name: nodes[name].to_numpy() for name in NODES}
+        roots = np.array(record["roots"], dtype=np.int32)
+        trees = FlatTrees(record["n_classes"], record["boosted"], roots, values=np.stack(nodes["values"]), **own)
+        return TreeScorer(model_type, trees, record["n_features"])
+
+
+@dataclass(frozen=True)
+class LibraryScorer:
+    """A fitted Spark model of another library."""
 
     model_type: str
     model: Model
 
     def probabilities(self, df: DataFrame) -> DataFrame:
         kept = [F.col(f"`{c}`") for c in df.columns]
-        if not isinstance(self.model, OneVsRestModel):
-            out = self.model.transform(df)
-            p = vector_to_array(self.model.getProbabilityCol())
-            return out.select(*kept, p.alias(PROBABILITY))
-        # The binary models run one after the other inside the JVM; the
-        # one-vs-rest model itself would call Python for every row.
-        out, margins = df, []
-        for i, binary in enumerate(self.model.models):
-            raw = f"#raw{i}"
-            # A copy: the fitted models may still be saved or used as they are.
-            own = binary.copy()
-            own.setRawPredictionCol(raw).setProbabilityCol("").setPredictionCol("")
-            out = own.transform(out)
-            margins.append(F.get(vector_to_array(raw), F.lit(1)))
-        return out.select(*kept, margin_probabilities(F.array(*margins)).alias(PROBABILITY))
+        p = vector_to_array(self.model.getProbabilityCol())
+        return self.model.transform(df).select(*kept, p.alias(PROBABILITY))
 
     def importances(self) -> list[float]:
-        """One value per feature; one-vs-rest models are averaged over their classes."""
-        if isinstance(self.model, OneVsRestModel):
-            each = [m.featureImportances.toArray() for m in self.model.models]
-            return [float(v) for v in np.mean(each, axis=0)]
         return [float(v) for v in self.model.featureImportances.toArray()]
 
-    def save(self, path: str) -> None:
+    def save(self, spark: SparkSession, path: str) -> None:
         self.model.write().overwrite().save(path)
 
 
-class RandomForestTrainer:
-    """A forest of deep trees."""
+class TreeTrainer:
+    """Bins the rows once; :meth:`grown` makes the trees."""
 
-    model_type = "random_forest"
+    def __init__(self, n_trees: int, seed: int):
+        self.n_trees, self.seed = n_trees, seed
 
-    def __init__(self, n_trees: int, seed: int, max_depth: int = 30):
-        self.n_trees, self.seed, self.max_depth = n_trees, seed, max_depth
+    def grown(self, blocks, n_rows: int, cuts: list[np.ndarray], n_classes: int) -> FlatTrees:
+        raise NotImplementedError
 
     def fit(self, df: DataFrame) -> TreeScorer:
-        estimator = RandomForestClassifier(
-            featuresCol=FEATURES,
-            labelCol=LABEL,
-            weightCol=WEIGHT,
-            numTrees=self.n_trees,
-            # The deepest tree Spark grows; splitting ends when nodes are pure.
-            maxDepth=self.max_depth,
-            seed=self.seed,
-        )
-        return TreeScorer(self.model_type, estimator.fit(df))
+        """``df``: a staged table of features, label (class codes from 0) and weight."""
+        spark = df.sparkSession
+        context = spark.sparkContext
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(shared_root(spark))
+        features = vector_to_array(FEATURES)
+        n_rows, last, width = df.agg(F.count("*"), F.max(LABEL), F.max(F.size(features))).first()
+        if not n_rows:
+            raise ValueError("no rows to train on")
+        cuts = feature_cuts(df, features, width)
+        blocks = binned(df, features, F.col(LABEL), F.col(WEIGHT), cuts)
+        trees = self.grown(blocks, n_rows, cuts, int(last) + 1)
+        blocks.unpersist()
+        return TreeScorer(self.model_type, trees, width)
+
+
+class RandomForestTrainer(TreeTrainer):
+    """A forest of unbounded depth, as a class-weighted Gini forest on bootstrap samples."""
 
+    model_type = "random_forest"
 
-class BoostedTrainer:
-    """Boosted trees, one binary model per class."""
+    def grown(self, blocks, n_rows, cuts, n_classes):
+        return forest(blocks, n_rows, cuts, n_classes, self.n_trees, self.seed)
 
-    model_type = "boosted"
-    max_depth, max_bins = 6, 32
 
-    def __init__(self, n_trees: int, seed: int, learning_rate: float = 0.1, parallelism: int = 4):
-        self.n_trees, self.seed = n_trees, seed
-        self.learning_rate, self.parallelism = learning_rate, parallelism
-
-    def fit(self, df: DataFrame) -> TreeScorer:
-        shared_root(df.sparkSession)  # boosting checkpoints its residuals there
-        binary = GBTClassifier(
-            maxIter=self.n_trees,
-            maxDepth=self.max_depth,
-            maxBins=self.max_bins,
-            stepSize=self.learning_rate,
-            checkpointInterval=10,
-            seed=self.seed,
-        )
-        estimator = OneVsRest(
-            classifier=binary,
-            featuresCol=FEATURES,
-            labelCol=LABEL,
-            weightCol=WEIGHT,
-            parallelism=self.parallelism,
-        )
-        return TreeScorer(self.model_type, estimator.fit(df))
+class BoostedDepth6Trainer(TreeTrainer):
+    """Multiclass boosting, level by level to depth 6, with an l2 penalty of 1."""
 
+    model_type, rate = "boosted_depth6", 0.1
+    rule = Rule(max_depth=6, l2=1.0, least_hessian=1.0)
 
-class BoostedDepth6Trainer(BoostedTrainer):
-    model_type = "boosted_depth6"
+    def grown(self, blocks, n_rows, cuts, n_classes):
+        return boost(blocks, n_rows, cuts, n_classes, self.n_trees, self.rate, self.rule)
 
 
-class BoostedWideTrainer(BoostedTrainer):
-    """Finer bins and shallower trees, standing in for leaf-wise growth."""
+class BoostedLeafwiseTrainer(BoostedDepth6Trainer):
+    """Multiclass boosting that always splits the leaf of the largest gain, up to 31 leaves of at least 20 rows, at any depth."""
 
-    model_type = "boosted_wide"
-    max_depth, max_bins = 5, 255
+    model_type = "boosted_leafwise"
+    rule = Rule(max_leaves=31, least_rows=20, least_hessian=1e-3)
 
 
 class XGBoostTrainer:
@@ -155,30 +172,35 @@ class XGBoostTrainer:
             random_state=seed,
         )
 
-    def fit(self, df: DataFrame) -> TreeScorer:
-        return TreeScorer(self.model_type, self.estimator.fit(df))
+    def fit(self, df: DataFrame) -> LibraryScorer:
+        return LibraryScorer(self.model_type, self.estimator.fit(df))
+
+
+#: Libraries that could train further candidates, and what would do it; None where the trees here already grow so.
+LIBRARIES: dict[str, tuple[str, type | None]] = {"xgboost": ("xgboost.spark", XGBoostTrainer), "lightgbm": ("lightgbm", None)}
 
 
 def available_trainers() -> tuple[dict[str, type], dict[str, str]]:
     """Trainers by model type, and why any candidate has to be skipped."""
-    trainers: dict[str, type] = {
-        t.model_type: t for t in (RandomForestTrainer, BoostedDepth6Trainer, BoostedWideTrainer)
-    }
+    own = (RandomForestTrainer, BoostedDepth6Trainer, BoostedLeafwiseTrainer)
+    trainers: dict[str, type] = {t.model_type: t for t in own}
     skipped: dict[str, str] = {}
-    try:
-        import xgboost.spark  # noqa: F401
-
-        trainers[XGBoostTrainer.model_type] = XGBoostTrainer
-    except ImportError as exc:
-        skipped[XGBoostTrainer.model_type] = str(exc)
+    for name, (module, trainer) in LIBRARIES.items():
+        try:
+            import_module(module)
+        except (ImportError, OSError) as exc:  # a compiled part may be there and not load
+            skipped[name] = str(exc)
+            continue
+        if trainer is None:
+            skipped[name] = f"{module} trains on one machine; {BoostedLeafwiseTrainer.model_type} grows leaf-wise here"
+        else:
+            trainers[name] = trainer
     return trainers, skipped
 
 
-def load_scorer(model_type: str, path: str) -> TreeScorer:
-    if model_type == RandomForestTrainer.model_type:
-        return TreeScorer(model_type, RandomForestClassificationModel.load(path))
+def load_scorer(spark: SparkSession, model_type: str, path: str) -> Scorer:
     if model_type == XGBoostTrainer.model_type:
         from xgboost.spark import SparkXGBClassifierModel
 
-        return TreeScorer(model_type, SparkXGBClassifierModel.load(path))
-    return TreeScorer(model_type, OneVsRestModel.load(path))
+        return LibraryScorer(model_type, SparkXGBClassifierModel.load(path))
+    return TreeScorer.load(spark, model_type, path)

@@ -29,7 +29,7 @@ from tabscope.plans.trainers import (
     TreeScorer,
     available_trainers,
 )
-from tabscope.sources.registry import free_version
+from tabscope.sources.registry import claim_version, complete_version
 from tabscope.sources.tables import read_split, write_record
 from tabscope.session import stage_table
 
@@ -57,7 +57,7 @@ def training_rows(train: DataFrame, features: list[str], label: str) -> DataFram
         FEATURES, col(label).cast("int").alias("#y"), col(label).cast("double").alias(LABEL)
     )
     n_classes = train.select(col(label)).distinct().count()
-    joined = join_classes(rows, weights, n_classes, F.col("#y") == F.col("#code"))
+    joined = join_classes(rows, weights, n_classes, (F.col("#y"), "#code"))
     return joined.select(FEATURES, LABEL, WEIGHT)
 
 
@@ -160,7 +160,7 @@ def train_candidates(
         names,
     )
 
-    version = free_version(spark, models)
+    version = claim_version(spark, models)
     root = f"{models.rstrip('/')}/{version}"
     by_split = class_counts_by_split(table, label, names)
     short = ("accuracy", "precision_macro", "recall_macro", "f1_macro", "f1_weighted")
@@ -194,9 +194,10 @@ def train_candidates(
         "random_state": seed,
     }
     paths = {n: f"{root}/{n}" for n in ("model", "metadata", "training_summary")}
-    scorers[winner].save(paths["model"])
+    scorers[winner].save(spark, paths["model"])
     write_record(spark, summary, paths["training_summary"])
     write_record(spark, metadata, paths["metadata"])
+    complete_version(spark, models, version)
     return TrainingRun(version, summary, scorers[winner], paths)
 
 

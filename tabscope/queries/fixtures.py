@@ -5,8 +5,6 @@ Each view has a Spark and a SQL form with the same arithmetic.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,10 +23,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def app(spark: SparkSession) -> str:
-    return spark.sparkContext.applicationId
-
-
 # --- flows: duplicates, infinities, gaps, a constant and a near-constant column ---
 
 FLOW_NUMBERS = (
@@ -216,25 +210,19 @@ def scaled_sql(columns: tuple[str, ...], digits: int = 6) -> str:
     return ", ".join(out)
 
 
-@lru_cache(maxsize=8)
-def _ledger_placed(app_id: str, sf: str) -> DataFrame:
-    spark = SparkSession.active()
+def ledger_placed(spark: SparkSession, sf: str) -> DataFrame:
+    """The ledger with its split, stored once for the query that asks."""
     return stage_table(
         stratified_split(ledger(spark, sf), "status", key="key"), "ledger", partition_by=["split"]
     )
 
 
-def ledger_placed(spark: SparkSession, sf: str) -> DataFrame:
-    """The ledger with its split, written once per session."""
-    return _ledger_placed(app(spark), sf)
-
+def ledger_train(placed: DataFrame) -> DataFrame:
+    return placed.filter("split = 'train'").drop("split", "key")
 
-def ledger_train(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger_placed(spark, sf).filter("split = 'train'").drop("split", "key")
 
-
-def ledger_fit(spark: SparkSession, sf: str) -> FittedPreprocessing:
-    return fit(ledger_train(spark, sf), "status")
+def ledger_fit(placed: DataFrame) -> FittedPreprocessing:
+    return fit(ledger_train(placed), "status")
 
 
 # --- scores: true and predicted codes with many tied probabilities ---
@@ -304,18 +292,12 @@ class LinearScorer:
         return df.select(*df.columns, softmax(s).alias(PROBABILITY))
 
 
-@lru_cache(maxsize=8)
-def _request_bundle(app_id: str, sf: str) -> Bundle:
-    spark = SparkSession.active()
+def request_bundle(spark: SparkSession, sf: str) -> Bundle:
     events = table(spark, sf, "events").select("user_id", "value", "event_type")
     fitted = fit(events, "event_type")
     return Bundle(fitted, LinearScorer(len(fitted.classes)), {"version": "v1", "model_type": "linear"})
 
 
-def request_bundle(spark: SparkSession, sf: str) -> Bundle:
-    return _request_bundle(app(spark), sf)
-
-
 EVENT_CLASSES = 5
 LINEAR = f"""ev as (
   select *, avg(user_id::double) over () m0, stddev_pop(user_id::double) over () s0,

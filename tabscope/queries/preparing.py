@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabscope.operators import classes, column_stats, contract
 from tabscope.operators.preprocess import FittedPreprocessing, select_features
 from tabscope.operators.split import (
-    InsufficientClassSamplesError,
+    RareClassesError,
     check_classes,
     split_allocation,
     stratified_split,
@@ -22,7 +20,6 @@ from tabscope.queries.fixtures import (
     LEDGER_FIT,
     LEDGER_KEPT,
     LEDGER_PLACED,
-    app,
     ledger,
     ledger_fit,
     ledger_placed,
@@ -108,7 +105,7 @@ def _(spark, sf):
     """All classes too small for a split, as its error hands them on."""
     try:
         check_classes(table(spark, sf, "orders"), "o_custkey")
-    except InsufficientClassSamplesError as refused:
+    except RareClassesError as refused:
         return refused.classes
     raise AssertionError("classes of one row were accepted")
 
@@ -131,7 +128,7 @@ def _(spark, sf):
     train = ledger_placed(spark, sf).filter("split = 'train'").select("key", "status")
     weights = classes.balanced_weights(train, "status").select("label", "weight")
     joined = classes.join_classes(
-        train, weights, weights.count(), F.col("status") == F.col("label")
+        train, weights, weights.count(), (F.col("status"), "label")
     )
     return joined.select("key", F.round("weight", 9).alias("weight"))
 
@@ -152,7 +149,7 @@ def _(spark, sf):
     from train_stats""",
 )
 def _(spark, sf):
-    train = ledger_train(spark, sf)
+    train = ledger_train(ledger_placed(spark, sf))
     chosen = select_features(train, "status")
     status = {
         **dict.fromkeys(chosen.kept, "kept"),
@@ -165,7 +162,7 @@ def _(spark, sf):
 
 @query("fit_medians", f'with {LEDGER_FIT} select feature, round("median", 4) as "median" from params')
 def _(spark, sf):
-    return ledger_fit(spark, sf).parameters(spark).select("feature", F.round("median", 4).alias("median"))
+    return ledger_fit(ledger_placed(spark, sf)).parameters(spark).select("feature", F.round("median", 4).alias("median"))
 
 
 @query(
@@ -173,7 +170,7 @@ def _(spark, sf):
     f'with {LEDGER_FIT} select feature, round(mean, 4) mean, round("scale", 4) as "scale" from params',
 )
 def _(spark, sf):
-    return ledger_fit(spark, sf).parameters(spark).select(
+    return ledger_fit(ledger_placed(spark, sf)).parameters(spark).select(
         "feature", F.round("mean", 4).alias("mean"), F.round("scale", 4).alias("scale")
     )
 
@@ -186,7 +183,7 @@ def _(spark, sf):
       from (select distinct status label from train)""",
 )
 def _(spark, sf):
-    fitted = ledger_fit(spark, sf)
+    fitted = ledger_fit(ledger_placed(spark, sf))
     numbers = [F.round(c, 4).alias(c) for c in ("median", "mean", "scale")]
     parameters = fitted.parameters(spark).select("ord", "feature", *numbers)
     return parameters.unionByName(fitted.class_table(spark), allowMissingColumns=True)
@@ -200,7 +197,8 @@ def _scaled(df: DataFrame) -> DataFrame:
 
 @query("transform_features", f"with {LEDGER_FIT} select key, {scaled_sql(LEDGER_KEPT)} from placed")
 def _(spark, sf):
-    return _scaled(ledger_fit(spark, sf).transform_features(ledger_placed(spark, sf), ("key",)))
+    placed = ledger_placed(spark, sf)
+    return _scaled(ledger_fit(placed).transform_features(placed, ("key",)))
 
 
 LABELED = f"""codes as (select status s, (row_number() over (order by status) - 1)::int code
@@ -211,13 +209,15 @@ labeled as (select key, split, {scaled_sql(LEDGER_KEPT)}, code as status
 
 @query("transform_labeled", f"with {LEDGER_FIT}, {LABELED} select * from labeled")
 def _(spark, sf):
-    return _scaled(ledger_fit(spark, sf).transform(ledger_placed(spark, sf), ("key", "split")))
+    placed = ledger_placed(spark, sf)
+    return _scaled(ledger_fit(placed).transform(placed, ("key", "split")))
 
 
 @query("decode_labels", f"with {LEDGER} select key, status as class from ledger")
 def _(spark, sf):
-    fitted = ledger_fit(spark, sf)
-    coded = fitted.transform(ledger_placed(spark, sf), ("key",)).select("key", "status")
+    placed = ledger_placed(spark, sf)
+    fitted = ledger_fit(placed)
+    coded = fitted.transform(placed, ("key",)).select("key", "status")
     return fitted.decode(coded, "status").drop("status")
 
 
@@ -232,7 +232,7 @@ def _(spark, sf):
       (select count(*) from train) n_train_rows""",
 )
 def _(spark, sf):
-    m = ledger_fit(spark, sf).metadata()
+    m = ledger_fit(ledger_placed(spark, sf)).metadata()
     row = (
         m["label_column"],
         ",".join(m["feature_columns"]),
@@ -250,24 +250,22 @@ def _(spark, sf):
 
 @query(
     "pipeline_save_load",
-    f"with {LEDGER_FIT} select key, {scaled_sql(LEDGER_KEPT)} from placed where split = 'val'",
+    f"with {LEDGER_FIT} select key, split, {scaled_sql(LEDGER_KEPT)} from placed",
 )
 def _(spark, sf):
-    path = shared_path(spark, "preprocessing")
-    ledger_fit(spark, sf).save(spark, path)
-    val = ledger_placed(spark, sf).filter("split = 'val'")
-    return _scaled(FittedPreprocessing.load(spark, path).transform_features(val, ("key",)))
+    path, placed = shared_path(spark, "preprocessing"), ledger_placed(spark, sf)
+    ledger_fit(placed).save(spark, path)
+    return _scaled(FittedPreprocessing.load(spark, path).transform_features(placed, ("key", "split")))
 
 
-@query("write_read_roundtrip", f"with {LEDGER_PLACED} select key, cust, price, status from placed where split = 'test'")
+@query("write_read_roundtrip", f"with {LEDGER_PLACED} select * from placed")
 def _(spark, sf):
     path = write_splits(ledger_placed(spark, sf), shared_path(spark, "splits"))
-    return read_split(spark, path, "test").select("key", "cust", "price", "status")
+    parts = [read_split(spark, path, part).withColumn("split", F.lit(part)) for part in ("train", "val", "test")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@lru_cache(maxsize=8)
-def _run(app_id: str, sf: str) -> PreprocessingRun:
-    spark = SparkSession.active()
+def _run(spark, sf: str) -> PreprocessingRun:
     rows = ledger(spark, sf)
     repeated = rows.union(rows.filter("key % 20 = 0"))
     return preprocess_table(
@@ -292,7 +290,7 @@ def _run(app_id: str, sf: str) -> PreprocessingRun:
       42::bigint random_state from r""",
 )
 def _(spark, sf):
-    s = dict(_run(app(spark), sf).summary)
+    s = dict(_run(spark, sf).summary)
     s.pop("label_column")
     return spark.createDataFrame(
         [tuple(s.values())],
@@ -308,7 +306,7 @@ def _(spark, sf):
       {", ".join(f"round(sum({c}), 3) as {c}" for c in LEDGER_KEPT)} from labeled group by all""",
 )
 def _(spark, sf):
-    processed = spark.read.parquet(_run(app(spark), sf).paths["processed"])
+    processed = spark.read.parquet(_run(spark, sf).paths["processed"])
     return processed.groupBy("split", "status").agg(
         F.count(F.lit(1)).alias("n"),
         *[F.round(F.sum(F.round(c, 6)), 3).alias(c) for c in LEDGER_KEPT],
@@ -320,7 +318,7 @@ def _(spark, sf):
     f"with {LEDGER_FIT}, {LABELED} select * exclude (split) from labeled where split = 'train'",
 )
 def _(spark, sf):
-    run = _run(app(spark), sf)
+    run = _run(spark, sf)
     train = read_split(spark, run.paths["processed"], "train")
     contract.require_columns(train, run.fitted.feature_names, "processed data")
     return _scaled(train.select("key", *LEDGER_KEPT, "status"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabscope.functions import text
 from tabscope.operators import charts, classes, column_stats, correlation, duplicates, summary
 from tabscope.plans import findings
 from tabscope.plans.profile import Profile, build_profile, profile_record, profile_rows
@@ -470,3 +471,58 @@ def _(spark, sf):
         "constant_columns string, low_variance_columns string, missing string, n_pairs long, "
         "classes string, std_of_infinite_is_null boolean",
     )
+
+
+@query(
+    "heatmap_top_columns",
+    """with long as (select unnest(range(64))::int ord, unnest(embedding)::double v from embeddings),
+    r as (select ord, row_number() over (order by var_samp(v) desc, ord) place from long group by ord)
+    select 'e' || ord as feature from r where place <= 60""",
+)
+def _(spark, sf):
+    """The 60 columns of largest variance among the 64 of the embeddings."""
+    df = table(spark, sf, "embeddings").select(
+        *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(64)]
+    )
+    names = correlation.heatmap_columns(df, column_stats.column_profile(df))
+    return spark.createDataFrame([(n,) for n in names], "feature string")
+
+
+@query(
+    "chart_titles",
+    """select s.name as name, array_to_string(list_transform(string_split(replace(s.name, '_', ' '), ' '),
+      lambda w: upper(w[1]) || lower(w[2:])), ' ') as title
+    from (select distinct lower(event_type) || '_count_matrix' as name from events) s""",
+)
+def _(spark, sf):
+    kinds = table(spark, sf, "events").select(F.concat(F.lower("event_type"), F.lit("_count_matrix")).alias("name")).distinct()
+    return kinds.select("name", text.title(F.col("name")).alias("title"))
+
+
+@query(
+    "profile_job_pairs",
+    f"""with {PAIRS} select feature_a, feature_b, round(r, 4) correlation from pairs where abs(r) >= 0.95""",
+)
+def _(spark, sf):
+    """The pairs that the profile job has written as CSV."""
+    written = findings.profile_job(flows(spark, sf), shared_path(spark, "profile-job"), label="label", key="dst_port")
+    return spark.read.csv(written["pairs_csv"], header=True, schema="feature_a string, feature_b string, correlation double")
+
+
+@query(
+    "profile_job_report",
+    f"""with {FLOWS}, d as (select (sum(n) - count(*))::bigint n from (select {", ".join(FLOW_NUMBERS)}, label, count(*) n
+      from flows group by all)) select true as titled, true as names_rows, true as names_duplicates from d""",
+)
+def _(spark, sf):
+    """The report of the same job: its title, and the counts of rows and duplicates that SQL finds too."""
+    df = flows(spark, sf)
+    written = findings.profile_job(df, shared_path(spark, "profile-job"), label="label", key="dst_port", name="flows")
+    report = spark.read.text(written["report"], wholetext=True)
+    # One report and one row of each kind of facts.
+    both = report.join(F.broadcast(duplicates.duplicate_rows(df))).join(F.broadcast(column_stats.table_shape(df)))
+    return both.select(
+        F.col("value").startswith("# Profile of flows").alias("titled"),
+        F.contains("value", F.format_number("n_rows", 0)).alias("names_rows"),
+        F.contains("value", F.format_number("duplicate_rows", 0)).alias("names_duplicates"),
+    )

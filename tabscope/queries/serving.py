@@ -160,7 +160,7 @@ def _(spark, sf):
     cut = F.col("id").cast("long") % 2 == 0
     history.append_history(entries.filter(cut), path)
     history.append_history(entries.filter(~cut), path)
-    latest = history.latest_entries(history.read_history(spark, path))
+    latest = history.latest_history(spark, path)
     return latest.select("id", "predicted_class", "confidence", F.unix_micros("ts").alias("ts_us"))
 
 

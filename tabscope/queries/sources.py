@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabscope.queries import query
 from tabscope.queries.fixtures import FLOW_NUMBERS, FLOWS, flows, table
-from tabscope.session import shared_path
+from tabscope.session import shared_path, stage_table
 from tabscope.sources import csv_tables, registry, uploads
 
 
@@ -84,7 +84,8 @@ def _(spark, sf):
     return csv_tables.load_days(spark, list(days), raw_dir=raw)
 
 
-def _event_upload(spark: SparkSession, sf: str) -> uploads.Upload:
+def _event_cells() -> list[Column]:
+    """Texts of value and user_id, some of them no numbers."""
     e = F.col("event_id")
     value = (
         F.when(e % 50 == 0, "abc")
@@ -96,6 +97,11 @@ def _event_upload(spark: SparkSession, sf: str) -> uploads.Upload:
         .otherwise(F.col("value").cast("string"))
     )
     user = F.when(e % 70 == 69, "user-1").otherwise(F.col("user_id").cast("string"))
+    return [value, user]
+
+
+def _event_upload(spark: SparkSession, sf: str) -> uploads.Upload:
+    value, user = _event_cells()
     rows = table(spark, sf, "events").orderBy("event_id").select(
         value.alias("value"), user.alias("user_id")
     )
@@ -159,6 +165,47 @@ def _(spark, sf):
     return spark.createDataFrame(rows, "ord int, message string, accepted long, n_rows long")
 
 
+@query(
+    "upload_faults_wrong_header",
+    f"""with {BAD_CELLS} select 1::bigint line, 0 ord, 'Unexpected columns: session' message
+    union all select line, ord, 'Row ' || line || ': "' || feature || '" is not a valid number (' || raw || ')' from bad
+    union all select line, -1, 'Row ' || (line - 2) || ': Too few fields: expected 3 fields but parsed 2'
+      from placed where event_id % 90 = 7""",
+)
+def _(spark, sf):
+    """An unexpected column and short rows beside bad cells: every fault is listed."""
+    e = F.col("event_id")
+    cells = [*_event_cells(), F.when(e % 90 != 7, e.cast("string"))]
+    lines = table(spark, sf, "events").orderBy("event_id").select(F.concat_ws(",", *cells).alias("value"))
+    path = shared_path(spark, "upload")
+    header = spark.createDataFrame([("value,user_id,session",)], "value string")
+    # One header for the whole file.
+    header.unionByName(lines).coalesce(1).write.text(path)
+    return uploads.upload_faults(uploads.scan_upload(spark, path), ["value", "user_id"])
+
+
+@query(
+    "scan_csv_breaks",
+    """select p_partkey, p_name || chr(10) || p_type || '"' || p_brand as note, p_size from part""",
+)
+def _(spark, sf):
+    """Cells with line breaks and quotes, in files cut to small blocks."""
+    rows = table(spark, sf, "part").select(
+        "p_partkey", F.concat("p_name", F.lit("\n"), "p_type", F.lit('"'), "p_brand").alias("note"), "p_size"
+    )
+    path = shared_path(spark, "breaks")
+    rows.write.csv(path, header=True, escape='"', quoteAll=True)
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "20000")
+    try:
+        return stage_table(csv_tables.load_csv(spark, path), "breaks")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @query(
     "registry_latest",
     """with names as (select case p_partkey % 4 when 0 then 'v' || p_partkey

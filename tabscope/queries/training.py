@@ -6,8 +6,6 @@ fitted model (counts, parameters, totals, consistency) is compared with SQL.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,26 +22,29 @@ from tabscope.plans.training import (
     train_candidates,
 )
 from tabscope.queries import query
-from tabscope.queries.fixtures import app, split_sql, table
+from tabscope.queries.fixtures import split_sql, table
 from tabscope.session import shared_path
 from tabscope.sources.tables import read_split
+from tabscope.streaming import jobs
 
 DIMENSIONS = 64
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     """The embeddings as 64 number columns with a class name."""
-    return table(spark, sf, "embeddings").select(
+    return spread(table(spark, sf, "embeddings"))
+
+
+def spread(embeddings: DataFrame) -> DataFrame:
+    return embeddings.select(
         "vec_id",
         *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(DIMENSIONS)],
         F.concat(F.lit("class "), F.col("label").cast("string")).alias("class"),
     )
 
 
-@lru_cache(maxsize=4)
-def _processed(app_id: str, sf: str) -> tuple[str, str]:
+def processed(spark: SparkSession, sf: str) -> tuple[str, str]:
     """Folders of the processed table and of the models, preprocessing included."""
-    spark = SparkSession.active()
     models, output = shared_path(spark, "models"), shared_path(spark, "processed")
     preprocess_table(
         vectors(spark, sf), output, f"{models}/preprocessing", label="class", key="vec_id"
@@ -51,20 +52,17 @@ def _processed(app_id: str, sf: str) -> tuple[str, str]:
     return output, models
 
 
-@lru_cache(maxsize=16)
-def _trained(app_id: str, sf: str, only: tuple[str, ...] | None) -> tuple[TrainingRun, str]:
-    spark = SparkSession.active()
-    output, models = _processed(app_id, sf)
+def trained(
+    spark: SparkSession, sf: str, only: tuple[str, ...] | None = None
+) -> tuple[TrainingRun, str, str]:
+    """A training run and its folders of models and of the processed table."""
+    output, models = processed(spark, sf)
     run = train_candidates(spark, output, f"{models}/preprocessing", models, only=only)
-    return run, models
-
-
-def trained(spark: SparkSession, sf: str, only: tuple[str, ...] | None = None):
-    return _trained(app(spark), sf, only)
+    return run, models, output
 
 
 def _validation(spark: SparkSession, sf: str, model: str) -> DataFrame:
-    run, _ = trained(spark, sf, (model,))
+    run = trained(spark, sf, (model,))[0]
     return metric_rows(spark, run.summary["val_metrics"]).drop("ord")
 
 
@@ -80,19 +78,19 @@ def _(spark, sf):
 
 @query("train_boosted_wide")
 def _(spark, sf):
-    return _validation(spark, sf, "boosted_wide")
+    """Leaf-wise growth, wide where the gain is."""
+    return _validation(spark, sf, "boosted_leafwise")
 
 
 @query("train_compare")
 def _(spark, sf):
-    run, _ = trained(spark, sf)
+    run = trained(spark, sf)[0]
     return metric_rows(spark, run.summary["val_metrics"])
 
 
 @query("test_evaluation")
 def _(spark, sf):
-    run, _ = trained(spark, sf)
-    output, _ = _processed(app(spark), sf)
+    run, _, output = trained(spark, sf)
     test = read_split(spark, output, "test")
     codes = list(range(len(run.summary["label_mapping"])))
     scored = predicted(test, run.summary["feature_columns"], "class", run.best)
@@ -112,7 +110,7 @@ def _(spark, sf):
 
 @query("training_summary")
 def _(spark, sf):
-    run, models = trained(spark, sf)
+    run, models, _ = trained(spark, sf)
     s = load_bundle(spark, models, run.version).training_summary(spark)
     rows = [
         (split, label, n, s["best_model_type"], s["version"])
@@ -126,7 +124,7 @@ def _(spark, sf):
 
 @query("model_persist")
 def _(spark, sf):
-    run, models = trained(spark, sf)
+    run, models, _ = trained(spark, sf)
     bundle = load_bundle(spark, models, run.version)
     rows = [
         (bundle.metadata["model_type"], bundle.metadata["version"], m, float(v))
@@ -137,14 +135,14 @@ def _(spark, sf):
 
 @query("load_bundle")
 def _(spark, sf):
-    run, models = trained(spark, sf)
+    run, models, _ = trained(spark, sf)
     bundle = load_bundle(spark, models)
     return bundle.preprocessing.parameters(spark)
 
 
 @query("model_info")
 def _(spark, sf):
-    run, models = trained(spark, sf)
+    run, models, _ = trained(spark, sf)
     info = model_info(spark, load_bundle(spark, models, run.version))
     return info.select(
         "model_type",
@@ -157,7 +155,7 @@ def _(spark, sf):
 
 @query("score_batch")
 def _(spark, sf):
-    run, models = trained(spark, sf)
+    run, models, _ = trained(spark, sf)
     bundle = load_bundle(spark, models, run.version)
     scored = score(vectors(spark, sf), bundle, keep=("vec_id", "class"))
     return scored.select(
@@ -165,9 +163,24 @@ def _(spark, sf):
     )
 
 
+@query("stream_score_trees", "select true as same, count(*) n from embeddings")
+def _(spark, sf):
+    """A stream of feature rows scored by a trained version's trees: what batch scoring answers."""
+    _, models, _ = trained(spark, sf)
+    bundle, path = load_bundle(spark, models), shared_path(spark, "stream")
+    schema = table(spark, sf, "embeddings").schema
+    arrivals = spread(jobs.stream_table(spark, sf, schema, "embeddings.parquet"))
+    jobs.append_to(score(arrivals, bundle, keep=("vec_id",)), f"{path}/out", f"{path}/checkpoint")
+    batch = score(vectors(spark, sf), bundle, keep=("vec_id",)).select("vec_id", F.col("confidence").alias("c"), F.col("predicted_class").alias("p"))
+    streamed = spark.read.parquet(f"{path}/out").select("vec_id", "confidence", "predicted_class")
+    both = streamed.join(batch, "vec_id", "full")
+    same = F.col("c").eqNullSafe(F.col("confidence")) & F.col("p").eqNullSafe(F.col("predicted_class"))
+    return both.groupBy(same.alias("same")).agg(F.count("*").alias("n"))
+
+
 VECTORS = f"""vectors as (select vec_id, embedding, 'class ' || label as class from embeddings),
 {split_sql('vectors', 'class', 'vec_id')}"""
-MODELS = ("random_forest", "boosted_depth6", "boosted_wide")
+MODELS = ("random_forest", "boosted_depth6", "boosted_leafwise")
 
 
 @query(
@@ -176,7 +189,7 @@ MODELS = ("random_forest", "boosted_depth6", "boosted_wide")
 )
 def _(spark, sf):
     """Rows per part and class, from the summary stored with the trained model."""
-    run, models = trained(spark, sf)
+    run, models, _ = trained(spark, sf)
     counts = load_bundle(spark, models, run.version).training_summary(spark)["class_distribution"]
     rows = [(split, label, n) for split, own in counts.items() for label, n in own.items()]
     return spark.createDataFrame(rows, "split string, label string, n long")
@@ -191,7 +204,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Medians, means and scales of the training part, from the loaded bundle."""
-    run, models = trained(spark, sf)
+    run, models, _ = trained(spark, sf)
     fitted = load_bundle(spark, models, run.version).preprocessing.parameters(spark)
     return fitted.select("ord", "feature", *[F.round(c, 6).alias(c) for c in ("median", "mean", "scale")])
 
@@ -202,7 +215,7 @@ def _(spark, sf):
       label_classes, true as measured from embeddings""",
 )
 def _(spark, sf):
-    run, models = trained(spark, sf)
+    run, models, _ = trained(spark, sf)
     info = model_info(spark, load_bundle(spark, models, run.version))
     return info.select(
         F.size("feature_names").alias("n_features"),
@@ -232,7 +245,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Each prediction names a class, the one of the largest probability, and the probabilities add up to one."""
-    run, models = trained(spark, sf)
+    run, models, _ = trained(spark, sf)
     bundle = load_bundle(spark, models, run.version)
     p = F.map_values("class_probabilities")
     return score(vectors(spark, sf), bundle, keep=("vec_id", "class")).select(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscope.functions.numeric import col, quoted, sql_text
+from tabscope.sources.records import has_breaks, header_record, read_records
 
 # Texts that a CSV cell uses for a missing value.
 MISSING_TEXTS = (
@@ -37,7 +38,7 @@ INTEGER = r"^\s*[+-]?\d+\s*$"
 MISSING, LOGICAL, WHOLE, REAL, TEXT = range(5)
 
 
-class DatasetNotFoundError(FileNotFoundError):
+class CaptureMissingError(FileNotFoundError):
     """The file of a catalogued capture day is not there."""
 
 
@@ -53,7 +54,7 @@ def resolve_day(
     try:
         spark.read.text(path).schema
     except AnalysisException as exc:
-        raise DatasetNotFoundError(f"the capture of {day} is missing: {path}") from exc
+        raise CaptureMissingError(f"the capture of {day} is missing: {path}") from exc
     return path
 
 
@@ -61,7 +62,7 @@ def header_names(line: str, normalize: bool = True) -> list[str]:
     """Column names of a header line: repeats get '.1', '.2'; then blanks are stripped."""
     seen: dict[str, int] = {}
     names: list[str] = []
-    for raw in next(csv.reader([line])):
+    for raw in next(csv.reader(line.splitlines(keepends=True))):
         name = raw
         while name in names:
             seen[raw] = seen.get(raw, 0) + 1
@@ -75,14 +76,23 @@ def header_names(line: str, normalize: bool = True) -> list[str]:
     return names
 
 
+def scan_cells(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Cells of all records but the headers; a quote inside quotes is written twice."""
+    if not has_breaks(spark, path):
+        return spark.read.schema(schema).csv(path, header=True, enforceSchema=True, escape='"')
+    names = ", ".join(f"{quoted(n)} string" for n in schema.names)
+    cells = F.from_csv("value", names, {"escape": '"', "mode": "PERMISSIVE"})
+    return read_records(spark, path).select(cells.alias("_")).select("_.*")
+
+
 def scan_text(spark: SparkSession, path: str, normalize: bool = True) -> DataFrame:
     """Every cell as text; NULL where it stands for a missing value."""
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
+    first = header_record(spark, path)
+    if first is None:
         raise ValueError(f"{path} has no header line")
-    names = header_names(first[0].value.lstrip("﻿"), normalize)
+    names = header_names(first, normalize)
     positions = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    raw = spark.read.schema(positions).csv(path, header=True, enforceSchema=True)
+    raw = scan_cells(spark, path, positions)
     return raw.select(
         *[
             F.when(~F.col(f"c{i}").isin(*MISSING_TEXTS), F.col(f"c{i}")).alias(n)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tabscope.functions.numeric import col
 from tabscope.session import stage_table
+from tabscope.sources.records import has_breaks, read_records
 
 CORRUPT = "#line"
 DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -30,11 +31,21 @@ def scan_upload(spark: SparkSession, path: str) -> Upload:
     A row's number is its place within its block plus the rows of the blocks
     before it, so only one count per block is gathered.
     """
-    columns = spark.read.csv(path, header=True).columns
+    columns = spark.read.csv(path, header=True, escape='"').columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, CORRUPT]])
-    raw = spark.read.schema(schema).csv(
-        path, header=True, columnNameOfCorruptRecord=CORRUPT, enforceSchema=True
-    )
+    options = {"columnNameOfCorruptRecord": CORRUPT, "escape": '"'}
+    broken = has_breaks(spark, path)
+    if broken:
+        names = ", ".join(f"`{c.replace('`', '``')}` string" for c in schema.names)
+        cells = F.from_csv("value", names, options).alias("#cells")
+        raw = read_records(spark, path).select("#file", "#block", "#id", cells).select("#file", "#block", "#id", "#cells.*")
+    else:
+        raw = spark.read.schema(schema).csv(path, header=True, enforceSchema=True, **options).select(
+            "*",
+            F.col("_metadata.file_path").alias("#file"),
+            F.col("_metadata.file_block_start").alias("#block"),
+            F.monotonically_increasing_id().alias("#id"),
+        )
     # A line is only found short or long while all of its cells are parsed, so
     # the count refers to every column and none can be pruned from under it.
     whole = F.length(F.concat_ws("", *[col(c) for c in columns])) >= 0
@@ -44,9 +55,9 @@ def scan_upload(spark: SparkSession, path: str) -> Upload:
     placed = raw.select(
         *[col(c) for c in columns],
         fields.alias("#fields"),
-        F.col("_metadata.file_path").alias("#file"),
-        F.col("_metadata.file_block_start").alias("#block"),
-        F.monotonically_increasing_id().alias("#id"),
+        "#file",
+        "#block",
+        "#id",
     )
     blocks = placed.groupBy("#file", "#block").agg(
         F.count(F.lit(1)).alias("#n"), F.min("#id").alias("#first")
@@ -167,22 +178,23 @@ class UploadFaultsError(ValueError):
 
 
 def upload_faults(upload: Upload, expected: list[str]) -> DataFrame:
-    """Every fault as ``(line, ord, message)``: of the header alone if it has any, else of all rows and cells.
+    """Every fault as ``(line, ord, message)``: of the header, of rows with too few or many cells, and of cells.
 
-    Faults of the header and an upload without rows have line 1; lines count the
-    header as 1, and ``ord`` orders the faults of a line.
+    Cells are not judged while an expected column is missing. Faults of the
+    header and an upload without rows have line 1; lines count the header as 1,
+    and ``ord`` orders the faults of a line.
     """
     spark = upload.rows.sparkSession
     schema = "line long, ord int, message string"
-    header = header_errors(upload.columns, expected)
-    if header:
-        return spark.createDataFrame([(1, i, m) for i, m in enumerate(header)], schema)
+    messages = header_errors(upload.columns, expected)
+    header = spark.createDataFrame([(1, i, m) for i, m in enumerate(messages)], schema)
     # Row texts of the parser count from 0 after the header.
     fields = field_errors(upload).select((F.col("row") + 2).cast("long").alias("line"), F.lit(-1).alias("ord"), "message")
     cells = cell_errors(upload, expected).select("line", "ord", "message")
     empty = upload.rows.agg(F.count(F.lit(1)).alias("n")).filter("n = 0")
-    none = empty.select(F.lit(1).cast("long").alias("line"), F.lit(0).alias("ord"), F.lit("the upload has no rows").alias("message"))
-    return fields.unionByName(cells).unionByName(none)
+    place = F.lit(len(messages))
+    none = empty.select(F.lit(1).cast("long").alias("line"), place.alias("ord"), F.lit("the upload has no rows").alias("message"))
+    return header.unionByName(fields).unionByName(cells).unionByName(none)
 
 
 def accepted_rows(upload: Upload, expected: list[str], shown: int = 10) -> DataFrame:

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tabscope.operators import column_stats
 from tabscope.plans import findings, profile, trainers, training
 from tabscope.plans.preprocessing import preprocess_table
 from tabscope.plans.scoring import load_bundle, model_info, score
@@ -50,7 +51,7 @@ def test_profile_job_writes_everything(spark, flow_table):
     bins = spark.read.parquet(written["histograms"])
     assert bins.count() == 50 * bins.select("column").distinct().count()
     per_column = bins.groupBy("column").agg(F.sum("count").alias("n")).collect()
-    finite = {r["column"]: r["n_finite"] for r in profile.column_profile(flow_table).collect()}
+    finite = {r["column"]: r["n_finite"] for r in column_stats.column_profile(flow_table).collect()}
     assert all(r.n == finite[r["column"]] for r in per_column)
     assert spark.read.parquet(written["missing_matrix"]).count() == 529
     assert spark.read.parquet(written["correlation_matrix"]).count() == 81
@@ -92,7 +93,7 @@ def run(spark, separable):
 
 def test_every_candidate_learns(run):
     summary = run[0].summary
-    assert summary["trained_models"][:3] == ["random_forest", "boosted_depth6", "boosted_wide"]
+    assert summary["trained_models"][:3] == ["random_forest", "boosted_depth6", "boosted_leafwise"]
     for name, m in summary["val_metrics"].items():
         assert m["accuracy"] > 0.85, name
         assert m["roc_auc_ovr_macro"] > 0.9, name
@@ -124,7 +125,7 @@ def test_probabilities_of_every_kind_add_up(spark, run):
     _, models, out = run
     rows = training.training_rows(training.read_split(spark, out, "train"), ["f.0", "f1", "f2", "f3"], "Label")
     assert rows.agg(F.round(F.sum("#weight"), 6)).first()[0] == 210
-    for trainer in (trainers.RandomForestTrainer, trainers.BoostedWideTrainer):
+    for trainer in (trainers.RandomForestTrainer, trainers.BoostedLeafwiseTrainer):
         p = trainer(n_trees=2, seed=1).fit(rows).probabilities(rows.select("#features", "#label"))
         total = p.select(F.aggregate("probabilities", F.lit(0.0), lambda a, b: a + b).alias("s"))
         assert total.filter("abs(s - 1) > 1e-5").count() == 0
@@ -143,15 +144,16 @@ def test_missing_parts_fail(spark, run):
 
 
 def test_absent_library_is_a_reason(monkeypatch):
-    import builtins
+    def without(name):
+        raise (ImportError if name.startswith("xgboost") else OSError)(f"{name} does not load")
 
-    real = builtins.__import__
+    monkeypatch.setattr(trainers, "import_module", without)
+    available, skipped = trainers.available_trainers()
+    assert "xgboost" not in available and set(skipped) == {"xgboost", "lightgbm"}
+    assert skipped["lightgbm"] == "lightgbm does not load"
 
-    def without(name, *args, **kw):
-        if name.startswith("xgboost"):
-            raise ImportError("no such library")
-        return real(name, *args, **kw)
 
-    monkeypatch.setattr(builtins, "__import__", without)
+def test_library_without_a_spark_trainer_is_a_reason(monkeypatch):
+    monkeypatch.setattr(trainers, "import_module", lambda name: None)
     available, skipped = trainers.available_trainers()
-    assert "xgboost" not in available and skipped == {"xgboost": "no such library"}
+    assert "xgboost" in available and "boosted_leafwise" in skipped["lightgbm"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tabscope.operators import classes
 from tabscope.operators.preprocess import FittedPreprocessing, fit
 from tabscope.operators.split import (
-    InsufficientClassSamplesError,
+    RareClassesError,
     split_allocation,
     stratified_split,
 )
@@ -75,7 +75,7 @@ def test_split_errors(spark, skewed):
     with pytest.raises(ValueError, match="must sum to 1.0"):
         stratified_split(skewed, "c", (0.5, 0.2, 0.2), key="key")
     few = spark.createDataFrame([(i, "a" if i < 18 else "b") for i in range(20)], "key long, c string")
-    with pytest.raises(InsufficientClassSamplesError, match="'b': 2"):
+    with pytest.raises(RareClassesError, match="'b': 2"):
         stratified_split(few, "c", key="key")
     gap = few.union(spark.createDataFrame([(99, None)], "key long, c string"))
     with pytest.raises(ValueError, match="missing"):

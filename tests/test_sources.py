@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 from tabscope.session import shared_path
-from tabscope.sources import csv_tables, registry, tables, uploads
+from tabscope.sources import csv_tables, records, registry, tables, uploads
 
 
 def write(tmp_path, name, text) -> str:
@@ -57,7 +57,7 @@ def test_day_catalogue(spark, capture_csv):
     assert csv_tables.load_day(spark, raw_dir=raw).count() == 529
     with pytest.raises(ValueError, match="no capture is catalogued"):
         csv_tables.resolve_day(spark, "sunday", raw)
-    with pytest.raises(csv_tables.DatasetNotFoundError):
+    with pytest.raises(csv_tables.CaptureMissingError):
         csv_tables.resolve_day(spark, "monday", raw)
     both = csv_tables.load_days(spark, ["wednesday"], raw_dir=raw)
     assert both.select("day").distinct().first().day == "wednesday"
@@ -70,6 +70,7 @@ def test_model_versions(spark, tmp_path):
         registry.version_path(spark, root)
     for name in ("v1", "v3", "v2", "v10", "preprocessing", "v4b"):
         (tmp_path / "models" / name).mkdir(parents=True)
+        (tmp_path / "models" / name / registry.COMPLETE).touch()
     (tmp_path / "models" / "v99").write_text("a file, not a version")
     assert registry.free_version(spark, root) == "v11"
     assert registry.version_path(spark, root, "v2").endswith("/v2")
@@ -82,6 +83,25 @@ def test_model_versions(spark, tmp_path):
     assert (none.latest, none.next) == (None, "v1")
 
 
+def test_claimed_versions(spark, tmp_path):
+    """Runs at one time get versions of their own, and what isn't complete is no version."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "claims")
+    with ThreadPoolExecutor(4) as pool:
+        names = list(pool.map(lambda _: registry.claim_version(spark, root), range(8)))
+    assert sorted(names) == sorted(f"v{k}" for k in range(1, 9))
+    with pytest.raises(FileNotFoundError):
+        registry.version_path(spark, root)
+    registry.complete_version(spark, root, "v3")
+    assert registry.version_path(spark, root).endswith("/v3")
+    with pytest.raises(FileNotFoundError, match="no model v5"):
+        registry.version_path(spark, root, "v5")
+    with pytest.raises(FileExistsError):
+        registry.complete_version(spark, root, "v3")
+    assert registry.claim_version(spark, root) == "v9"
+
+
 def test_records(spark):
     path = shared_path(spark, "record")
     tables.write_record(spark, {"a": float("nan"), "b": [1.5, {"c": None}]}, path)
@@ -143,3 +163,77 @@ def test_upload_rows_are_numbered_across_files_and_blocks(spark):
         assert rows.count() == 5000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_faults_behind_a_wrong_header(spark, tmp_path):
+    """An unexpected column hides neither bad cells nor short rows; a missing one hides the cells only."""
+    up = uploads.scan_upload(spark, write(tmp_path, "e.csv", "port,rate,extra\n1,x,2\n3,4\n5,6,7,8\n"))
+    found = [(r.line, r.message) for r in uploads.upload_faults(up, EXPECTED).orderBy("line", "ord").collect()]
+    assert found == [
+        (1, "Unexpected columns: extra"),
+        (2, 'Row 2: "rate" is not a valid number (x)'),
+        (3, "Row 1: Too few fields: expected 3 fields but parsed 2"),
+        (4, "Row 2: Too many fields: expected 3 fields but parsed 4"),
+    ]
+    missing = uploads.upload_faults(up, [*EXPECTED, "bytes"]).orderBy("line", "ord").collect()
+    assert [r.line for r in missing] == [1, 1, 3, 4]
+
+
+def test_open_quotes():
+    for line, inside, want in [
+        ("a,b", False, False), ("a,b", True, True), ('"a,b', False, True), ('a,"b', False, True), ('5" pipe,b', False, False),
+        ('"a ""b"', False, False), ('"a ""', False, True), ('b""c', True, True), ('b",c', True, False), ('b","c', True, True),
+        ('b"', True, False), ('"', False, True), ('"', True, False), ('""', False, False), ('""', True, True), ('a,"b",', False, False),
+        ('x" y,"z', True, True), ("", True, True), ('"a"b,c"d', False, False),
+    ]:
+        assert records.leaves_open(line, inside) == want, (line, inside)
+
+
+def broken_csv(n: int) -> tuple[str, list[list[str]]]:
+    import csv
+    import io
+    import random
+
+    r = random.Random(4)
+    cell = lambda: "".join(r.choices(["a", "b", '"', ",", "\n", " ", "long text ", "7"], [6, 6, 1, 1, 1, 1, 2, 2], k=r.randint(1, 12)))
+    rows = [[str(k), "x" + cell() + "x", "y" + cell() + "y"] for k in range(n)]
+    rows[n // 2][1] = "x" + "many\nlines\n\n" * 200 + "x"
+    text = io.StringIO()
+    out = csv.writer(text, lineterminator="\n")
+    out.writerow(["k", "first", "second"])
+    out.writerows(rows)
+    return text.getvalue(), rows
+
+
+@pytest.mark.parametrize("block", ["300", "1000000"])
+def test_line_breaks_inside_quotes(spark, tmp_path, block):
+    """Records are whole wherever blocks are cut, also one that is longer than several blocks, and rows are numbered in order."""
+    text, rows = broken_csv(300)
+    path = write(tmp_path, "breaks.csv", text)
+    assert records.has_breaks(spark, path)
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k) for k in keys}
+    for k in keys:
+        spark.conf.set(k, block)
+    try:
+        table = csv_tables.load_csv(spark, path)
+        assert dict(table.dtypes) == {"k": "bigint", "first": "string", "second": "string"}
+        assert [[str(r.k), r.first, r.second] for r in table.orderBy("k").collect()] == rows
+        up = uploads.scan_upload(spark, path)
+        assert [(r["#row"], r["#fields"], r.k) for r in up.rows.orderBy("#row").collect()] == [(i, 3, str(i)) for i in range(300)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_upload_faults_behind_line_breaks(spark, tmp_path):
+    text = 'port,rate\n1,"2\n"\n"3\n4",5\n\n6\n7,8,9\nx,"1"\n'
+    up = uploads.scan_upload(spark, write(tmp_path, "f.csv", text))
+    found = [(r.line, r.message.split(": ", 1)[1]) for r in uploads.upload_faults(up, EXPECTED).orderBy("line", "ord").collect()]
+    assert found == [
+        (3, '"port" is not a valid number (3\n4)'),
+        (4, "Too few fields: expected 2 fields but parsed 1"),
+        (4, '"rate" is not a valid number (undefined)'),
+        (5, "Too many fields: expected 2 fields but parsed 3"),
+        (6, '"port" is not a valid number (x)'),
+    ]

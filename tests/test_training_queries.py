@@ -16,7 +16,7 @@ def test_queries_train_all_trees(spark, monkeypatch):
         bound.apply_defaults()
         asked.append(bound.arguments["n_trees"])
 
-    monkeypatch.setattr(training, "_processed", lambda app_id, sf: ("processed", "models"))
+    monkeypatch.setattr(training, "processed", lambda spark, sf: ("processed", "models"))
     monkeypatch.setattr(training, "train_candidates", kept)
-    training._trained.__wrapped__("app", "tables", None)
+    training.trained(spark, "tables")
     assert asked == [200]
