@@ -56,17 +56,17 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """vec_id, vec, h1, h2: vectors that take part, with two hashes of their numbers.
 
     Null ids, null or zero vectors and such with null or non-finite numbers are
-    left out, as are vectors whose length isn't the most frequent one.
+    left out. Vectors of different lengths are an error, as they have no product.
     """
     vec = F.col(vec_col)
     odd = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
     good = vectors.filter(F.col(id_col).isNotNull() & vec.isNotNull() & ~odd & F.exists(vec, lambda x: x != 0))
     # Adding zero makes -0.0 and 0.0 one number.
     good = good.select(F.col(id_col).alias("vec_id"), F.transform(vec, lambda x: x.cast("double") + F.lit(0.0)).alias("vec"))
-    sizes = good.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return good.filter(F.size("vec") == (sizes[0]["n"] if sizes else 0)).withColumns(
-        {"h1": F.xxhash64("vec"), "h2": F.hash("vec")}
-    )
+    shortest, longest = good.agg(F.min(F.size("vec")), F.max(F.size("vec"))).first()
+    if shortest != longest:
+        raise ValueError(f"the vectors have {shortest} to {longest} numbers; all need the same")
+    return good.withColumns({"h1": F.xxhash64("vec"), "h2": F.hash("vec")})
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -110,6 +110,13 @@ def footrule(query: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.bitwise_count(others ^ query).sum(axis=1, dtype=np.int64)
 
 
+def nearest_rows(distance: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """The rows of the ``most`` smallest distances; of equal ones at the end those of the smallest ids, in whatever order rows came."""
+    last = np.partition(distance, most - 1)[most - 1]
+    sure, tied = np.flatnonzero(distance < last), np.flatnonzero(distance == last)
+    return np.concatenate([sure, tied[np.argsort(ids[tied], kind="stable")[: most - len(sure)]]])
+
+
 def searched(
     postings: DataFrame, asked: DataFrame, kind: str, width: int, n_pivots: int, top: int, reranked: Callable[[int], int]
 ) -> DataFrame:
@@ -136,7 +143,7 @@ def searched(
             for i, q in enumerate(wanted["cls"].to_pylist()):
                 rows = np.arange(len(ids))
                 if most < len(ids):
-                    rows = np.argpartition(footrule(y_code[i], x_code), most - 1)[:most]
+                    rows = nearest_rows(footrule(y_code[i], x_code), ids, most)
                 score = (x[rows] * y[i]).sum(axis=1)
                 if top < len(rows):
                     # Ties at the end of the list are all kept for the order by id.

@@ -224,11 +224,14 @@ class Marks:
         return out
 
 
-def linked(sizes: list[int], marks: list[np.ndarray], sides: list[int], rule: Similarity, sets=None) -> list[tuple[int, int]]:
+def linked(
+    sizes: list[int], marks: list[np.ndarray], sides: list[int], rule: Similarity, sets=None, every: bool = False
+) -> list[tuple[int, int]]:
     """Pairs of positions that tie a tile's sets into components, by the bound or, given ``sets``, exactly.
 
     With two sides only pairs across are compared. A pair that others already
-    join is passed over; every other is bounded and, if it may pass, intersected.
+    join is passed over, unless ``every`` link is wanted; every other is bounded
+    and, if it may pass, intersected.
     """
     order = np.argsort(np.array(sizes), kind="stable")
     size, side = np.array(sizes)[order], np.array(sides)[order]
@@ -238,13 +241,13 @@ def linked(sizes: list[int], marks: list[np.ndarray], sides: list[int], rule: Si
     out = []
     for i in range(1, len(order)):
         js = np.arange(np.searchsorted(100 * size[:i], rule.percent * size[i]), i)
-        js = js[(root[js] != root[i]) & ((side[js] != side[i]) | (not two))]
+        js = js[(every | (root[js] != root[i])) & ((side[js] != side[i]) | (not two))]
         if not len(js):
             continue
         most = bound.most_shared(i, js, size)
         js, most = js[(may := rule.fits(most, size[i] + size[js] - most))], most[may]
         for j in js[np.argsort(-most, kind="stable")].tolist():
-            if root[j] == root[i]:
+            if root[j] == root[i] and not every:
                 continue
             if sets is not None:
                 both = len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True))
@@ -267,15 +270,8 @@ def has_repeats(rows: DataFrame) -> bool:
     return not rows.filter("n > 0").groupBy("_id", "_th").count().filter("count > 1").isEmpty()
 
 
-def near_duplicates(
-    docs: DataFrame, rule: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """_id, _th, n, component, first: each document's set size, component and the component's least id.
-
-    A text without words, or null, has size 0, no component and its own id as
-    ``first``. Rows of equal id and text count as one document; a null id is
-    passed over in ``first`` unless the component has no other. No rows give none.
-    """
+def compared(docs: DataFrame, rule: Similarity, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (documents with their class of equal sets), the classes, and the texts of classes that may link, by tile."""
     bound_arrow_batches(docs.sparkSession)
     keyed = keyed_texts(docs, id_col, text_col)
     members = stage_table(class_members(keyed, rule), "jaccard-members")
@@ -310,6 +306,19 @@ def near_duplicates(
     near = fetched(placed(components(shared_prefixes(keyed, rule))), members, "mark")
     likely = components(near.groupBy("tile").applyInArrow(bounded, "a long, b long"))
     texts = fetched(placed(likely), keyed, "_text").withColumn("node", F.concat(F.hex("c1"), F.lit("-"), F.hex("c2")))
+    return members, classes, texts
+
+
+def near_duplicates(
+    docs: DataFrame, rule: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """_id, _th, n, component, first: each document's set size, component and the component's least id.
+
+    A text without words, or null, has size 0, no component and its own id as
+    ``first``. Rows of equal id and text count as one document; a null id is
+    passed over in ``first`` unless the component has no other. No rows give none.
+    """
+    members, classes, texts = compared(docs, rule, id_col, text_col)
 
     def compare(group: pa.Table) -> pa.Table:
         sets = [shingle_set(t, rule.n) for t in group["_text"].to_pylist()]
@@ -333,6 +342,49 @@ def near_duplicates(
     )
 
 
+def class_links(
+    docs: DataFrame, rule: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text"
+) -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets as (a, b, shared), and the documents with their class: _id, _th, n, node.
+
+    Documents of equal sets are one class, so copies are not spread out into
+    pairs; a text without words has no class.
+    """
+    members, _, texts = compared(docs, rule, id_col, text_col)
+
+    def compare(group: pa.Table) -> pa.Table:
+        nodes, sets = group["node"].to_pylist(), [shingle_set(t, rule.n) for t in group["_text"].to_pylist()]
+        pairs = linked([len(x) for x in sets], [signature(x) for x in sets], group["side"].to_pylist(), rule, sets, every=True)
+        shared = [len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in pairs]
+        ends = [sorted((nodes[i], nodes[j])) for i, j in pairs]
+        columns = [pa.array([e[k] for e in ends], pa.string()) for k in (0, 1)]
+        return pa.table([*columns, pa.array(shared, pa.int64())], names=["a", "b", "shared"])
+
+    # A block whose partner turns out empty compares its own classes once more.
+    links = texts.groupBy("tile").applyInArrow(compare, "a string, b string, shared long").distinct()
+    node = F.when(F.col("n") > 0, F.concat(F.hex("c1"), F.lit("-"), F.hex("c2")))
+    return links, members.select("_id", "_th", "n", node.alias("node"))
+
+
+def link_counts(
+    docs: DataFrame, rule: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """doc_id, n, node (the class of equal sets), n_links: with how many other documents each one links, copies included.
+
+    Rows of equal id and text are one document and share their count.
+    """
+    links, members = class_links(docs, rule, id_col, text_col)
+    links, members = stage_table(links, "jaccard-links"), stage_table(members, "jaccard-documents")
+    sizes = members.filter("node IS NOT NULL").distinct().groupBy("node").agg(F.count("*").alias("k"))
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    other = both.join(sizes, both["b"] == sizes["node"]).groupBy("a").agg(F.sum("k").alias("others"))
+    counts = sizes.join(other, sizes["node"] == other["a"], "left").select(
+        "node", (F.col("k") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")
+    )
+    found = members.join(counts, "node", "left")
+    return found.select(F.col("_id").alias("doc_id"), "n", "node", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def jaccard_report(docs: DataFrame, rule: Similarity = Similarity(4, 85)) -> DataFrame:
     """doc_id, n_shingles and the least doc_id of the component."""
     return near_duplicates(docs, rule).select(

@@ -17,6 +17,7 @@ from brute import (
     repeated,
     revealing,
     sha,
+    shingles,
     term_spans,
 )
 
@@ -311,6 +312,19 @@ def test_nearest_recall_beyond_the_most_pivots(spark):
     assert len(found) == 40 and hits >= 0.95 * 20 * len(found), hits
 
 
+def test_ties_and_lengths(spark):
+    """Equal footrules go by id in whatever order rows come; vectors of different lengths are refused."""
+    rng = np.random.default_rng(2)
+    distance, ids = rng.integers(0, 4, 60), rng.permutation(60)
+    want = {int(i) for _, i in sorted(zip(distance.tolist(), ids.tolist()))[:25]}
+    for _ in range(5):
+        p = rng.permutation(60)
+        assert {int(i) for i in ids[p][ann.nearest_rows(distance[p], ids[p], 25)]} == want
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="1 to 2 numbers"):
+        ann.nearest(df)
+
+
 def test_footrule():
     """Each pivot adds how many classes (first, second, to fourth, beyond) its place moves."""
     orders = np.array([[3, 1, 0, 2], [1, 3, 0, 2], [4, 5, 6, 7]])
@@ -543,6 +557,20 @@ def test_tiles_lose_no_link(docs, monkeypatch):
     assert {d: r.component_id for d, r in found.items()} == {d: c for d, (_, c) in components(ROWS, 2, 60).items()}
 
 
+@pytest.mark.parametrize("tile", [128, 2])
+def test_every_link_is_counted(docs, monkeypatch, tile):
+    monkeypatch.setattr(jaccard, "TILE_DOCS", tile)
+    sets = {d: shingles(t, 2) for d, t in ROWS}
+    want = {
+        d: sum(1 for e, y in sets.items() if e != d and x and y and 100 * len(x & y) >= 30 * len(x | y)) for d, x in sets.items()
+    }
+    found = by_id(jaccard.link_counts(docs, jaccard.Similarity(2, 30)))
+    assert {d: r.n_links for d, r in found.items()} == want and max(want.values()) > 1
+    links, _ = jaccard.class_links(docs, jaccard.Similarity(2, 30))
+    rows = links.collect()
+    assert len({(r.a, r.b) for r in rows}) == len(rows) > 0
+
+
 def test_one_of_each_group_stays(docs):
     kept = {r.doc_id for r in jaccard.keep_one(docs).collect()}
     want = components(ROWS, 5, 80)
