@@ -501,7 +501,7 @@ def _(spark, sf):
 
 @query(
     "profile_job_pairs",
-    f"""with {PAIRS} select feature_a, feature_b, round(r, 4) correlation from pairs where abs(r) >= 0.95""",
+    f"""with {FLOWS}, {PAIRS} select feature_a, feature_b, round(r, 4) correlation from pairs where abs(r) >= 0.95""",
 )
 def _(spark, sf):
     """The pairs that the profile job has written as CSV."""

@@ -176,17 +176,17 @@ def _(spark, sf):
     """An unexpected column and short rows beside bad cells: every fault is listed."""
     e = F.col("event_id")
     cells = [*_event_cells(), F.when(e % 90 != 7, e.cast("string"))]
-    lines = table(spark, sf, "events").orderBy("event_id").select(F.concat_ws(",", *cells).alias("value"))
+    lines = table(spark, sf, "events").select(e.alias("ord"), F.concat_ws(",", *cells).alias("value"))
     path = shared_path(spark, "upload")
-    header = spark.createDataFrame([("value,user_id,session",)], "value string")
-    # One header for the whole file.
-    header.unionByName(lines).coalesce(1).write.text(path)
+    header = spark.createDataFrame([(-1, "value,user_id,session")], "ord long, value string")
+    # One file with one header, as a form sends it.
+    header.unionByName(lines).repartition(1).sortWithinPartitions("ord").select("value").write.text(path)
     return uploads.upload_faults(uploads.scan_upload(spark, path), ["value", "user_id"])
 
 
 @query(
     "scan_csv_breaks",
-    """select p_partkey, p_name || chr(10) || p_type || '"' || p_brand as note, p_size from part""",
+    """select p_partkey, p_name || chr(10) || p_type || '"' || p_brand as note, p_size::bigint p_size from part""",
 )
 def _(spark, sf):
     """Cells with line breaks and quotes, in files cut to small blocks."""
