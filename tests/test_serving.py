@@ -7,7 +7,7 @@ from tabscope.functions import probability, text
 from tabscope.operators import contract, history, scoring
 from tabscope.operators.preprocess import fit
 from tabscope.plans.scoring import Bundle, score, score_requests
-from tabscope.queries.fixtures import LinearScorer
+from tabscope.queries.fixtures import REQUEST_FEATURES, LinearScorer, request_bundle
 from tabscope.session import shared_path, shared_root
 from tabscope.streaming import jobs
 
@@ -101,6 +101,21 @@ def test_requests_are_scored_or_rejected(spark, bundle):
     assert sorted(r.id for r in bad.collect()) == [1, 3]
 
 
+def test_requests_keep_a_feature_that_hardly_varies(spark):
+    """One far value makes the rest of the column look flat; the fixed model still scores it."""
+    sf = shared_path(spark, "events")
+    e = F.col("id")
+    value = F.when(e == 7, 1e6).otherwise((e % 9).cast("double"))
+    events = spark.range(300).select(e.alias("event_id"), (e % 50).alias("user_id"), value.alias("value"), F.concat(F.lit("t"), (e % 5).cast("string")).alias("event_type"))
+    events.write.parquet(f"{sf}/events.parquet")
+    bundle = request_bundle(spark, sf)
+    assert bundle.feature_names == REQUEST_FEATURES
+    features = F.create_map(F.lit("user_id"), F.col("user_id").cast("double"), F.lit("value"), F.col("value"))
+    maps = events.select("event_id", features.alias("features"))
+    good, bad = score_requests(maps, bundle, keep=("event_id",))
+    assert good.count() == 300 and bad.count() == 0
+
+
 def test_history_views(spark):
     rows = [
         (f"{i:04d}", i, "single", "v1", f"class-{i}", 0.9, None, None) for i in range(205)
