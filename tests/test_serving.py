@@ -150,6 +150,19 @@ def test_stream_equals_batch(spark, bundle):
     assert sorted(r.id for r in spark.read.parquet(f"{out}/good").collect()) == [0, 2]
 
 
+def test_stream_of_a_table_in_one_file_or_many(spark):
+    """A table below the path may be one file or a folder of files of any name."""
+    source, out = shared_path(spark, "source"), shared_path(spark, "out")
+    df = spark.range(40).repartition(4)
+    df.write.parquet(f"{source}/many.parquet")
+    jobs.append_to(jobs.stream_table(spark, source, df.schema, "many.parquet"), f"{out}/many", f"{out}/c1")
+    assert spark.read.parquet(f"{out}/many").count() == 40
+    file = spark.read.parquet(f"{source}/many.parquet").inputFiles()[0]
+    folder, name = file.rsplit("/", 1)
+    jobs.append_to(jobs.stream_table(spark, folder, df.schema, name), f"{out}/one", f"{out}/c2")
+    assert spark.read.parquet(f"{out}/one").count() == spark.read.parquet(file).count() > 0
+
+
 def test_stream_windows_and_repeats(spark):
     source, out = shared_path(spark, "source"), shared_path(spark, "out")
     df = spark.range(48).select(
