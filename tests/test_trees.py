@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tabscope.operators import trees
 from tabscope.operators.trees import Block, Rule
+from tabscope.plans.trainers import FEATURES, TreeScorer
 from tabscope.session import shared_path
 
 
@@ -154,6 +156,28 @@ def test_forest_grows_alike_over_many_tasks(spark, monkeypatch):
     assert same(found[0]) == same(found[1])
 
 
+def test_large_forest_stays_in_storage(spark, monkeypatch):
+    """Parts of trees that are grown in tasks never come to the driver; the scores are those of the forest told whole."""
+    x, y, w = table(300, 11)
+    blocks, cuts = blocks_of(spark, x, y, w, 3)
+    monkeypatch.setattr(trees, "SCORED_ROWS", 7)
+    monkeypatch.setattr(trees, "SHARED_ROWS", 90)
+    rows = spark.createDataFrame([(i, Vectors.dense(v)) for i, v in enumerate(x.tolist())], ["id", FEATURES]).repartition(4)
+    for local in (10_000, 60):
+        monkeypatch.setattr(trees, "LOCAL_ROWS", local)
+        monkeypatch.setattr(trees, "TOLD_NODES", 500_000)
+        told = trees.forest(blocks, len(y), cuts, 3, 5, seed=1)
+        monkeypatch.setattr(trees, "TOLD_NODES", 0)
+        stored = trees.forest(blocks, len(y), cuts, 3, 5, seed=1)
+        assert isinstance(stored, trees.StoredForest) and len(stored.tops.feature) < len(told.feature) / 3
+        assert np.allclose(stored.importances(5), told.importances(5)) and told.importances(5).sum() == pytest.approx(1)
+        path = shared_path(spark, "forest")
+        TreeScorer("random_forest", stored, 5).save(spark, path)
+        scored = TreeScorer.load(spark, "random_forest", path).probabilities(rows).orderBy("id").collect()
+        assert [r.id for r in scored] == list(range(300))
+        assert np.allclose([r.probabilities for r in scored], told.probabilities(x))
+
+
 def test_class_weights_count(spark):
     """A rare class with a large weight wins where the features can't tell."""
     x = np.zeros((100, 2))
