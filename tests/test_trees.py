@@ -106,6 +106,58 @@ def test_jobs_of_a_round(spark, checkpoints, monkeypatch):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
+@pytest.mark.parametrize("rule", [Rule(max_depth=4, l2=1.0, least_hessian=1.0), Rule(max_leaves=9, least_rows=5, least_hessian=1e-3)])
+def test_boosted_trees_grow_whole_or_by_nodes(spark, checkpoints, monkeypatch, rule):
+    """Trees grown where their bins stay are those of histograms and dealt nodes, also with several classes to a task."""
+    x, y, w = table(classes=11)
+    blocks, cuts = blocks_of(spark, x, y, w, 3)
+    found = []
+    for local, boosted in ((10, 25), (60, 1), (10, 1)):
+        monkeypatch.setattr(trees, "LOCAL_ROWS", local)
+        monkeypatch.setattr(trees, "BOOSTED", boosted)
+        found.append(nodes(trees.boost(blocks, len(y), cuts, 11, 2, 0.3, rule)))
+    for other in found[1:]:
+        assert all(np.array_equal(a, b) for a, b in zip(found[0], other, strict=True))
+
+
+def test_boosted_round_is_one_job(spark, checkpoints, monkeypatch):
+    """Boosting grows twelve times the rows of a forest's dealt node in one job a round."""
+    x, y, w = table()
+    blocks, cuts = blocks_of(spark, x, y, w, 2)
+    blocks.count()
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 20)
+    spark.sparkContext.setJobGroup("whole", "whole")
+    trees.boost(blocks, len(y), cuts, 3, 2, 0.3, Rule(max_depth=3, l2=1.0))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("whole")) == 2
+
+
+def test_boosting_keeps_arrays_of_past_rounds(spark, checkpoints, monkeypatch):
+    """The driver never holds more trees in the making than those of one round."""
+    x, y, w = table()
+    blocks, cuts = blocks_of(spark, x, y, w, 2)
+    sizes, plain = [], trees.flattened
+    monkeypatch.setattr(trees, "flattened", lambda grown, *more: sizes.append(len(grown)) or plain(grown, *more))
+    flat = trees.boost(blocks, len(y), cuts, 3, 4, 0.3, Rule(max_depth=3, l2=1.0))
+    assert sizes == [3] * 4 and len(flat.roots) == 12
+
+
+def test_dealt_nodes_load_tasks_evenly():
+    assert sorted(trees.even_tasks({(k, 0): 7 for k in range(10)}, 10).values()) == list(range(10))
+    dealt = trees.even_tasks({(0, 0): 9, (1, 4): 5, (2, 1): 4, (3, 0): 0}, 2)
+    assert dealt[0, 0] != dealt[1, 4] == dealt[2, 1]
+
+
+@pytest.mark.parametrize("n", [300, 5_000])
+def test_histogram_by_feature(n):
+    rng = np.random.default_rng(4)
+    bins, stats = rng.integers(0, 256, (n, 3)).astype(np.uint8), rng.normal(size=(2, n))
+    want = np.zeros((3, trees.BINS, 3))
+    for j in range(3):
+        np.add.at(want[j], bins[:, j], np.column_stack([*stats, np.ones(n)]))
+    assert np.allclose(trees.histogram(bins, stats, Rule()), want, atol=1e-9)
+
+
 def test_growth_by_largest_gain():
     """The leaf of the largest gain splits first, however deep it lies; the bound counts leaves."""
     x, y, w = table(400, 5, 2)
