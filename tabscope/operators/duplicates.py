@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tabscope.functions.numeric import col, is_floating, known, pct
 from tabscope.session import stage_table
 
-HASHES = ("#h1", "#h2")
-#: Repeated hashes are told to every task up to so many, 16 bytes each.
+HASHES = ("#h",)
+#: Repeated hashes are told to every task up to so many, 8 bytes each.
 TOLD_HASHES = 1_000_000
 
 
@@ -29,29 +29,29 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Number and percentage of rows that repeat an earlier one.
 
-    Rows are dealt out as 128-bit hashes. Only rows whose hash repeats are
-    compared as they are, so rows that merely share a hash are told apart.
+    Rows are dealt out as 64-bit hashes, and only hashes that repeat are stored.
+    Their rows are compared as they are, so rows that merely share a hash are told apart.
     """
     clean = nan_as_null(df)
     columns = [col(c) for c in clean.columns]
     hashed = clean.select("*", *(h.alias(c) for h, c in zip(row_hashes(columns), HASHES)))
-    counted = hashed.groupBy(*HASHES).agg(F.count(F.lit(1)).alias("#n"))
-    # Stored, as the number of rows and the repeated hashes are both asked for.
-    counted = stage_table(counted, "row-hashes")
-    repeated = counted.filter("`#n` > 1").select(*HASHES)
+    seen = Observation()
+    counted = hashed.groupBy(*HASHES).agg(F.count(F.lit(1)).alias("#n")).observe(seen, F.sum("#n").alias("n"))
+    repeated = stage_table(counted.filter("`#n` > 1").select(*HASHES), "row-hashes")
+    # No rows, no sum.
+    n = seen.get["n"] or 0
     if repeated.limit(TOLD_HASHES + 1).count() <= TOLD_HASHES:
         repeated = F.broadcast(repeated)
-    copies = hashed.join(repeated, list(HASHES), "left_semi").groupBy(*columns).agg(F.count(F.lit(1)).alias("#n"))
+    # Grouped by the hash too, so that rows which the join has dealt by it stay where they are.
+    copies = hashed.join(repeated, list(HASHES), "left_semi").groupBy(*HASHES, *columns).agg(F.count(F.lit(1)).alias("#n"))
     extra = copies.agg(F.coalesce(F.sum(F.col("#n") - 1), F.lit(0)).cast("long").alias("extra"))
-    rows = counted.agg(F.coalesce(F.sum("#n"), F.lit(0)).cast("long").alias("n"))
-    # One row each.
-    return rows.join(F.broadcast(extra)).select(
-        F.col("extra").alias("duplicate_rows"), pct(F.col("extra"), F.col("n")).alias("duplicate_pct")
+    return extra.select(
+        F.col("extra").alias("duplicate_rows"), pct(F.col("extra"), F.lit(n).cast("long")).alias("duplicate_pct")
     )
 
 
 def row_hashes(columns: list[Column]) -> list[Column]:
-    """Two 64-bit hashes of a row; a NULL is told apart from what would hash like it."""
+    """A 64-bit hash of a row as ``HASHES``; a NULL is told apart from what would hash like it."""
     known = [F.coalesce(F.xxhash64(c), F.lit(0)) for c in columns]
     gaps = F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in columns])
-    return [F.xxhash64(*known, gaps), F.xxhash64(F.lit(7), gaps, *known[::-1])]
+    return [F.xxhash64(*known, gaps)]

@@ -141,6 +141,15 @@ def test_duplicates(spark, monkeypatch):
     assert tuple(duplicates.duplicate_rows(df.limit(0)).first()) == (0, 0.0)
 
 
+def test_duplicates_store_one_number_of_a_repeated_row(spark, monkeypatch):
+    stored, plain = [], duplicates.stage_table
+    monkeypatch.setattr(duplicates, "stage_table", lambda df, purpose: stored.append(plain(df, purpose)) or stored[-1])
+    df = spark.range(20).unionByName(spark.range(5))
+    got = duplicates.duplicate_rows(df).first()
+    assert (got.duplicate_rows, got.duplicate_pct) == (5, 20.0)
+    assert [(t.count(), [kind for _, kind in t.dtypes]) for t in stored] == [(5, ["bigint"])]
+
+
 def test_rows_that_share_a_hash_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(duplicates, "row_hashes", lambda columns: [F.lit(1).cast("long"), F.pmod(columns[0], F.lit(2)).cast("long")])
     df = spark.range(20).unionByName(spark.range(5))
