@@ -10,6 +10,7 @@ together afterwards.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 
@@ -24,6 +25,8 @@ CELLS = re.compile(r'(?:"(?:[^"]|"")*"(?!")[^,]*|[^",][^,]*)?(?:,|$)')
 #: What closes quotes that a line begins in.
 CLOSING = re.compile(r'(?:[^"]|"")*"(?!")[^,]*(?:,|$)')
 WHOLE, OPENS, INSIDE, CLOSES = range(4)
+#: Bytes that a task takes of small blocks where there are many.
+TASK_BYTES = 32 << 20
 PLACE = ("#file", "#block")
 
 
@@ -48,9 +51,19 @@ def leaves_open(line: str, inside: bool) -> bool:
 
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(
+    """Lines with their blocks; a task takes small blocks one after the other, as each has only a row to say."""
+    lines = spark.read.text(path).select(
         F.col("value"), F.col("_metadata.file_path").alias("#file"), F.col("_metadata.file_block_start").alias("#block")
     )
+    blocks = lines.rdd.getNumPartitions()
+    full = math.ceil(blocks * block_bytes(spark) / TASK_BYTES)
+    return lines.coalesce(max(1, min(blocks, max(full, 4 * spark.sparkContext.defaultParallelism))))
+
+
+def block_bytes(spark: SparkSession) -> int:
+    """The most that Spark reads as one block."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)(?:i?b)?\s*", spark.conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
 
 
 def has_breaks(spark: SparkSession, path: str) -> bool:

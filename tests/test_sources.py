@@ -237,3 +237,31 @@ def test_upload_faults_behind_line_breaks(spark, tmp_path):
         (5, "Too many fields: expected 2 fields but parsed 3"),
         (6, '"port" is not a valid number (x)'),
     ]
+
+
+def test_tasks_take_several_small_blocks(spark, tmp_path):
+    """Two hundred blocks are told apart as such, by four tasks a core at most, and the records are those of one block."""
+    path = write(tmp_path, "blocks.csv", "a,b\n" + "".join(f'{i},"x\n{i}"\n' for i in range(20_000)))
+    want = sorted(r.value for r in records.read_records(spark, path).select("value").collect())
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "1k")
+    try:
+        lines = records.lines_of(spark, path)
+        assert lines.select("#block").distinct().count() > 200
+        assert lines.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+        assert sorted(r.value for r in records.read_records(spark, path).select("value").collect()) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("text, size", [("20000", 20_000), ("134217728b", 1 << 27), ("128MB", 1 << 27), ("16m", 1 << 24), ("3kb", 3072)])
+def test_block_bytes(spark, text, size):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", text)
+    try:
+        assert records.block_bytes(spark) == size
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
