@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabscope.queries import query
 from tabscope.queries.fixtures import FLOW_NUMBERS, FLOWS, flows, table
-from tabscope.session import shared_path, stage_table
+from tabscope.session import shared_path, shared_root, stage_table
 from tabscope.sources import csv_tables, registry, uploads
 
 
@@ -179,8 +179,10 @@ def _(spark, sf):
     lines = table(spark, sf, "events").select(e.alias("ord"), F.concat_ws(",", *cells).alias("value"))
     path = shared_path(spark, "upload")
     header = spark.createDataFrame([(-1, "value,user_id,session")], "ord long, value string")
-    # One file with one header, as a form sends it.
-    header.unionByName(lines).repartition(1).sortWithinPartitions("ord").select("value").write.text(path)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
+    # One file with one header, as a form sends it: many tasks sort, and the one that writes takes their stored parts in turn.
+    header.unionByName(lines).orderBy("ord").select("value").checkpoint().coalesce(1).write.text(path)
     return uploads.upload_faults(uploads.scan_upload(spark, path), ["value", "user_id"])
 
 

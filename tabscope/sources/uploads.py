@@ -68,7 +68,8 @@ def scan_upload(spark: SparkSession, path: str) -> Upload:
     offsets = blocks.select(
         "#file", "#block", (F.coalesce(before, F.lit(0)) - F.col("#first")).alias("#shift")
     )
-    rows = placed.join(offsets, ["#file", "#block"]).select(
+    # A row for each block, while a block's rows would all go to one task.
+    rows = placed.join(F.broadcast(offsets), ["#file", "#block"]).select(
         (F.col("#id") + F.col("#shift")).alias("#row"), "#fields", *[col(c) for c in columns]
     )
     return Upload(rows, columns)

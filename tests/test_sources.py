@@ -1,10 +1,14 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import DataFrameWriter
 
+from tabscope.queries import QUERIES, load_all
 from tabscope.session import shared_path
 from tabscope.sources import csv_tables, records, registry, tables, uploads
 
+load_all()
+
 
 def write(tmp_path, name, text) -> str:
     path = tmp_path / name
@@ -265,3 +269,18 @@ def test_block_bytes(spark, text, size):
         assert records.block_bytes(spark) == size
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_upload_is_sorted_before_one_task_writes_it(spark, monkeypatch, capsys):
+    """The task that writes the one file holds no rows, and they still come in order."""
+    written, plain = [], DataFrameWriter.text
+    monkeypatch.setattr(DataFrameWriter, "text", lambda self, path, *more: written.append((self._df, path)) or plain(self, path, *more))
+    QUERIES["upload_faults_wrong_header"](spark, "/root/testdata/sf0.001")
+    [(df, path)] = written
+    df.explain()
+    assert df.rdd.getNumPartitions() == 1 and "Sort" not in capsys.readouterr().out
+    names = [f for f in spark.read.text(path).inputFiles() if "part-" in f]
+    rows = [r.value for r in spark.read.text(path).coalesce(1).collect()]
+    n = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    third = [int(r.split(",")[2]) for r in rows[1:] if r.count(",") == 2]
+    assert len(names) == 1 and rows[0] == "value,user_id,session" and len(rows) == n + 1 and third == sorted(third)
