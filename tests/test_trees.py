@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
@@ -230,6 +232,26 @@ def test_large_forest_stays_in_storage(spark, monkeypatch):
         assert np.allclose([r.probabilities for r in scored], told.probabilities(x))
 
 
+def test_model_is_kept_and_loaded_as_arrays(spark, monkeypatch):
+    """The driver takes a few times the model's own bytes for it, not an object per node and value."""
+    n, rng = 60_000, np.random.default_rng(6)
+    ints = {k: rng.integers(-1, 9, n).astype(np.int32) for k in ("feature", "left", "right")}
+    for width, boosted in ((1, True), (3, False)):
+        roots = np.arange(0, n, 30, dtype=np.int32)
+        flat = trees.FlatTrees(3, boosted, roots, threshold=rng.normal(size=n), values=rng.normal(size=(n, width)), gains=rng.random(n), **ints)
+        path = shared_path(spark, "model")
+        monkeypatch.setattr("tabscope.plans.trainers.PACKED_NODES", 7_000, raising=False)
+        tracemalloc.start()
+        TreeScorer("any", flat, 9).save(spark, path)
+        kept = TreeScorer.load(spark, "any", path).trees
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert (kept.n_classes, kept.boosted) == (3, boosted)
+        for name in ("roots", "feature", "threshold", "left", "right", "values", "gains"):
+            assert np.array_equal(getattr(kept, name), getattr(flat, name)) and getattr(kept, name).dtype == getattr(flat, name).dtype
+        assert peak < 5 * (flat.nbytes + flat.gains.nbytes)
+
+
 def test_class_weights_count(spark):
     """A rare class with a large weight wins where the features can't tell."""
     x = np.zeros((100, 2))
