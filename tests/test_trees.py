@@ -6,6 +6,7 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark import RDD, Broadcast
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -144,6 +145,21 @@ def test_boosting_keeps_arrays_of_past_rounds(spark, checkpoints, monkeypatch):
     assert sizes == [3] * 4 and len(flat.roots) == 12
 
 
+def test_rounds_dont_carry_steps_of_others(spark, checkpoints, monkeypatch):
+    """Functions of the rounds have a size of their own; steps are told, and taken back once their scores are stored."""
+    x, y, w = table()
+    blocks, cuts = blocks_of(spark, x, y, w, 2)
+    monkeypatch.setattr(trees, "STORED_ROUNDS", 3)
+    functions, plain = [], RDD.map
+    monkeypatch.setattr(RDD, "map", lambda rdd, f, *more: functions.append(f) or plain(rdd, f, *more))
+    gone, destroy = [], Broadcast.destroy
+    monkeypatch.setattr(Broadcast, "destroy", lambda told, *more: gone.append(told) or destroy(told, *more))
+    trees.boost(blocks, len(y), cuts, 3, 8, 0.3, Rule(max_depth=5, l2=1.0))
+    rounds = [f for f in functions if f.__name__ == "scored"]
+    assert len(rounds) == 8
+    assert [f.__defaults__[0] for f in rounds] == gone
+
+
 def test_dealt_nodes_load_tasks_evenly():
     assert sorted(trees.even_tasks({(k, 0): 7 for k in range(10)}, 10).values()) == list(range(10))
     dealt = trees.even_tasks({(0, 0): 9, (1, 4): 5, (2, 1): 4, (3, 0): 0}, 2)
