@@ -55,6 +55,27 @@ def test_best_split(rule):
                 assert found.left_rows == goes.sum() and np.allclose(found.left, trees.sums(stats[:, goes], rule))
 
 
+def test_dealt_nodes_grow_side_by_side(monkeypatch):
+    """Subtrees grown together are those grown one at a time, and their small nodes share steps."""
+    rng = np.random.default_rng(8)
+    items = []
+    for tree, (n, path, depth) in enumerate([(700, 1, 0), (90, 5, 2), (1, 3, 1), (40, 1 << 70, 70), (300, 2, 1)]):
+        bins = rng.integers(0, 12, (n, 7)).astype(np.uint8)
+        bins[n // 2 :] = bins[: n - n // 2]  # equal rows of different classes can't be told apart
+        items.append((bins, np.stack([rng.integers(0, 4, n), 0.5 + rng.random(n)]), tree, path, depth))
+    calls, plain = [], trees.splits_of_few
+    monkeypatch.setattr(trees, "splits_of_few", lambda *x: calls.append(1) or plain(*x))
+    for rule in (Rule(classes=4, tried=2, seed=3), Rule(classes=4, tried=3, max_depth=71), Rule(classes=4, tried=7)):
+        calls.clear()
+        found = trees.grow_side_by_side(items, rule)
+        for (bins, stats, *place), own in zip(items, found, strict=True):
+            want = trees.node_arrays(trees.grow_here(bins, stats, rule, *place), rule)
+            assert set(own) == set(trees.PART)
+            for name in own:
+                assert np.allclose(own[name], want[name], rtol=1e-12, atol=1e-12), name
+        assert len(calls) < sum(len(own["feature"]) for own in found) / 4
+
+
 def blocks_of(spark, x, y, w, parts):
     """Rows cut to blocks, with a cut between any two values."""
     cuts = [(v[:-1] + v[1:]) / 2 for v in (np.unique(c) for c in x.T)]
@@ -226,6 +247,29 @@ def test_forest_grows_alike_over_many_tasks(spark, monkeypatch):
     assert same(found[0]) == same(found[1])
 
 
+def test_forest_deals_whole_trees(spark, monkeypatch):
+    """Up to many times ``LOCAL_ROWS`` a tree is grown by one task without a job per level; by histograms it is the same."""
+    x, y, w = table(400, 12)
+    blocks, cuts = blocks_of(spark, x, y, w, 3)
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 20)
+    calls, plain = [], trees.count_large
+    monkeypatch.setattr(trees, "count_large", lambda *a: calls.append(1) or plain(*a))
+    whole = trees.forest(blocks, len(y), cuts, 3, 3, seed=1)
+    assert not calls
+    monkeypatch.setattr(trees, "FOREST", 1)
+    levels = trees.forest(blocks, len(y), cuts, 3, 3, seed=1)
+    assert len(calls) > 2
+    assert np.allclose(whole.probabilities(x), levels.probabilities(x))
+
+
+def test_rows_keep_features_together():
+    bins = np.arange(60, dtype=np.uint8).reshape(12, 5)
+    rows = np.array([1, 4, 9])
+    by_feature = np.asfortranarray(bins)
+    assert np.array_equal(trees.taken(by_feature, rows), bins[rows]) and trees.taken(by_feature, rows).flags.f_contiguous
+    assert np.array_equal(trees.taken(bins, rows), bins[rows]) and trees.taken(by_feature, np.arange(12)) is by_feature
+
+
 def test_large_forest_stays_in_storage(spark, monkeypatch):
     """Parts of trees that are grown in tasks never come to the driver; the scores are those of the forest told whole."""
     x, y, w = table(300, 11)
