@@ -2,10 +2,11 @@
 
 Texts with equal shingle sets form a class. Two sets that are similar enough
 share one of the first shingles of each in a common order, with frequent
-shingles last; texts that share such a shingle come to the same group. Groups
-are cut into tiles by bands of set size. In a tile, hashed bitmaps bound the
-overlap of two sets from above. The sets that some bound leaves together are
-tiled again with their texts, and pairs that may pass are intersected.
+shingles last. Sets that share such a shingle make pairs; where many share one,
+they come to the same group, and groups are cut into tiles by bands of set size.
+Hashed bitmaps bound the overlap of a pair, or of two sets of a tile, from above.
+The sets that some bound leaves together are tiled with their texts, and pairs
+that may pass are intersected.
 """
 
 from __future__ import annotations
@@ -43,9 +44,13 @@ class Similarity:
 #: Shingles put last in the order are sought in every ``SAMPLE``-th text and among the lowest
 #: quarter of hashes, where prefixes lie; they count as frequent from ``OFTEN`` sampled texts on, and
 #: at most ``FREQUENT`` are told to all tasks. All this affects only the time: any order gives all links.
-SAMPLE, OFTEN, FREQUENT = 4, 3, 200_000
+SAMPLE, OFTEN, FREQUENT = 4, 3, 4_000_000
 LOW = np.uint64(1 << 62)
 TILE_DOCS = 128
+#: Sets that share a shingle make pairs if there are at most so many and one; more are tied to one group.
+PAIRED = 32
+#: Rows of shingles that are looked through at once.
+RUN_ROWS = 50_000
 #: A task hands its trees on when it has met so many sets.
 FOREST_NODES = 500_000
 #: A set's bitmap has at least as many bits as the set has members, within these bounds.
@@ -86,12 +91,53 @@ def frequent_shingles(keyed: DataFrame, rule: Similarity) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(counts, pa.int64())], ["s", "k"])
 
     counted = sampled.mapInArrow(run, "s long, k long").groupBy("s").agg(F.sum("k").alias("k"))
-    rows = counted.filter(F.col("k") >= OFTEN).orderBy(F.desc("k"), "s").limit(FREQUENT).select("s").collect()
-    return np.sort(np.array([r["s"] for r in rows], dtype=np.int64).view(np.uint64))
+    most = stage_table(counted.filter(F.col("k") >= OFTEN), "jaccard-frequent")
+    if most.count() > FREQUENT:
+        most = most.orderBy(F.desc("k"), "s").limit(FREQUENT)
+    return np.sort(most.select("s").toArrow()["s"].to_numpy().view(np.uint64))
+
+
+class Runs:
+    """Looks through rows (shingle, set, size), in this order, run by run of a shingle, for sets that may link."""
+
+    def __init__(self, rule: Similarity):
+        self.rule, self.last, self.long = rule, np.zeros((3, 0), dtype=np.int64), False
+
+    def look(self, rows: np.ndarray, ended: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs and ties of sets, each ``[2, n]``: all pairs of a short run that are near in size, and neighbours by size of a long one.
+
+        Where one gap between neighbours is too wide, no pair spans it. The last run is kept until it has ended or is long.
+        """
+        rows = np.hstack([self.last, rows])
+        # A class may have been posted by several tasks.
+        new = np.ones(rows.shape[1], dtype=bool)
+        new[1:] = (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)
+        rows = rows[:, new]
+        first = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1])[: rows.shape[1]])
+        length = np.diff(np.append(first, rows.shape[1]))
+        long = length > PAIRED + 1
+        long[:1] |= self.long
+        if len(first) and not ended:
+            keep = 1 if long[-1] else length[-1]
+            self.last, self.long = rows[:, rows.shape[1] - keep :], bool(long[-1])
+            if not self.long:
+                rows, length, long = rows[:, :-keep], length[:-1], long[:-1]
+        s, c, n = rows
+        inside = np.repeat(long, length)
+        pairs, at = [np.zeros((2, 0), dtype=np.int64)], np.flatnonzero(~inside)
+        for back in range(1, PAIRED + 1):
+            at = at[at >= back]
+            at = at[s[at] == s[at - back]]
+            if not len(at):
+                break
+            near = at[self.rule.fits(n[at - back], n[at])]
+            pairs.append(np.stack([c[near], c[near - back]]))
+        near = np.flatnonzero(inside[1:] & (s[1:] == s[:-1]) & self.rule.fits(n[:-1], n[1:])) + 1
+        return np.hstack(pairs), np.stack([c[near], c[near - 1]])
 
 
 def shared_prefixes(keyed: DataFrame, rule: Similarity) -> DataFrame:
-    """Edges (a, b) between set hashes that tie together all sets which may link."""
+    """(a, b, tie) of set hashes: all sets that may link are a pair, or tied together."""
     spark = keyed.sparkSession
     told = spark.sparkContext.broadcast(frequent_shingles(keyed, rule))
 
@@ -123,25 +169,65 @@ def shared_prefixes(keyed: DataFrame, rule: Similarity) -> DataFrame:
                 )
 
     def tie(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Neighbours by size in each shingle's run: where one gap is too wide, no pair spans it."""
-        forest, last = Forest(), np.zeros((3, 0), dtype=np.int64)
+        forest, runs, held, size = Forest(), Runs(rule), [], 0
+
+        def found(ends: np.ndarray, tied: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in ends), pa.array(np.full(ends.shape[1], tied))], ["a", "b", "tie"])
+
+        def looked(ended: bool) -> pa.RecordBatch:
+            nonlocal size
+            pairs, ties = runs.look(np.hstack([np.zeros((3, 0), dtype=np.int64), *held]), ended)
+            held.clear()
+            size = 0
+            for a, b in np.unique(ties, axis=1).T.tolist():
+                forest.join(a, b)
+            return found(np.unique(np.sort(pairs, axis=0), axis=1), False)
 
         def stars() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in forest.stars()], ["a", "b"])
+            return found(np.array(forest.stars(), dtype=np.int64), True)
 
         for batch in batches:
-            rows = np.hstack([last, np.array([c.to_numpy() for c in batch.columns])])
-            s, c, n = rows
-            near = (s[1:] == s[:-1]) & (c[1:] != c[:-1]) & rule.fits(n[:-1], n[1:])
-            for a, b in np.unique(np.stack([c[:-1][near], c[1:][near]], axis=1), axis=0).tolist():
-                forest.join(a, b)
-            last = rows[:, -1:]
+            held.append(np.array([c.to_numpy() for c in batch.columns]))
+            size += batch.num_rows
+            if size >= RUN_ROWS:
+                yield looked(False)
             if len(forest.parent) > FOREST_NODES:
                 yield stars()
+        yield looked(True)
         yield stars()
 
     posted = keyed.mapInArrow(post, "s long, c long, n long")
-    return posted.repartition("s").sortWithinPartitions("s", "n", "c").mapInArrow(tie, "a long, b long")
+    return posted.repartition("s").sortWithinPartitions("s", "n", "c").mapInArrow(tie, "a long, b long, tie boolean")
+
+
+def folded(marks: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps by row, brought to a narrower width."""
+    while marks.shape[1] > width:
+        half = marks.shape[1] // 2
+        marks = marks[:, :half] | marks[:, half:]
+    return marks
+
+
+def likely_pairs(pairs: DataFrame, classes: DataFrame, rule: Similarity) -> DataFrame:
+    """Those of the pairs (a, b) that the bitmaps of ``classes`` (c1, n, mark) don't rule out."""
+    own = lambda end: classes.select(F.col("c1").alias(end), F.col("n").alias(f"n{end}"), F.col("mark").alias(f"m{end}"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n_a, n_b = (batch.column(k).to_numpy() for k in ("a", "b", "na", "nb"))
+            marks = [[np.frombuffer(m, dtype=np.uint64) for m in batch.column(k).to_pylist()] for k in ("ma", "mb")]
+            widths = np.array([[len(m) for m in side] for side in marks]).reshape(2, -1)
+            fine = np.zeros(len(a), dtype=bool)
+            for w_a, w_b in np.unique(widths, axis=1).T.tolist():
+                at = np.flatnonzero((widths[0] == w_a) & (widths[1] == w_b))
+                x, y = (folded(np.array([side[k] for k in at.tolist()]), min(w_a, w_b)) for side in marks)
+                only_a = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
+                only_b = np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
+                most = np.minimum(n_a[at] - only_a, n_b[at] - only_b)
+                fine[at] = rule.fits(most, n_a[at] + n_b[at] - most)
+            yield pa.RecordBatch.from_arrays([pa.array(a[fine]), pa.array(b[fine])], ["a", "b"])
+
+    return pairs.join(own("a"), "a").join(own("b"), "b").mapInArrow(run, "a long, b long")
 
 
 def tiles(active: DataFrame, rule: Similarity) -> DataFrame:
@@ -278,8 +364,8 @@ def compared(docs: DataFrame, rule: Similarity, id_col: str, text_col: str) -> t
     classes = stage_table(
         members.filter("n > 0")
         .groupBy("c1", "c2")
-        .agg(F.first("n").alias("n"), F.min(F.struct("_id", "_th")).alias("rep"), F.min("_id").alias("least"))
-        .select("c1", "c2", "n", "rep._id", "rep._th", "least"),
+        .agg(F.first("n").alias("n"), F.first("mark").alias("mark"), F.min(F.struct("_id", "_th")).alias("rep"), F.min("_id").alias("least"))
+        .select("c1", "c2", "n", "mark", "rep._id", "rep._th", "least"),
         "jaccard-sets",
     )
     # Rows of one document are one text; they are made one only where there are any, as that deals out all texts.
@@ -295,7 +381,7 @@ def compared(docs: DataFrame, rule: Similarity, id_col: str, text_col: str) -> t
 
     def placed(clusters: DataFrame) -> DataFrame:
         cluster = clusters.select(F.col("node").alias("c1"), F.col("root").alias("cluster"))
-        active = stage_table(classes.join(cluster, "c1").drop("least"), "jaccard-active")
+        active = stage_table(classes.join(cluster, "c1").drop("least", "mark"), "jaccard-active")
         return stage_table(tiles(active, rule), "jaccard-tiles")
 
     def bounded(group: pa.Table) -> pa.Table:
@@ -303,8 +389,10 @@ def compared(docs: DataFrame, rule: Similarity, id_col: str, text_col: str) -> t
         pairs = linked(group["n"].to_pylist(), marks, group["side"].to_pylist(), rule)
         return tied(group, "c1", pairs, pa.int64())
 
-    near = fetched(placed(components(shared_prefixes(keyed, rule))), members, "mark")
-    likely = components(near.groupBy("tile").applyInArrow(bounded, "a long, b long"))
+    shared = stage_table(shared_prefixes(keyed, rule), "jaccard-shared")
+    near = fetched(placed(components(shared.filter("tie").select("a", "b"))), members, "mark")
+    pairs = stage_table(likely_pairs(shared.filter("NOT tie").select("a", "b").distinct(), classes, rule), "jaccard-pairs")
+    likely = components(near.groupBy("tile").applyInArrow(bounded, "a long, b long").unionByName(pairs))
     texts = fetched(placed(likely), keyed, "_text").withColumn("node", F.concat(F.hex("c1"), F.lit("-"), F.hex("c2")))
     return members, classes, texts
 

@@ -557,6 +557,55 @@ def test_tiles_lose_no_link(docs, monkeypatch):
     assert {d: r.component_id for d, r in found.items()} == {d: c for d, (_, c) in components(ROWS, 2, 60).items()}
 
 
+@pytest.mark.parametrize("step", [1, 4, 9, 1000])
+def test_runs_of_a_shingle_lose_no_pair(monkeypatch, step):
+    """Any two sets of one run that are near enough in size pair, or ties join them, however the rows are cut; rows may be there twice."""
+    monkeypatch.setattr(jaccard, "PAIRED", 4)
+    rule, rng = jaccard.Similarity(5, 80), np.random.default_rng(3)
+    lengths = [1, 2, 5, 6, 7, 40, 3, 1, 12]
+    s = np.repeat(np.arange(len(lengths)), lengths)
+    n = np.concatenate([np.sort(rng.integers(10, 30, k)) for k in lengths])
+    rows = np.stack([s, np.arange(len(s)) * 7, n])
+    twice = np.repeat(rows, rng.integers(1, 4, len(s)), axis=1)
+    runs, forest, pairs = jaccard.Runs(rule), graph.Forest(), []
+    for first in range(0, twice.shape[1], step):
+        found, ties = runs.look(twice[:, first : first + step], first + step >= twice.shape[1])
+        pairs += map(tuple, found.T.tolist())
+        for a, b in ties.T.tolist():
+            forest.join(a, b)
+    want = {(int(rows[1, j]), int(rows[1, i])) for j in range(len(s)) for i in range(j) if s[i] == s[j] and rule.fits(n[i], n[j])}
+    short = {(a, b) for a, b in want if lengths[s[a // 7]] <= 5}
+    assert sorted(pairs) == sorted(short) and len(short) >= 5
+    assert all(forest.find(a) == forest.find(b) for a, b in want - short)
+    assert all(forest.find(int(c)) == c for c, k in zip(rows[1], s, strict=True) if lengths[k] <= 5)
+
+
+def test_chains_of_shared_shingles_make_no_group(spark):
+    """Texts that each share a shingle with the next, and no more, are pairs; no group ties them all."""
+    words = lambda i, k: " ".join(f"w{i}x{j}" for j in range(k))
+    texts = [(i, " ".join([words(i, 5), words(i + 1, 5)])) for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rule = jaccard.Similarity(5, 20)
+    shared = jaccard.shared_prefixes(jaccard.keyed_texts(docs), rule).collect()
+    assert shared and not any(r.tie for r in shared)
+    rule = jaccard.Similarity(5, 60)
+    assert {(r.doc_id, r.component_id) for r in jaccard.jaccard_report(docs, rule).collect()} == {(i, i) for i in range(40)}
+
+
+def test_bitmaps_bound_pairs_of_any_width(spark):
+    """Pairs that link are never ruled out; unlike ones of small sets are."""
+    rule, rng = jaccard.Similarity(4, 85), np.random.default_rng(1)
+    sets = []
+    for size in (3, 100, 130, 1000, 5000):
+        one = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        sets += [one, one[: max(1, int(len(one) * 0.86))], np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))]
+    classes = spark.createDataFrame([(i, len(x), bytearray(jaccard.signature(x).tobytes())) for i, x in enumerate(sets)], "c1 long, n long, mark binary")
+    every = [(i, j) for i in range(len(sets)) for j in range(i)]
+    links = {(i, j) for i, j in every if (both := len(np.intersect1d(sets[i], sets[j]))) and rule.fits(both, len(sets[i]) + len(sets[j]) - both)}
+    found = {tuple(r) for r in jaccard.likely_pairs(spark.createDataFrame(every, "a long, b long"), classes, rule).collect()}
+    assert len(links) >= 4 and links <= found and len(found) < len(links) + 4
+
+
 @pytest.mark.parametrize("tile", [128, 2])
 def test_every_link_is_counted(docs, monkeypatch, tile):
     monkeypatch.setattr(jaccard, "TILE_DOCS", tile)
